@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import nested
+from tidemark.operators import drift, nested, rejects
 from tidemark.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,8 +32,8 @@ def query(sql: str | None = None):
 """)
 def tool_usage(spark, d):
     counts = table(spark, d, "events").groupBy(F.col("event_type").alias("tool")).agg(F.count(F.lit(1)).alias("calls"))
-    total = counts.agg(F.sum("calls").alias("_all"))
-    return counts.crossJoin(F.broadcast(total)).select("tool", "calls", F.round(100.0 * F.col("calls") / F.col("_all"), 6).alias("share"))
+    total = counts.agg(F.sum("calls")).scalar()
+    return counts.select("tool", "calls", F.round(100.0 * F.col("calls") / total, 6).alias("share"))
 
 
 @query()
@@ -54,3 +54,33 @@ def p3_bridge(spark, d):
 @query()
 def p3_messages(spark, d):
     return nested.messages(table(spark, d, "session_entries"))
+
+
+@query()
+def p2_found(spark, d):
+    return drift.changes(table(spark, d, "log_records")).select("file_name", "field", "change")
+
+
+@query()
+def p2_changes(spark, d):
+    return drift.changes(table(spark, d, "log_records"))
+
+
+@query()
+def p2_catalogue(spark, d):
+    return drift.lifespans(table(spark, d, "log_records"))
+
+
+@query()
+def p2_unified(spark, d):
+    return drift.unified(table(spark, d, "log_records"))
+
+
+@query()
+def p4_found(spark, d):
+    return rejects.found(table(spark, d, "raw_lines"))
+
+
+@query()
+def p4_loaded(spark, d):
+    return rejects.loaded(table(spark, d, "raw_lines"))
