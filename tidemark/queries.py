@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import drift, nested, rejects
+from tidemark.operators import drift, features, nested, rejects
 from tidemark.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,37 @@ def p4_found(spark, d):
 @query()
 def p4_loaded(spark, d):
     return rejects.loaded(table(spark, d, "raw_lines"))
+
+
+@query(r"""
+WITH RECURSIVE e AS (
+  SELECT entry_id, coalesce(entry_uuid, '#' || entry_id::VARCHAR) AS entry, received_at,
+    coalesce(nullif(session_id, ''), regexp_replace(regexp_extract(file_name, '([^/\\]+)$', 1), '\.jsonl$', '')) AS entity,
+    CASE WHEN regexp_matches(logged_at, '^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])[Tt]([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d+)?([Zz]|[+-]([01]\d|2[0-3]):[0-5]\d)$')
+      THEN TRY_CAST(regexp_replace(upper(logged_at), '(\.\d{6})\d+', '\1') AS TIMESTAMPTZ) END AS logged,
+    CASE WHEN json_valid(message_json) THEN message_json::JSON END AS m
+  FROM session_entries),
+last AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY entry ORDER BY received_at DESC, entry_id DESC) = 1),
+kids AS (
+  SELECT entry, unnest(CASE json_type(m, '$.content') WHEN 'ARRAY' THEN json_extract(m, '$.content[*]') WHEN 'OBJECT' THEN [json_extract(m, '$.content')] ELSE [] END) AS b FROM last WHERE json_type(m) = 'OBJECT'
+  UNION ALL
+  SELECT entry, unnest(CASE json_type(b, '$.content') WHEN 'ARRAY' THEN json_extract(b, '$.content[*]') WHEN 'OBJECT' THEN [json_extract(b, '$.content')] ELSE [] END) FROM kids WHERE json_type(b) = 'OBJECT'),
+calls AS (
+  SELECT entry, json_extract_string(b, '$.name') AS feature, count(*) AS n FROM kids
+  WHERE json_type(b) = 'OBJECT' AND json_extract_string(b, '$.type') = 'tool_use' AND json_type(b, '$.name') = 'VARCHAR' AND json_extract_string(b, '$.name') <> ''
+  GROUP BY ALL),
+f AS (
+  SELECT entity, feature, sum(n)::BIGINT AS n, max(coalesce(logged, received_at)) AS latest,
+    sum(CASE WHEN regexp_matches(json_extract_string(m, '$.usage.output_tokens'), '^\d+$') THEN TRY_CAST(json_extract_string(m, '$.usage.output_tokens') AS BIGINT) ELSE 0 END)::BIGINT AS total
+  FROM calls JOIN last USING (entry) GROUP BY ALL)
+SELECT entity AS session_id, list(feature ORDER BY feature) AS tools, list(n ORDER BY feature) AS calls,
+  list(((floor(epoch(mx)) - floor(epoch(latest)))::BIGINT) ORDER BY feature) AS seconds_since_last, list(total ORDER BY feature) AS output_tokens
+FROM f, (SELECT max(latest) AS mx FROM f) GROUP BY entity
+""")
+def p5_features(spark, d):
+    return features.session_features(table(spark, d, "session_entries"))
+
+
+@query()
+def p5_long(spark, d):
+    return features.session_tools(features.tool_calls(table(spark, d, "session_entries")))
