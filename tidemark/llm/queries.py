@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import handwritten
+from tidemark.llm import conversations, handwritten
 from tidemark.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,13 @@ def p1_found(spark, d):
 @query()
 def p1_kinds(spark, d):
     return handwritten.classify(table(spark, d, "files"), table(spark, d, "files_content"))
+
+
+@query()
+def p6_found(spark, d):
+    return conversations.found(table(spark, d, "session_entries"))
+
+
+@query()
+def p6_conversations(spark, d):
+    return conversations.conversations(table(spark, d, "session_entries"))
