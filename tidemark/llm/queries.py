@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import conversations, handwritten
+from tidemark.llm import conversations, handwritten, packing, tokens
 from tidemark.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,13 @@ def p6_found(spark, d):
 @query()
 def p6_conversations(spark, d):
     return conversations.conversations(table(spark, d, "session_entries"))
+
+
+@query()
+def p7_ids(spark, d):
+    return tokens.encode(table(spark, d, "documents"))
+
+
+@query()
+def p8_containers(spark, d):
+    return packing.containers(table(spark, d, "documents"))
