@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import conversations, handwritten, packing, tokens
+from tidemark.llm import conversations, handwritten, packing, reading, tokens
 from tidemark.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +54,33 @@ def p7_ids(spark, d):
 @query()
 def p8_containers(spark, d):
     return packing.containers(table(spark, d, "documents"))
+
+
+@query()
+def p8_summary(spark, d):
+    """How full the containers are."""
+    packed = packing.containers(table(spark, d, "documents")).where("container is not null")
+    filled = packed.groupBy("container").agg(F.count(F.lit(1)).alias("texts"), F.sum("n_tokens").alias("used"))
+    return filled.groupBy().agg(
+        F.count(F.lit(1)).alias("containers"), F.sum("texts").alias("texts"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"),
+        F.round(F.sum("used") / (F.count(F.lit(1)) * packing.CAPACITY), 4).alias("filled"),
+    )
+
+
+@query()
+def p9_found(spark, d):
+    return reading.found(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query()
+def p9_levels(spark, d):
+    return reading.levels(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query()
+def p9_profile(spark, d):
+    """Documents per language, kind and level."""
+    docs = table(spark, d, "documents")
+    levels = reading.levels(docs, table(spark, d, "labels")).select("doc_id", "level")
+    lang = F.substring(F.lower("lang"), 1, 2).alias("language")
+    return docs.select("doc_id", lang, "doc_kind").join(levels, "doc_id").groupBy("language", "doc_kind", "level").agg(F.count(F.lit(1)).alias("documents"))
