@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import drift, features, nested, rejects
+from tidemark.operators import drift, features, nested, rejects, usage
 from tidemark.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,16 +26,6 @@ def query(sql: str | None = None):
     return register
 
 
-@query("""
-    SELECT event_type AS tool, count(*) AS calls, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS share
-    FROM events GROUP BY event_type
-""")
-def tool_usage(spark, d):
-    counts = table(spark, d, "events").groupBy(F.col("event_type").alias("tool")).agg(F.count(F.lit(1)).alias("calls"))
-    total = counts.agg(F.sum("calls")).scalar()
-    return counts.select("tool", "calls", F.round(100.0 * F.col("calls") / total, 6).alias("share"))
-
-
 @query()
 def p3_found(spark, d):
     return nested.found(table(spark, d, "session_entries"))
@@ -118,3 +108,112 @@ def p5_features(spark, d):
 @query()
 def p5_long(spark, d):
     return features.session_tools(features.tool_calls(table(spark, d, "session_entries")))
+
+
+# --- usage ---------------------------------------------------------------------------------------------------------
+
+#: Latest delivery of each entry, its parts and its calls, as the operators of usage read them.
+USAGE_SQL = r"""
+WITH once AS (
+  SELECT *, coalesce(nullif(session_id, ''), regexp_replace(regexp_extract(file_name, '([^/\\]+)$', 1), '\.jsonl$', '')) AS session,
+    CASE WHEN regexp_matches(logged_at, '^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])[Tt]([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d+)?([Zz]|[+-]([01]\d|2[0-3]):[0-5]\d)$')
+      THEN TRY_CAST(regexp_replace(upper(logged_at), '(\.\d{6})\d+', '\1') AS TIMESTAMPTZ) END AS seen,
+    CASE WHEN json_valid(message_json) THEN message_json::JSON END AS m
+  FROM session_entries
+  QUALIFY row_number() OVER (PARTITION BY coalesce(entry_uuid, '#' || entry_id::VARCHAR) ORDER BY received_at DESC, entry_id DESC) = 1),
+parts AS (
+  SELECT entry_id, session, entry_type, seen, m,
+    coalesce(nullif(regexp_replace(m->>'$.model', '(.)-[0-9]{8}$', '\1'), ''), 'unknown') AS model,
+    CASE WHEN regexp_matches(m->>'$.usage.input_tokens', '^[0-9]{1,18}$') THEN (m->>'$.usage.input_tokens')::BIGINT ELSE 0 END AS input_tokens,
+    CASE WHEN regexp_matches(m->>'$.usage.output_tokens', '^[0-9]{1,18}$') THEN (m->>'$.usage.output_tokens')::BIGINT ELSE 0 END AS output_tokens,
+    CASE WHEN regexp_matches(m->>'$.usage.cache_creation_input_tokens', '^[0-9]{1,18}$') THEN (m->>'$.usage.cache_creation_input_tokens')::BIGINT ELSE 0 END AS cache_creation_input_tokens,
+    CASE WHEN regexp_matches(m->>'$.usage.cache_read_input_tokens', '^[0-9]{1,18}$') THEN (m->>'$.usage.cache_read_input_tokens')::BIGINT ELSE 0 END AS cache_read_input_tokens
+  FROM once),
+assistant AS (SELECT * FROM parts WHERE entry_type = 'assistant' AND seen IS NOT NULL),
+turns AS (SELECT * FROM assistant WHERE input_tokens > 0 OR output_tokens > 0),
+blocks AS (SELECT entry_id, session, seen, model, unnest(CASE WHEN json_type(m, '$.content') = 'ARRAY' THEN json_extract(m, '$.content[*]') ELSE [] END) AS b FROM assistant),
+calls AS (
+  SELECT session, seen, model, b->>'$.name' AS tool, coalesce(nullif(b->>'$.input.file_path', ''), nullif(b->>'$.input.path', '')) AS path
+  FROM blocks WHERE json_type(b) = 'OBJECT' AND b->>'$.type' = 'tool_use' AND b->>'$.name' <> ''),
+ops AS (
+  SELECT CASE WHEN starts_with(path, '/srv/work/') THEN substr(path, 11) ELSE path END AS path, count(*) AS operations,
+    count(*) FILTER (tool = 'Read') AS reads, count(*) FILTER (tool = 'Edit') AS edits, count(*) FILTER (tool = 'Write') AS writes
+  FROM calls WHERE path IS NOT NULL GROUP BY 1),
+per_session AS (
+  SELECT p.session AS session_id, sum(CASE WHEN entry_type = 'assistant' AND seen IS NOT NULL AND (input_tokens > 0 OR output_tokens > 0) THEN 1 ELSE 0 END)::BIGINT AS turns,
+    coalesce(any_value(c.n), 0)::BIGINT AS calls,
+    min(CASE WHEN entry_type IN ('user', 'assistant') THEN epoch_us(seen) END) AS start_us, max(CASE WHEN entry_type IN ('user', 'assistant') THEN epoch_us(seen) END) AS end_us
+  FROM parts p LEFT JOIN (SELECT session, count(*) AS n FROM calls GROUP BY 1) c ON c.session = p.session
+  GROUP BY p.session HAVING turns > 0 OR calls > 0)
+"""
+ROOT = "/srv/work"
+
+
+def _once(spark, d):
+    return usage.entries_once(table(spark, d, "session_entries"))
+
+
+def _operations(spark, d):
+    return usage.file_operations(usage.tool_calls(_once(spark, d)), F.lit(ROOT))
+
+
+@query(USAGE_SQL + "SELECT tool, count(*) AS calls, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS share FROM calls GROUP BY tool")
+def usage_tools(spark, d):
+    return usage.tool_usage(usage.tool_calls(_once(spark, d)))
+
+
+@query(USAGE_SQL + "SELECT * FROM ops ORDER BY operations DESC, path LIMIT 15")
+def usage_hot_files(spark, d):
+    return usage.hot_files(_operations(spark, d))
+
+
+@query(USAGE_SQL + """
+SELECT * FROM (SELECT 'repeated_reads' AS kind, path, reads AS count FROM ops WHERE reads >= 10
+  UNION ALL SELECT 'write_then_edit', path, edits FROM ops WHERE writes > 0 AND edits >= 2) ORDER BY count DESC, path, kind LIMIT 10
+""")
+def usage_pain_points(spark, d):
+    return usage.pain_points(_operations(spark, d))
+
+
+@query(USAGE_SQL + """
+SELECT model, count(*) AS turns, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens,
+  sum(cache_creation_input_tokens)::BIGINT AS cache_creation_input_tokens, sum(cache_read_input_tokens)::BIGINT AS cache_read_input_tokens
+FROM turns GROUP BY model
+""")
+def usage_models(spark, d):
+    return usage.models(usage.turns(_once(spark, d)))
+
+
+@query(USAGE_SQL + "SELECT * FROM per_session")
+def usage_sessions(spark, d):
+    return usage.sessions(_once(spark, d))
+
+
+@query(USAGE_SQL + """
+SELECT count(*) AS sessions, sum(turns)::BIGINT AS turns, sum(calls)::BIGINT AS calls, min(start_us) AS start_us, max(end_us) AS end_us,
+  (SELECT sum(input_tokens)::BIGINT FROM turns) AS input_tokens, (SELECT sum(output_tokens)::BIGINT FROM turns) AS output_tokens,
+  (SELECT sum(cache_creation_input_tokens)::BIGINT FROM turns) AS cache_creation_input_tokens, (SELECT sum(cache_read_input_tokens)::BIGINT FROM turns) AS cache_read_input_tokens
+FROM per_session
+""")
+def usage_summary(spark, d):
+    once = _once(spark, d)
+    return usage.summary(usage.sessions(once), usage.turns(once))
+
+
+@query(USAGE_SQL + """
+SELECT strftime(seen AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, count(*) AS turns, sum(output_tokens)::BIGINT AS output_tokens
+FROM turns WHERE seen >= TIMESTAMPTZ '2026-01-15 00:00:00+00' GROUP BY 1
+""")
+def usage_since(spark, d):
+    spent = usage.turns(_once(spark, d), F.to_timestamp(F.lit("2026-01-15")))
+    return spent.groupBy(F.date_format("at", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("turns"), F.sum("output_tokens").alias("output_tokens"))
+
+
+@query(USAGE_SQL + """
+SELECT state, count(*) AS sessions FROM (
+  SELECT CASE WHEN p.session_id IS NULL THEN 'no log' WHEN t.turns IS NULL OR t.calls IS NULL THEN 'no count'
+    WHEN t.turns <> p.turns OR t.calls <> p.calls THEN 'stale' ELSE 'current' END AS state
+  FROM (SELECT session_id, max(turn_count) AS turns, max(tool_count) AS calls FROM sessions GROUP BY 1) t LEFT JOIN per_session p USING (session_id)) GROUP BY state
+""")
+def usage_stale_sessions(spark, d):
+    return usage.stale_sessions(table(spark, d, "sessions"), usage.sessions(_once(spark, d)))
