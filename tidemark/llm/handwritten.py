@@ -246,22 +246,24 @@ def classify(files: DataFrame, contents: DataFrame) -> DataFrame:
     """
     f = files.where(~F.coalesce("is_dir", F.lit(False))).select("file_id", "project_id", _clean(F.col("path")).alias("path"))
     f = f.withColumn("extension", F.regexp_extract("path", r"(\.[A-Za-z]+)$", 1)).where(F.col("extension").isin(*EXTENSIONS))
-    df = layout(f.join(contents.select("file_id", "content"), "file_id", "left"))
-    at = lambda name: F.col(name)
-    limit = lambda name: _threshold(F.col("extension"), name)
-    # a statement about a head comment that the code writes elsewhere ("writes the banner of ...") is not a head comment of this file
+    # contents are measured where they are read; text itself is never shuffled
+    measured = layout(contents.select(F.col("file_id").alias("_id"), "content"))
+    # a statement about a head comment that the code writes elsewhere isn't one of this file
     made = F.exists(
         F.split("head", "\n"), lambda x: x.rlike(MADE) & ~x.rlike(r"[=:]\s*\"") & ~x.rlike(r"(?i)(?:reports?|outputs?|templates?) (?:are|is) generated")
     )
-    foreign = F.col("head").rlike(FOREIGN)
+    measured = measured.withColumns({"_made": made, "_foreign": F.col("head").rlike(FOREIGN)}).drop("head")
+    df = f.join(measured, f.file_id == measured._id, "left").drop("_id")
+    at = lambda name: F.col(name)
+    limit = lambda name: _threshold(F.col("extension"), name)
     repeated = (at("code_lines") >= limit("least")) & (at("shapes") <= limit("shapes"))
     df = df.withColumns({
         "minified": (at("max_line") >= limit("long")) & (at("mean_line") >= limit("mean")) & (at("space") < limit("dense")) & (at("encoded") < ENCODED_SHARE),
         "data": (at("encoded_run") >= ENCODED_RUN) | (at("encoded") >= ENCODED_SHARE) | ((at("numbers") >= limit("numbers")) & repeated & (at("counters") < limit("counters"))) | (at("numbers") >= 8),
-        "generated": made | (repeated & (at("counters") >= limit("counters"))),
-        "foreign": foreign | F.col("path").rlike(VENDOR_FOLDER),
+        "generated": F.col("_made") | (repeated & (at("counters") >= limit("counters"))),
+        "foreign": F.coalesce("_foreign", F.lit(False)) | F.col("path").rlike(VENDOR_FOLDER),
         "_key": F.col("body_hash"),
-    }).drop("head", "body_hash")
+    }).drop("_made", "_foreign", "body_hash")
     # copies: the body stands in another project too, or one of its copies lies in a vendor folder or names its origin
     copies = (
         df.where(F.col("_key").isNotNull())
