@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import drift, features, nested, rejects, usage
+from tidemark.functions import dimensions
+from tidemark.operators import drift, features, listing, nested, rejects, rules, usage
 from tidemark.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -217,3 +218,140 @@ SELECT state, count(*) AS sessions FROM (
 """)
 def usage_stale_sessions(spark, d):
     return usage.stale_sessions(table(spark, d, "sessions"), usage.sessions(_once(spark, d)))
+
+
+# --- listing and rules -----------------------------------------------------------------------------------------------
+
+LISTING_SQL = r"""
+WITH scan AS (
+  SELECT file_id, project_id, regexp_replace(regexp_replace(path, '[/\\]+', '/', 'g'), '/(\./)+', '/', 'g') AS path, size, is_dir, scanned_at FROM files),
+listing AS (
+  SELECT *, lower(regexp_extract(path, '(\.[^./]*)$', 1)) AS extension FROM scan
+  QUALIFY row_number() OVER (PARTITION BY project_id, path ORDER BY scanned_at DESC NULLS LAST, file_id DESC) = 1),
+below AS (
+  SELECT l.*, p.name AS project, CASE WHEN starts_with(path, p.root_path || '/') THEN substr(path, length(p.root_path) + 2) END AS relative
+  FROM listing l LEFT JOIN projects p USING (project_id)),
+src AS (
+  SELECT l.file_id, l.project_id, l.path, l.extension, l.relative, c.content, c.walk_ord FROM below l JOIN files_content c USING (file_id)
+  WHERE NOT coalesce(is_dir, false) AND strlen(c.content) <= 500000)
+"""
+
+
+def _values(rows, names: str) -> str:
+    quote = lambda x: "NULL" if x is None else str(x) if isinstance(x, (int, float)) else "[" + ", ".join(map(quote, x)) + "]::VARCHAR[]" if isinstance(x, tuple) else "'" + str(x).replace("'", "''") + "'"  # noqa: E731, E501
+    return "(VALUES " + ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows) + f") {names}"
+
+
+def _listing(spark, d):
+    return listing.below(listing.latest_scan(table(spark, d, "files")), table(spark, d, "projects"))
+
+
+def _sources(spark, d):
+    return rules.sources(_listing(spark, d), table(spark, d, "files_content"))
+
+
+@query(LISTING_SQL + f"""
+SELECT language, count(*) AS files, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS share
+FROM listing JOIN {_values(dimensions.LANGUAGES.items(), "v(e, language)")} ON extension = e WHERE NOT coalesce(is_dir, false) GROUP BY language QUALIFY share >= 1
+""")
+def listing_languages(spark, d):
+    return listing.languages(_listing(spark, d))
+
+
+@query(LISTING_SQL + f"""
+, counts AS (SELECT CASE WHEN split_part(relative, '/', 1) IN {dimensions.EXPANDED} AND len(string_split(relative, '/')) >= 3
+    THEN split_part(relative, '/', 1) || '/' || split_part(relative, '/', 2) ELSE split_part(relative, '/', 1) END AS directory, count(*) AS files
+  FROM below WHERE NOT coalesce(is_dir, false) AND contains(relative, '/') GROUP BY 1),
+v AS (SELECT * FROM {_values(dimensions.PURPOSES.items(), "v(e, purpose)")})
+SELECT directory, coalesce(a.purpose, b.purpose, '') AS purpose, files FROM counts LEFT JOIN v a ON a.e = lower(directory) LEFT JOIN v b ON b.e = lower(regexp_extract(directory, '[^/]*$'))
+""")
+def listing_structure(spark, d):
+    return listing.structure(_listing(spark, d))
+
+
+@query(LISTING_SQL + r"""
+SELECT file_id, relative FROM below WHERE relative IS NOT NULL AND NOT regexp_matches(relative,
+  '\.git|node_modules|vendor|__pycache__|\.venv|venv|dist|build|\.next|\.nuxt|target|bin|obj|\.idea|\.vscode|(^|/)[^/]*\.log(/|$)|(^|/)[^/]*\.lock(/|$)|package-lock\.json|yarn\.lock|pnpm-lock\.yaml|go\.sum|Cargo\.lock|(^|/)[^/]*\.min\.js(/|$)|(^|/)[^/]*\.min\.css(/|$)|(^|/)[^/]*\.map(/|$)')
+""")
+def listing_walk(spark, d):
+    return _listing(spark, d).where(F.col("relative").isNotNull() & ~listing.ignored()).select("file_id", "relative")
+
+
+@query(LISTING_SQL + f"""
+SELECT project_id, e AS name, purpose, arg_min(path, (len(string_split(path, '/')), path)) AS path
+FROM listing JOIN {_values(dimensions.KEY_FILES.items(), "v(e, purpose)")} ON regexp_extract(path, '[^/]*$') = e WHERE NOT coalesce(is_dir, false) GROUP BY ALL
+""")
+def listing_key_files(spark, d):
+    return listing.key_files(_listing(spark, d))
+
+
+@query(LISTING_SQL + """
+, per AS (SELECT project_id, extension, count(*) FILTER (NOT coalesce(is_dir, false)) AS n, sum(CASE WHEN coalesce(is_dir, false) THEN 0 ELSE coalesce(size, 0) END) AS b, count(*) FILTER (coalesce(is_dir, false)) AS d
+  FROM listing GROUP BY ALL)
+SELECT p.project_id, p.name, p.main_lang, coalesce(sum(n), 0)::BIGINT AS files, coalesce(sum(b), 0)::BIGINT AS bytes, coalesce(sum(d), 0)::BIGINT AS folders,
+  count(*) FILTER (n > 0) AS extensions, first(extension ORDER BY n DESC, extension) AS main_extension
+FROM projects p LEFT JOIN per USING (project_id) GROUP BY ALL
+""")
+def listing_workspaces(spark, d):
+    return listing.workspaces(_listing(spark, d), table(spark, d, "projects"))
+
+
+KEYWORD_SQL = f"""
+, hits AS (SELECT section, name, path, walk_ord, file_id FROM src JOIN {_values(dimensions.KEYWORDS, "v(section, name, ext, imports)")}
+  ON list_contains(ext, extension) AND contains(content, name) AND (len(imports) = 0 OR len(list_filter(imports, lambda i: contains(content, i))) > 0))
+"""
+PATTERNS_SQL = "SELECT section, name, count(*) AS files, list(path ORDER BY walk_ord, file_id)[1:3] AS examples FROM hits GROUP BY ALL"
+
+
+@query(LISTING_SQL + KEYWORD_SQL + PATTERNS_SQL)
+def rules_keywords(spark, d):
+    return rules.patterns(rules.keyword_hits(_sources(spark, d), dimensions.KEYWORDS))
+
+
+REGEX_SQL = f"""
+, hits AS (SELECT section, name, path, walk_ord, file_id, len(regexp_extract_all(content, p)) AS matches FROM src JOIN {_values(dimensions.REGEXES, "v(section, name, p, ext)")}
+  ON list_contains(ext, extension) WHERE regexp_matches(content, p))
+"""
+
+
+@query(LISTING_SQL + REGEX_SQL + PATTERNS_SQL)
+def rules_regexes(spark, d):
+    return rules.patterns(rules.regex_hits(_sources(spark, d), dimensions.REGEXES))
+
+
+@query(LISTING_SQL + REGEX_SQL + "SELECT section, name, sum(matches)::BIGINT AS matches, max(matches) AS most FROM hits GROUP BY ALL")
+def rules_regex_counts(spark, d):
+    hits = rules.regex_hits(_sources(spark, d), dimensions.REGEXES)
+    return hits.groupBy("section", "name").agg(F.sum("matches").alias("matches"), F.max("matches").cast("bigint").alias("most"))
+
+
+@query(LISTING_SQL + KEYWORD_SQL + """
+, a AS (SELECT section, name, count(*) AS files FROM hits WHERE section = 'errors' GROUP BY ALL), b AS (SELECT 'second' AS section, name, count(*) AS files FROM hits GROUP BY name)
+SELECT * FROM a UNION ALL SELECT * FROM b WHERE name NOT IN (SELECT name FROM a)
+""")
+def rules_merged(spark, d):
+    hits = rules.keyword_hits(_sources(spark, d), dimensions.KEYWORDS)
+    count = lambda df: df.groupBy("section", "name").agg(F.count(F.lit(1)).alias("files"))
+    return rules.merged(count(hits.where("section = 'errors'")), count(hits.withColumn("section", F.lit("second"))))
+
+
+GATE = "extension = '.rs' AND contains(content, 'impl ')"
+
+
+@query(LISTING_SQL + f"SELECT project_id, count(*) AS files FROM src WHERE project_id IN (SELECT project_id FROM src WHERE {GATE}) GROUP BY ALL")
+def rules_gate(spark, d):
+    return rules.gated(_sources(spark, d), F.expr(GATE)).groupBy("project_id").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query(LISTING_SQL + f"SELECT project_id, count(*) AS files FROM src WHERE project_id NOT IN (SELECT project_id FROM src WHERE {GATE}) GROUP BY ALL")
+def rules_gate_shut(spark, d):
+    return rules.gated(_sources(spark, d), F.expr(GATE), shut=True).groupBy("project_id").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query(LISTING_SQL + """
+, s AS (SELECT extension, content FROM src QUALIFY row_number() OVER (PARTITION BY extension ORDER BY walk_ord, file_id) <= 30)
+SELECT extension, count(*) AS sampled, count(*) FILTER (contains(content, 'return')) AS returning FROM s GROUP BY extension
+""")
+def rules_sample(spark, d):
+    sample = rules.first_of_each(_sources(spark, d), ["extension"], ["walk_ord", "file_id"], 30)
+    return sample.groupBy("extension").agg(F.count(F.lit(1)).alias("sampled"), F.count_if(F.contains(F.col("content"), F.lit("return"))).alias("returning"))
