@@ -27,17 +27,23 @@ def entries_once(entries: DataFrame) -> DataFrame:
     A message counts only if its content is an array or absent; other shapes keep the entry with null parts. A null
     entry_uuid makes an entry of its own.
     """
-    key = F.coalesce("entry_uuid", F.concat(F.lit("#"), F.col("entry_id").cast("string")))
-    latest = Window.partitionBy(key).orderBy(F.desc("received_at"), F.desc("entry_id"))
-    df = entries.withColumn("_n", F.row_number().over(latest)).where("_n = 1")
     usage = ", ".join(f"{t}:string" for t in TOKENS)
     message = F.from_json("message_json", f"model string, usage struct<{usage}>, content string")
-    blocks = F.from_json("_m.content", "array<string>")
+    block = "type string, name string, input struct<file_path:string, path:string>"
     session = F.coalesce(F.nullif("session_id", F.lit("")), F.regexp_replace(F.regexp_extract("file_name", r"([^/\\\\]+)$", 1), r"\.jsonl$", ""))
-    df = df.withColumns({"session": session, "at": instant(F.col("logged_at")), "_m": message})
-    df = df.withColumn("blocks", F.when(F.col("_m.content").startswith("["), blocks))
+    df = entries.withColumns({"session": session, "at": instant(F.col("logged_at")), "_m": message})
+    blocks = F.transform(F.from_json("_m.content", "array<string>"), lambda b: F.from_json(b, block))
+    path = lambda b: F.coalesce(F.nullif(b["input"]["file_path"], F.lit("")), F.nullif(b["input"]["path"], F.lit("")))
+    named = F.transform(F.filter(blocks, lambda b: (b["type"] == "tool_use") & (b["name"] != "")), lambda b: F.struct(b["name"].alias("tool"), path(b).alias("path")))
     count = lambda c: F.coalesce(F.when(F.col(f"_m.usage.{c}").rlike(r"^[0-9]{1,18}$"), F.col(f"_m.usage.{c}").try_cast("bigint")), F.lit(0)).alias(c)
-    return df.select("entry_id", "session", "entry_type", "at", normalize_model(F.col("_m.model")).alias("model"), *[count(t) for t in TOKENS], "blocks")
+    # messages are read where they lie; only what is counted travels to the other deliveries of an entry
+    df = df.select(
+        "entry_id", "received_at", F.coalesce("entry_uuid", F.concat(F.lit("#"), F.col("entry_id").cast("string"))).alias("_key"), "session", "entry_type", "at",
+        normalize_model(F.col("_m.model")).alias("model"), *[count(t) for t in TOKENS],
+        F.coalesce(F.when(F.col("_m.content").startswith("["), named), F.array().cast("array<struct<tool:string,path:string>>")).alias("calls"),
+    )
+    latest = Window.partitionBy("_key").orderBy(F.desc("received_at"), F.desc("entry_id"))
+    return df.withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n", "_key", "received_at")
 
 
 def since(once: DataFrame, start: Column | None) -> DataFrame:
@@ -48,15 +54,12 @@ def since(once: DataFrame, start: Column | None) -> DataFrame:
 
 def turns(once: DataFrame, start: Column | None = None) -> DataFrame:
     """Entries that spent input or output tokens; the cache tokens of others don't count."""
-    return since(once, start).where("input_tokens > 0 or output_tokens > 0").drop("blocks")
+    return since(once, start).where("input_tokens > 0 or output_tokens > 0").drop("calls")
 
 
 def tool_calls(once: DataFrame, start: Column | None = None) -> DataFrame:
     """One row per tool_use block with a name: session, at, model, tool and path (file_path, else path, else null)."""
-    block = F.from_json("block", "type string, name string, input struct<file_path:string, path:string>")
-    df = since(once, start).select("entry_id", "session", "at", "model", F.posexplode("blocks").alias("ord", "block")).withColumn("b", block)
-    path = F.coalesce(F.nullif(F.col("b.input.file_path"), F.lit("")), F.nullif(F.col("b.input.path"), F.lit("")))
-    return df.where("b.type = 'tool_use' and b.name <> ''").select("entry_id", "session", "at", "model", "ord", F.col("b.name").alias("tool"), path.alias("path"))
+    return since(once, start).select("entry_id", "session", "at", "model", F.posexplode("calls").alias("ord", "c")).select("entry_id", "session", "at", "model", "ord", "c.tool", "c.path")
 
 
 def tool_usage(calls: DataFrame) -> DataFrame:
@@ -98,11 +101,7 @@ def sessions(once: DataFrame) -> DataFrame:
     User entries widen the time of a session and count nothing.
     """
     spent = (F.col("entry_type") == "assistant") & F.col("at").isNotNull() & ((F.col("input_tokens") > 0) | (F.col("output_tokens") > 0))
-    named = F.filter(
-        F.transform(F.coalesce("blocks", F.array().cast("array<string>")), lambda b: F.from_json(b, "type string, name string")),
-        lambda b: (b["type"] == "tool_use") & (b["name"] != ""),
-    )
-    calls = F.when((F.col("entry_type") == "assistant") & F.col("at").isNotNull(), F.size(named)).otherwise(0)
+    calls = F.when((F.col("entry_type") == "assistant") & F.col("at").isNotNull(), F.size("calls")).otherwise(0)
     timed = F.when(F.col("entry_type").isin("user", "assistant"), F.unix_micros("at"))
     return (
         once.withColumns({"_turn": spent.cast("bigint"), "_calls": calls.cast("bigint"), "_at": timed})

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import dimensions
-from tidemark.operators import drift, features, listing, nested, rejects, rules, usage
+from tidemark.functions import text
+from tidemark.operators import commands, conventions, drift, features, graphs, lines, listing, nested, rejects, rules, scoring, usage
+from tidemark.plans import reports
+from tidemark.streaming import changes
 from tidemark.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -355,3 +358,312 @@ SELECT extension, count(*) AS sampled, count(*) FILTER (contains(content, 'retur
 def rules_sample(spark, d):
     sample = rules.first_of_each(_sources(spark, d), ["extension"], ["walk_ord", "file_id"], 30)
     return sample.groupBy("extension").agg(F.count(F.lit(1)).alias("sampled"), F.count_if(F.contains(F.col("content"), F.lit("return"))).alias("returning"))
+
+
+# --- lines of texts --------------------------------------------------------------------------------------------------
+
+LINES_SQL = r"""
+WITH split AS (SELECT doc_id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS rows FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, unnest(range(1, len(rows) + 1)) AS line, unnest(rows) AS row FROM split),
+fences AS (
+  SELECT *, fence::INT AS f, NOT fence AND (sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY line)) % 2 = 1 AS inside
+  FROM (SELECT *, starts_with(trim(row, ' '), '```') AS fence FROM lines))
+"""
+
+
+def _lines(spark, d):
+    return lines.lines(table(spark, d, "documents"), "doc_id")
+
+
+@query(LINES_SQL + "SELECT doc_id, count(*) AS lines, count(*) FILTER (fence) AS fences, count(*) FILTER (inside) AS inside FROM fences GROUP BY doc_id")
+def lines_fenced(spark, d):
+    marked = lines.fenced(_lines(spark, d), "doc_id")
+    return marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if("fence").alias("fences"), F.count_if("inside").alias("inside"))
+
+
+@query(LINES_SQL + r"""
+, marks AS (SELECT *, NOT inside AND NOT fence AND regexp_matches(row, '^#{1,6} +\S') AS head FROM fences),
+parts AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY line) AS no FROM marks)
+SELECT doc_id, length(regexp_extract(arg_min(row, line), '^(#+)', 1)) AS level, trim(regexp_replace(arg_min(row, line), '^#+ +', ''), ' ') AS title,
+  min(line) AS first, max(line) AS last, count(*) FILTER (trim(row, ' ') <> '') - 1 AS filled FROM parts WHERE no > 0 GROUP BY doc_id, no
+""")
+def lines_sections(spark, d):
+    return lines.sections(_lines(spark, d), "doc_id")
+
+
+@query(LINES_SQL + r"""
+, b AS (SELECT doc_id, line, trim(regexp_extract(row, '^[ \t]*[-*+] +(.+)$', 1), ' ') AS item FROM fences WHERE NOT inside AND NOT fence)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS ord, item FROM b WHERE item <> '' AND strlen(item) < 200 QUALIFY ord <= 10
+""")
+def lines_bullets(spark, d):
+    return lines.bullets(_lines(spark, d), "doc_id")
+
+
+@query(LINES_SQL + r"""
+, prose AS (SELECT doc_id, line, row, trim(row, ' ') = '' AS blank, starts_with(ltrim(row, ' '), '#') AS head,
+    min(CASE WHEN starts_with(ltrim(row, ' '), '# ') THEN line END) OVER (PARTITION BY doc_id) AS title
+  FROM fences WHERE NOT inside AND NOT fence AND NOT regexp_matches(row, '^(    |\t)')),
+after AS (SELECT *, max((NOT blank AND NOT head)::INT) OVER (PARTITION BY doc_id ORDER BY line) AS seen FROM prose WHERE line > title),
+stops AS (SELECT *, sum((head OR (blank AND seen = 1))::INT) OVER (PARTITION BY doc_id ORDER BY line) AS stop FROM after),
+joined AS (SELECT doc_id, string_agg(trim(row, ' '), ' ' ORDER BY line) AS t FROM stops WHERE stop = 0 AND NOT blank AND NOT head GROUP BY doc_id)
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\*\*([^*]+)\*\*', '\1', 'g'), '\*([^*]+)\*', '\1', 'g'), '`([^`]+)`', '\1', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g') AS description
+FROM joined
+""")
+def lines_descriptions(spark, d):
+    return lines.descriptions(_lines(spark, d), "doc_id")
+
+
+CODE_SQL = LISTING_SQL + r"""
+, split AS (SELECT file_id, string_split(regexp_replace(content, '\r\n?', chr(10), 'g'), chr(10)) AS rows FROM src WHERE extension = '.go'),
+lines AS (SELECT file_id, unnest(range(1, len(rows) + 1)) AS line, unnest(rows) AS row FROM split)
+"""
+
+
+def _code(spark, d):
+    return lines.lines(_sources(spark, d).where("extension = '.go'"), "file_id", "content")
+
+
+@query(CODE_SQL + r"""
+, named AS (SELECT *, nullif(regexp_extract(row, '^func (?:\([^)]*\) )?(\w+)', 1), '') AS name, nullif(regexp_extract(row, '^\s*// (.+)$', 1), '') AS said FROM lines),
+parts AS (SELECT *, count(name) OVER (PARTITION BY file_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS part FROM named),
+carried AS (SELECT *, last_value(said IGNORE NULLS) OVER (PARTITION BY file_id, part ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS comment FROM parts)
+SELECT file_id, line, name, comment FROM carried WHERE name IS NOT NULL
+""")
+def lines_commented(spark, d):
+    return lines.commented(_code(spark, d), "file_id", r"^func (?:\([^)]*\) )?(\w+)", r"^\s*// (.+)$")
+
+
+@query(CODE_SQL + """
+, depths AS (SELECT file_id, line, sum(length(row) - length(replace(row, '{', '')) - length(row) + length(replace(row, '}', ''))) OVER (PARTITION BY file_id ORDER BY line) AS depth FROM lines)
+SELECT file_id, max(depth)::BIGINT AS deepest, arg_max(depth, line)::BIGINT AS at_end, count(*) FILTER (depth = 0) AS outside FROM depths GROUP BY file_id
+""")
+def lines_depths(spark, d):
+    deep = lines.depths(_code(spark, d), "file_id")
+    return deep.groupBy("file_id").agg(F.max("depth").alias("deepest"), F.max_by("depth", "line").alias("at_end"), F.count_if(F.col("depth") == 0).alias("outside"))
+
+
+# --- graphs ----------------------------------------------------------------------------------------------------------
+
+EDGES_SQL = LISTING_SQL + r"""
+, raw AS (SELECT project_id, regexp_extract(path, '([^/]+)/[^/]*$', 1) AS src, unnest(regexp_extract_all(content, 'from ''\./([A-Za-z_]+)''', 1)) AS dst FROM src),
+edges AS (SELECT DISTINCT project_id, src, dst FROM raw WHERE src <> '' AND src <> dst)
+"""
+
+
+def _edges(spark, d):
+    return graphs.edges(_sources(spark, d))
+
+
+def _project_edges(spark, d):
+    """Edges between folders of one project, named by both."""
+    name = lambda c: F.concat(F.col("project_id").cast("string"), F.lit(":"), F.col(c)).alias(c)
+    return _edges(spark, d).select(name("src"), name("dst"))
+
+
+@query(EDGES_SQL + "SELECT * FROM edges")
+def graph_edges(spark, d):
+    return _edges(spark, d)
+
+
+@query(EDGES_SQL + """
+, one AS (SELECT DISTINCT src, dst FROM edges), ends AS (SELECT src AS node, 1 AS o, 0 AS i FROM one UNION ALL SELECT dst, 0, 1 FROM one)
+SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM ends GROUP BY node HAVING out_degree > 5 OR in_degree > 5
+""")
+def graph_degrees(spark, d):
+    return graphs.degrees(_edges(spark, d))
+
+
+@query(EDGES_SQL.replace("WITH scan", "WITH RECURSIVE scan") + """
+, one AS (SELECT DISTINCT project_id || ':' || src AS src, project_id || ':' || dst AS dst FROM edges),
+walks AS (SELECT src AS start, dst AS finish, [src, dst] AS nodes FROM one WHERE dst > src
+  UNION ALL SELECT start, dst, list_append(nodes, dst) FROM walks JOIN one ON finish = src WHERE dst > start AND NOT list_contains(nodes, dst) AND len(nodes) < 4)
+SELECT nodes, len(nodes) AS length FROM walks WHERE EXISTS (SELECT 1 FROM one WHERE src = finish AND dst = start)
+""")
+def graph_cycles(spark, d):
+    return graphs.cycles(_project_edges(spark, d))
+
+
+@query(EDGES_SQL.replace("WITH scan", "WITH RECURSIVE scan") + """
+, ways AS (SELECT project_id || ':' || src AS a, project_id || ':' || dst AS b FROM edges UNION SELECT project_id || ':' || dst, project_id || ':' || src FROM edges),
+reach AS (SELECT a AS node, a AS other FROM ways UNION SELECT node, b FROM reach JOIN ways ON other = a)
+SELECT node, min(other) AS component FROM reach GROUP BY node
+""")
+def graph_components(spark, d):
+    return graphs.components(_project_edges(spark, d))
+
+
+@query(LISTING_SQL + r"""
+, named AS (SELECT project_id, regexp_replace(relative, '/[^/]*$', '') AS folder, string_split(regexp_replace(relative, '/[^/]*$', ''), '/')[1] AS top FROM below WHERE contains(relative, '/')),
+pairs AS (SELECT DISTINCT a.folder AS from_path, b.folder AS to_path FROM (SELECT DISTINCT * FROM named) a JOIN (SELECT DISTINCT * FROM named) b
+  ON a.project_id = b.project_id AND regexp_extract(a.folder, '[^/]*$') = regexp_extract(b.folder, '[^/]*$') AND a.folder <> b.folder),
+v AS (SELECT * FROM (VALUES ('cmd', 5), ('api', 4), ('service', 3), ('repository', 2), ('domain', 1), ('pkg', 0), ('internal', 0)) v(layer, level)),
+first AS (SELECT path, arg_min(layer, pos) AS layer, arg_min(level, pos) AS level FROM (
+  SELECT path, unnest(string_split(path, '/')) AS seg, unnest(range(1, len(string_split(path, '/')) + 1)) AS pos FROM (SELECT from_path AS path FROM pairs UNION SELECT to_path FROM pairs)) JOIN v ON seg = layer GROUP BY path)
+SELECT from_path, to_path, a.layer AS from_layer, b.layer AS to_layer FROM pairs JOIN first a ON from_path = a.path JOIN first b ON to_path = b.path WHERE a.level < b.level
+""")
+def graph_layer_violations(spark, d):
+    """Folders of one name in two layers of a project, taken as dependencies of the one on the other."""
+    folder = F.regexp_replace("relative", "/[^/]*$", "")
+    named = _listing(spark, d).where(F.contains("relative", F.lit("/"))).select("project_id", folder.alias("folder"), F.regexp_extract(folder, "([^/]*)$", 1).alias("name")).distinct()
+    other = named.select(F.col("project_id").alias("_p"), F.col("folder").alias("to_path"), F.col("name").alias("_n"))
+    pairs = named.join(other, F.expr("project_id = _p and name = _n and folder <> to_path")).select(F.col("folder").alias("from_path"), "to_path").distinct()
+    return graphs.violations(pairs)
+
+
+# --- commands, conventions, kinds ------------------------------------------------------------------------------------
+
+#: Names of source files read as commands: words of the name, in lower case.
+COMMANDS_SQL = LISTING_SQL + r"""
+, commands AS (SELECT DISTINCT project_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(path, '[^/]*$'), '\..*$', ''), '([a-z])([A-Z])', '\1 \2', 'g'), '[_-]+', ' ', 'g'), ' ')) AS command
+  FROM listing WHERE NOT coalesce(is_dir, false)),
+ranked AS (SELECT *, CASE %s ELSE 'other' END AS category FROM commands),
+norm AS (SELECT *, list_position(%s, category) AS priority,
+  replace(replace(replace(replace(regexp_replace(command, '(.) \(in .*$', '\1'), 'yarn ', 'npm '), 'pnpm ', 'npm '), 'bun ', 'npm '), 'npm run ', 'npm ') AS n FROM ranked),
+kept AS (SELECT * FROM norm QUALIFY row_number() OVER (PARTITION BY project_id, n ORDER BY priority, command) = 1),
+placed AS (SELECT project_id, command, category, priority, row_number() OVER (PARTITION BY project_id ORDER BY priority, command) AS rank FROM kept)
+""" % (
+    " ".join(f"WHEN regexp_matches(command, '{p}') THEN '{c}'" for p, c in dimensions.COMMAND_RULES),
+    "[" + ", ".join(f"'{c}'" for c in dimensions.CATEGORIES) + "]",
+)
+
+
+def _commands(spark, d):
+    stem = F.regexp_replace(F.regexp_extract("path", "([^/]*)$", 1), r"\..*$", "")
+    words = F.lower(F.trim(F.regexp_replace(F.regexp_replace(stem, "([a-z])([A-Z])", "$1 $2"), "[_-]+", " ")))
+    files = _listing(spark, d).where(~F.coalesce("is_dir", F.lit(False)))
+    return commands.prioritized(files.select("project_id", words.alias("command")).distinct(), ["project_id"])
+
+
+@query(COMMANDS_SQL + "SELECT * FROM placed")
+def commands_prioritized(spark, d):
+    return _commands(spark, d)
+
+
+@query(COMMANDS_SQL + """
+, late AS (SELECT *, CASE WHEN category IN ('build', 'test', 'lint', 'format', 'run', 'install') AND row_number() OVER (PARTITION BY project_id, category ORDER BY rank) = 1 THEN 0 ELSE 1 END AS l FROM placed)
+SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY l, rank) AS place, command, category FROM late QUALIFY place <= 10
+""")
+def commands_quick(spark, d):
+    return commands.quick(_commands(spark, d), ["project_id"])
+
+
+STYLE_SQL = LISTING_SQL + r"""
+, stems AS (SELECT extension, split_part(regexp_extract(path, '[^/]*$'), '.', 1) AS n FROM listing WHERE NOT coalesce(is_dir, false)),
+styles AS (SELECT extension, CASE WHEN length(n) < 2 THEN 'unknown' WHEN contains(n, '-') AND NOT contains(n, '_') THEN 'kebab'
+    WHEN contains(n, '_') AND NOT contains(n, '-') AND n = lower(n) THEN 'snake' WHEN NOT contains(n, '-') AND NOT contains(n, '_') AND regexp_matches(n, '^[A-Z]') THEN 'pascal'
+    WHEN NOT contains(n, '-') AND NOT contains(n, '_') AND regexp_matches(n, '^[a-z].*[A-Z]') THEN 'camel' ELSE 'unknown' END AS style FROM stems),
+counts AS (SELECT extension, style, count(*) AS files FROM styles GROUP BY ALL)
+"""
+
+
+@query(STYLE_SQL + "SELECT * FROM counts")
+def conventions_naming(spark, d):
+    return conventions.naming(_listing(spark, d))
+
+
+@query(STYLE_SQL + "SELECT * FROM counts WHERE style <> 'unknown' QUALIFY row_number() OVER (PARTITION BY extension ORDER BY files DESC, style) = 1")
+def conventions_dominant(spark, d):
+    return conventions.dominant(conventions.naming(_listing(spark, d)), "extension", "style")
+
+
+@query(LISTING_SQL + r"""
+, t AS (SELECT extension, regexp_matches(regexp_extract(path, '[^/]*$'), '(?:_test|\.test|\.spec)\.[a-z]+$|^test_') AS s, regexp_matches(path, '/(?:tests?|__tests__|spec)/') AS f FROM listing WHERE NOT coalesce(is_dir, false))
+SELECT extension, count(*) FILTER (s) AS suffixed, count(*) FILTER (f) AS in_folder, count(*) FILTER (s AND f) AS both, count(*) AS files FROM t GROUP BY extension
+""")
+def conventions_tests(spark, d):
+    return conventions.tests(_listing(spark, d))
+
+
+@query(LISTING_SQL + r"""
+, i AS (SELECT extension, unnest(CASE WHEN extension IN ('.js', '.ts') THEN regexp_extract_all(content, 'from ''([^'']+)''', 1)
+    WHEN extension = '.py' THEN regexp_extract_all(content, '(?m)^(?:import|from) ([\w.]+)', 1) WHEN extension = '.java' THEN regexp_extract_all(content, '(?m)^import ([\w.]+);', 1)
+    WHEN extension = '.rs' THEN regexp_extract_all(content, '(?m)^use ([\w:]+);', 1) WHEN extension = '.c' THEN regexp_extract_all(content, '#include [<"]([^>"]+)[>"]', 1)
+    WHEN extension = '.go' THEN regexp_extract_all(content, '(?m)^import "([^"]+)"', 1) END) AS name FROM src)
+SELECT extension, count(*) AS imports, count(*) FILTER (starts_with(name, '.')) AS relative, count(*) FILTER (regexp_matches(name, '^[@~]/')) AS aliased, count(DISTINCT name) AS names FROM i GROUP BY extension
+""")
+def conventions_imports(spark, d):
+    return conventions.imports(_sources(spark, d))
+
+
+@query(LISTING_SQL + f"""
+, e AS (SELECT * FROM {_values([(i, *r) for i, r in enumerate(dimensions.PROJECT_EVIDENCE)], "v(i, kind, weight, least, ext)")}),
+n AS (SELECT project_id, extension, count(*) AS n FROM listing WHERE NOT coalesce(is_dir, false) GROUP BY ALL),
+met AS (SELECT project_id, i, any_value(kind) AS kind, any_value(weight)::DOUBLE AS weight FROM n, e GROUP BY project_id, i HAVING sum(CASE WHEN list_contains(ext, extension) THEN n ELSE 0 END) / sum(n) > any_value(least)),
+s AS (SELECT project_id, kind, sum(weight) AS score FROM met GROUP BY ALL),
+r AS (SELECT project_id, list(kind ORDER BY score DESC, kind) AS kinds, max(score) AS score, sum(score) AS total FROM s GROUP BY project_id)
+SELECT project_id, coalesce(kinds[1], 'unknown') AS kind, coalesce(kinds[2], '') AS second, coalesce(score, 0.0)::DOUBLE AS score, round(coalesce(score / total, 0.0), 6)::DOUBLE AS confidence
+FROM (SELECT DISTINCT project_id FROM n) LEFT JOIN r USING (project_id)
+""")
+def project_kinds(spark, d):
+    return scoring.project_kinds(_listing(spark, d))
+
+
+# --- routes, changes, reports ----------------------------------------------------------------------------------------
+
+
+@query(LISTING_SQL + r"""
+, r AS (SELECT '/' || relative AS path, string_split(trim(relative, '/'), '/') AS p FROM below WHERE relative IS NOT NULL),
+g AS (SELECT path, regexp_matches(lower(p[1]), '^(?:api$|v[0-9])') AS pre, p FROM r),
+k AS (SELECT path, list_filter([CASE WHEN pre THEN p[1] END, CASE WHEN NOT regexp_matches(p[CASE WHEN pre THEN 2 ELSE 1 END], '^[:{\[]|^\*$') THEN p[CASE WHEN pre THEN 2 ELSE 1 END] END], lambda x: x IS NOT NULL) AS kept FROM g),
+res AS (SELECT CASE WHEN len(kept) = 0 THEN '/' ELSE '/' || array_to_string(kept, '/') END AS resource, path FROM k)
+SELECT resource, count(*) AS paths, min(path) AS first FROM res GROUP BY resource ORDER BY paths DESC, resource LIMIT 100
+""")
+def routes_resources(spark, d):
+    """The hundred largest resources of a report, with paths below the projects taken as routes."""
+    paths = _listing(spark, d).where("relative is not null").select(F.concat(F.lit("/"), "relative").alias("path"))
+    groups = paths.groupBy(text.resource_prefix(F.col("path")).alias("resource")).agg(F.count(F.lit(1)).alias("paths"), F.min("path").alias("first"))
+    return groups.orderBy(F.desc("paths"), "resource").limit(100)
+
+
+@query(LISTING_SQL + f"""
+, t AS (SELECT relative, CASE {" ".join(f"WHEN regexp_matches(relative, '{p}') THEN {list(i)}" for p, i in dimensions.IMPACTS)} ELSE [] END AS i FROM below WHERE relative IS NOT NULL)
+SELECT impact, count(*) AS files, min(relative) AS first FROM (SELECT relative, unnest(i) AS impact FROM t) GROUP BY impact
+""")
+def changes_impacts(spark, d):
+    paths = _listing(spark, d).where("relative is not null").select(F.col("relative").alias("path"))
+    return changes.touched(paths).groupBy("impact").agg(F.count(F.lit(1)).alias("files"), F.min("path").alias("first"))
+
+
+@query("""
+WITH gaps AS (SELECT file_name, received_at, CASE WHEN received_at - lag(received_at) OVER w < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS fresh
+  FROM session_entries WINDOW w AS (PARTITION BY file_name ORDER BY received_at)),
+islands AS (SELECT file_name, received_at, sum(fresh) OVER (PARTITION BY file_name ORDER BY received_at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS no FROM gaps)
+SELECT file_name, count(*) AS events, epoch_us(min(received_at)) AS first_us, epoch_us(max(received_at)) AS last_us FROM islands GROUP BY file_name, no
+""")
+def changes_bursts(spark, d):
+    events = table(spark, d, "session_entries").select("file_name", F.col("received_at").alias("at"))
+    found = changes.bursts(events, "file_name", "10 minutes")
+    return found.select("file_name", "events", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"))
+
+
+@query(USAGE_SQL + r"""
+, c AS (SELECT tool, count(*) AS n FROM calls GROUP BY tool), r AS (SELECT row_number() OVER (ORDER BY n DESC, tool) AS rank, tool, n, max(n) OVER () AS most FROM c)
+SELECT rank, substr(rpad(tool, 24, ' '), 1, 24) || ' ' || lpad(CASE WHEN n >= 1000000 THEN printf('%.1fM', n / 1000000.0) WHEN n >= 1000 THEN printf('%.1fK', n / 1000.0) ELSE n::VARCHAR END, 8, ' ') || ' ' || repeat('#', (n * 25 // most)::BIGINT) AS line FROM r
+""")
+def report_bars(spark, d):
+    counts = usage.tool_calls(_once(spark, d)).groupBy("tool").agg(F.count(F.lit(1)).alias("n"))
+    return reports.bars(counts, "tool", "n")
+
+
+@query(r"""
+SELECT doc_id, CASE WHEN regexp_matches(path, '[:#\[\]{},&*!|>''"%@`\n]|^\s|\s$|^$') THEN '"' || path || '"' ELSE path END AS yaml,
+  trim(replace(replace(replace(replace(replace(replace(regexp_replace(text, '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), ' ') AS html
+FROM documents
+""")
+def report_texts(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", reports.yaml_text(F.col("path")).alias("yaml"), text.clean_html(F.col("text")).alias("html"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity)::BIGINT AS quantity FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())")
+def extra_grouping_sets(spark, d):
+    df = table(spark, d, "lineitem")
+    return df.groupingSets([["l_returnflag", "l_linestatus"], ["l_returnflag"], []], "l_returnflag", "l_linestatus").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("l_quantity").cast("bigint").alias("quantity")
+    )
+
+
+@query("SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS hour_us, event_type, count(*) AS events FROM events GROUP BY ALL")
+def extra_hourly_events(spark, d):
+    df = table(spark, d, "events")
+    return df.groupBy(F.unix_micros(F.window("ts", "1 hour").start.cast("timestamp")).alias("hour_us"), "event_type").agg(F.count(F.lit(1)).alias("events"))
