@@ -6,7 +6,7 @@ is split once; a text's lines make one group, whose size is that of the text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import clean_markdown
@@ -18,13 +18,18 @@ def lines(texts: DataFrame, key: str, text: str = "text", keep: tuple[str, ...]
     return texts.select(key, *keep, F.posexplode(split).alias("line", "row")).withColumn("line", (F.col("line") + 1).cast("bigint"))
 
 
+def _strip(text) -> Column:
+    """Without blanks and tabs at both ends."""
+    return F.trim(text, F.lit(" \t"))
+
+
 def _so_far(key: str):
     return Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def fenced(rows: DataFrame, key: str, fence: str = "```") -> DataFrame:
     """Adds ``fence`` (the line opens or closes a block) and ``inside`` (it stands within one); an open block lasts to the end."""
-    mark = F.trim("row").startswith(fence)
+    mark = _strip("row").startswith(fence)
     df = rows.withColumn("fence", mark)
     odd = F.sum(F.col("fence").cast("int")).over(_so_far(key)) % 2 == 1
     return df.withColumn("inside", ~F.col("fence") & odd)
@@ -45,7 +50,7 @@ def sections(rows: DataFrame, key: str) -> DataFrame:
     by_line = F.min(F.struct("line", "row")).alias("h")
     return (
         df.where("_no > 0").groupBy(key, "_no")
-        .agg(by_line, F.max("line").alias("last"), F.count_if(F.trim("row") != "").alias("_full"))
+        .agg(by_line, F.max("line").alias("last"), F.count_if(_strip("row") != "").alias("_full"))
         .select(
             key, F.length(F.regexp_extract("h.row", "^(#+)", 1)).cast("bigint").alias("level"), F.trim(F.regexp_replace("h.row", "^#+ +", "")).alias("title"),
             F.col("h.line").alias("first"), "last", (F.col("_full") - 1).alias("filled"),
@@ -68,16 +73,16 @@ def descriptions(rows: DataFrame, key: str) -> DataFrame:
     """
     df = fenced(rows, key).where("not inside and not fence and not row rlike '^(    |\\t)'")
     so_far = _so_far(key)
-    blank, head = F.trim("row") == "", F.ltrim("row").startswith("#")
-    df = df.withColumns({"_blank": blank, "_head": head, "_titled": F.max(F.when(F.ltrim("row").startswith("# "), F.col("line"))).over(Window.partitionBy(key))})
-    first_title = F.min(F.when(F.ltrim("row").startswith("# "), F.col("line"))).over(Window.partitionBy(key))
+    blank, head = _strip("row") == "", F.ltrim("row", F.lit(" \t")).startswith("#")
+    df = df.withColumns({"_blank": blank, "_head": head, "_titled": F.max(F.when(F.ltrim("row", F.lit(" \t")).startswith("# "), F.col("line"))).over(Window.partitionBy(key))})
+    first_title = F.min(F.when(F.ltrim("row", F.lit(" \t")).startswith("# "), F.col("line"))).over(Window.partitionBy(key))
     df = df.withColumn("_title", first_title).where("line > _title")
     df = df.withColumn("_prose", ~F.col("_blank") & ~F.col("_head"))
     # the paragraph: prose lines before the first break that follows a prose line; a heading before any prose ends the search
     df = df.withColumn("_seen", F.max(F.col("_prose").cast("int")).over(so_far))
     stop = F.sum((F.col("_head") | (F.col("_blank") & (F.col("_seen") == 1))).cast("int")).over(so_far)
     df = df.withColumn("_stop", stop).where("_stop = 0 and _prose")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", F.trim("row").alias("t")))), lambda x: x["t"]), " ")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", _strip("row").alias("t")))), lambda x: x["t"]), " ")
     return df.groupBy(key).agg(clean_markdown(joined).alias("description"))
 
 
@@ -95,12 +100,12 @@ def commented(rows: DataFrame, key: str, target: str, comment: str) -> DataFrame
 
 def required(rows: DataFrame, key: str, indirect: str = "// indirect") -> DataFrame:
     """Module requirements: key, module and version, from single lines and ``require (`` blocks; indirect ones are left out."""
-    opens, closes = F.trim("row").rlike(r"^require\s*\($"), F.trim("row") == ")"
+    opens, closes = _strip("row").rlike(r"^require\s*\($"), _strip("row") == ")"
     df = rows.withColumns({"_open": opens, "_close": closes})
     # a block is open if the last of the two signs before the line opened it
     last = F.last(F.when(F.col("_open"), True).when(F.col("_close"), False), ignorenulls=True)
     df = df.withColumn("_in", F.coalesce(last.over(_so_far(key)), F.lit(False)) & ~F.col("_open"))
-    line = F.when(F.col("_in"), F.trim("row")).otherwise(F.regexp_extract("row", r"^\s*require\s+([^(].*)$", 1))
+    line = F.when(F.col("_in"), _strip("row")).otherwise(F.regexp_extract("row", r"^\s*require\s+([^(].*)$", 1))
     df = df.withColumn("_req", line).where(~F.contains("row", F.lit(indirect)))
     df = df.withColumns({"module": F.regexp_extract("_req", r"^(\S+)\s+v", 1), "version": F.regexp_extract("_req", r"^\S+\s+(v\S+)", 1)})
     return df.where("module <> ''").select(key, "line", "module", "version")

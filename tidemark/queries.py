@@ -367,7 +367,7 @@ WITH split AS (SELECT doc_id, string_split(regexp_replace(text, '\r\n?', chr(10)
 lines AS (SELECT doc_id, unnest(range(1, len(rows) + 1)) AS line, unnest(rows) AS row FROM split),
 fences AS (
   SELECT *, fence::INT AS f, NOT fence AND (sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY line)) % 2 = 1 AS inside
-  FROM (SELECT *, starts_with(trim(row, ' '), '```') AS fence FROM lines))
+  FROM (SELECT *, starts_with(trim(row, e' \t'), '```') AS fence FROM lines))
 """
 
 
@@ -385,7 +385,7 @@ def lines_fenced(spark, d):
 , marks AS (SELECT *, NOT inside AND NOT fence AND regexp_matches(row, '^#{1,6} +\S') AS head FROM fences),
 parts AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY line) AS no FROM marks)
 SELECT doc_id, length(regexp_extract(arg_min(row, line), '^(#+)', 1)) AS level, trim(regexp_replace(arg_min(row, line), '^#+ +', ''), ' ') AS title,
-  min(line) AS first, max(line) AS last, count(*) FILTER (trim(row, ' ') <> '') - 1 AS filled FROM parts WHERE no > 0 GROUP BY doc_id, no
+  min(line) AS first, max(line) AS last, count(*) FILTER (trim(row, e' \t') <> '') - 1 AS filled FROM parts WHERE no > 0 GROUP BY doc_id, no
 """)
 def lines_sections(spark, d):
     return lines.sections(_lines(spark, d), "doc_id")
@@ -400,12 +400,12 @@ def lines_bullets(spark, d):
 
 
 @query(LINES_SQL + r"""
-, prose AS (SELECT doc_id, line, row, trim(row, ' ') = '' AS blank, starts_with(ltrim(row, ' '), '#') AS head,
-    min(CASE WHEN starts_with(ltrim(row, ' '), '# ') THEN line END) OVER (PARTITION BY doc_id) AS title
+, prose AS (SELECT doc_id, line, row, trim(row, e' \t') = '' AS blank, starts_with(ltrim(row, e' \t'), '#') AS head,
+    min(CASE WHEN starts_with(ltrim(row, e' \t'), '# ') THEN line END) OVER (PARTITION BY doc_id) AS title
   FROM fences WHERE NOT inside AND NOT fence AND NOT regexp_matches(row, '^(    |\t)')),
 after AS (SELECT *, max((NOT blank AND NOT head)::INT) OVER (PARTITION BY doc_id ORDER BY line) AS seen FROM prose WHERE line > title),
 stops AS (SELECT *, sum((head OR (blank AND seen = 1))::INT) OVER (PARTITION BY doc_id ORDER BY line) AS stop FROM after),
-joined AS (SELECT doc_id, string_agg(trim(row, ' '), ' ' ORDER BY line) AS t FROM stops WHERE stop = 0 AND NOT blank AND NOT head GROUP BY doc_id)
+joined AS (SELECT doc_id, string_agg(trim(row, e' \t'), ' ' ORDER BY line) AS t FROM stops WHERE stop = 0 AND NOT blank AND NOT head GROUP BY doc_id)
 SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\*\*([^*]+)\*\*', '\1', 'g'), '\*([^*]+)\*', '\1', 'g'), '`([^`]+)`', '\1', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g') AS description
 FROM joined
 """)
