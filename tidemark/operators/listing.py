@@ -37,7 +37,7 @@ def languages(files: DataFrame, least: float = 1.0, names: dict = dimensions.LAN
     dim = dimensions.frame(spark, names.items(), "_ext string, language string")
     known = files.where(~F.coalesce("is_dir", F.lit(False))).join(F.broadcast(dim), F.col("extension") == F.col("_ext"))
     counts = known.groupBy("language").agg(F.count(F.lit(1)).alias("files"))
-    share = F.col("files") * 100.0 / known.agg(F.count(F.lit(1))).scalar()
+    share = F.col("files") * 100.0 / counts.agg(F.sum("files")).scalar()
     return counts.withColumn("share", F.round(share, 6)).where(F.col("share") >= least)
 
 

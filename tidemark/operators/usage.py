@@ -65,7 +65,7 @@ def tool_calls(once: DataFrame, start: Column | None = None) -> DataFrame:
 def tool_usage(calls: DataFrame) -> DataFrame:
     """tool, calls and their share of all calls in per cent; no rows where there are no calls."""
     counts = calls.groupBy("tool").agg(F.count(F.lit(1)).alias("calls"))
-    total = calls.agg(F.count(F.lit(1))).scalar()
+    total = counts.agg(F.sum("calls")).scalar()  # of the counts, whose shuffle Spark reuses
     return counts.select("tool", "calls", F.round(F.col("calls") * 100.0 / total, 6).alias("share"))
 
 
@@ -114,7 +114,8 @@ def sessions(once: DataFrame) -> DataFrame:
 def summary(per_session: DataFrame, spent: DataFrame) -> DataFrame:
     """One row: sessions, turns, calls, time range and token totals."""
     a = per_session.agg(F.count(F.lit(1)).alias("sessions"), F.sum("turns").alias("turns"), F.sum("calls").alias("calls"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"))
-    return a.select("*", *[spent.agg(F.sum(t)).scalar().alias(t) for t in TOKENS])
+    total = spent.agg(F.struct(*[F.sum(t).alias(t) for t in TOKENS])).scalar()
+    return a.withColumn("_t", total).select(*a.columns, *[F.col(f"_t.{t}").alias(t) for t in TOKENS])
 
 
 def stale_sessions(listed: DataFrame, per_session: DataFrame) -> DataFrame:

@@ -30,54 +30,131 @@ def query(sql: str | None = None):
     return register
 
 
-@query()
+def _values(rows, names: str) -> str:
+    quote = lambda x: "NULL" if x is None else str(x) if isinstance(x, (int, float)) else "[" + ", ".join(map(quote, x)) + "]::VARCHAR[]" if isinstance(x, tuple) else "'" + str(x).replace("'", "''") + "'"  # noqa: E731, E501
+    return "(VALUES " + ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows) + f") {names}"
+
+
+NESTED_SQL = """
+WITH RECURSIVE m AS (
+  SELECT entry_id, CASE WHEN json_valid(message_json) THEN message_json::JSON END AS j, CASE WHEN json_valid(data_json) THEN data_json::JSON END AS d FROM session_entries),
+top AS (SELECT entry_id, CASE json_type(j, '$.content') WHEN 'ARRAY' THEN json_extract(j, '$.content[*]') WHEN 'OBJECT' THEN [json_extract(j, '$.content')] ELSE [] END AS e FROM m WHERE json_type(j) = 'OBJECT'),
+blocks AS (
+  SELECT * FROM (SELECT entry_id, unnest(range(len(e)))::VARCHAR AS block_path, unnest(e) AS b FROM top) WHERE json_type(b) = 'OBJECT'
+  UNION ALL
+  SELECT * FROM (SELECT entry_id, block_path || '.' || unnest(range(len(e)))::VARCHAR AS block_path, unnest(e) AS b FROM (
+    SELECT entry_id, block_path, CASE json_type(b, '$.content') WHEN 'ARRAY' THEN json_extract(b, '$.content[*]') WHEN 'OBJECT' THEN [json_extract(b, '$.content')] ELSE [] END AS e FROM blocks)) WHERE json_type(b) = 'OBJECT'),
+results AS (
+  SELECT * FROM (SELECT entry_id, 'results.' || unnest(range(len(e)))::VARCHAR AS block_path, unnest(e) AS b FROM (
+    SELECT entry_id, CASE json_type(d, '$.results') WHEN 'ARRAY' THEN json_extract(d, '$.results[*]') WHEN 'OBJECT' THEN [json_extract(d, '$.results')] ELSE [] END AS e FROM m WHERE json_type(d) = 'OBJECT')) WHERE json_type(b) = 'OBJECT'),
+hits AS (
+  SELECT * FROM (SELECT entry_id, block_path || '.hits.' || unnest(range(len(e)))::VARCHAR AS block_path, unnest(e) AS b FROM (
+    SELECT entry_id, block_path, CASE json_type(b, '$.hits') WHEN 'ARRAY' THEN json_extract(b, '$.hits[*]') WHEN 'OBJECT' THEN [json_extract(b, '$.hits')] ELSE [] END AS e FROM results)) WHERE json_type(b) = 'OBJECT')
+"""
+
+
+@query(NESTED_SQL + "SELECT entry_id, block_path FROM blocks UNION ALL SELECT entry_id, block_path FROM results UNION ALL SELECT entry_id, block_path FROM hits")
 def p3_found(spark, d):
-    return nested.found(table(spark, d, "session_entries"))
+    return nested.found(table(spark, d, "session_entries", spread=True))
 
 
 @query()
 def p3_objects(spark, d):
-    return nested.objects(nested.occurrences(table(spark, d, "session_entries")))
+    return nested.objects(nested.occurrences(table(spark, d, "session_entries", spread=True)))
 
 
 @query()
 def p3_bridge(spark, d):
-    return nested.occurrences(table(spark, d, "session_entries"), payload=False, roots=True).drop("payload")
+    return nested.occurrences(table(spark, d, "session_entries", spread=True), payload=False, roots=True).drop("payload")
 
 
-@query()
+@query("""
+WITH m AS (SELECT entry_id, session_id, entry_type, CASE WHEN json_valid(message_json) THEN message_json::JSON END AS j FROM session_entries)
+SELECT entry_id, session_id, entry_type, j->>'$.role' AS role, j->>'$.model' AS model,
+  CASE WHEN regexp_matches(j->>'$.usage.input_tokens', '^[0-9]+$') THEN TRY_CAST(j->>'$.usage.input_tokens' AS BIGINT) END AS input_tokens,
+  CASE WHEN regexp_matches(j->>'$.usage.output_tokens', '^[0-9]+$') THEN TRY_CAST(j->>'$.usage.output_tokens' AS BIGINT) END AS output_tokens,
+  CASE WHEN regexp_matches(j->>'$.usage.cache_creation_input_tokens', '^[0-9]+$') THEN TRY_CAST(j->>'$.usage.cache_creation_input_tokens' AS BIGINT) END AS cache_creation_input_tokens,
+  CASE WHEN regexp_matches(j->>'$.usage.cache_read_input_tokens', '^[0-9]+$') THEN TRY_CAST(j->>'$.usage.cache_read_input_tokens' AS BIGINT) END AS cache_read_input_tokens
+FROM m
+""")
 def p3_messages(spark, d):
-    return nested.messages(table(spark, d, "session_entries"))
+    return nested.messages(table(spark, d, "session_entries", spread=True))
 
 
-@query()
+DRIFT_SQL = f"""
+WITH RECURSIVE r AS (SELECT producer, file_name, file_seq, CASE WHEN json_valid(raw) THEN raw::JSON END AS j FROM log_records),
+members AS (
+  SELECT producer, file_name, file_seq, k AS path, json_extract(j, '$."' || k || '"') AS v FROM (SELECT *, unnest(json_keys(j)) AS k FROM r WHERE json_type(j) = 'OBJECT') WHERE k <> 'message'
+  UNION ALL
+  SELECT producer, file_name, file_seq, path || '.' || k, json_extract(v, '$."' || k || '"') FROM (SELECT *, unnest(json_keys(v)) AS k FROM members WHERE json_type(v) = 'OBJECT')),
+kinds AS (
+  SELECT producer, file_seq, path, CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BIGINT' THEN 'integer' WHEN 'UBIGINT' THEN 'integer' WHEN 'HUGEINT' THEN 'integer' WHEN 'DOUBLE' THEN 'number'
+    WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' END AS kind FROM members WHERE json_type(v) <> 'OBJECT'),
+fields AS (SELECT producer, file_seq, path, array_to_string(list_sort(list(DISTINCT kind) FILTER (kind IS NOT NULL)), '|') AS kind FROM kinds GROUP BY ALL),
+files AS (SELECT *, lag(file_seq) OVER (PARTITION BY producer ORDER BY file_seq) AS before FROM (SELECT DISTINCT producer, file_seq, file_name FROM log_records)),
+names AS (SELECT * FROM {_values([(p, c) for c, (_, ps) in drift.ALIASES.items() for p in ps], "v(path, told)")}),
+told AS (SELECT f.*, coalesce(n.told, lower(regexp_replace(f.path, '[._-]', '', 'g'))) AS told FROM fields f LEFT JOIN names n USING (path)),
+ended AS (SELECT file_name, told, path, kind, row_number() OVER (PARTITION BY file_name, told ORDER BY path) AS n FROM files JOIN told t ON t.producer = files.producer AND t.file_seq = before
+  WHERE NOT EXISTS (SELECT 1 FROM fields x WHERE x.producer = files.producer AND x.file_seq = files.file_seq AND x.path = t.path)),
+begun AS (SELECT file_name, told, path, kind, row_number() OVER (PARTITION BY file_name, told ORDER BY path) AS n FROM files JOIN told t ON t.producer = files.producer AND t.file_seq = files.file_seq
+  WHERE before IS NOT NULL AND NOT EXISTS (SELECT 1 FROM fields x WHERE x.producer = files.producer AND x.file_seq = before AND x.path = t.path)),
+pairs AS (SELECT coalesce(e.file_name, b.file_name) AS file_name, e.path AS old, b.path AS new, e.kind AS k1, b.kind AS k2 FROM ended e FULL JOIN begun b ON e.file_name = b.file_name AND e.told = b.told AND e.n = b.n)
+SELECT file_name, coalesce(old, new) AS field, CASE WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'removed' ELSE 'renamed' END AS change FROM pairs
+UNION ALL SELECT file_name, old, 'retyped' FROM pairs WHERE old IS NOT NULL AND new IS NOT NULL AND k1 <> k2
+UNION ALL SELECT file_name, a.path, 'retyped' FROM files JOIN fields a ON a.producer = files.producer AND a.file_seq = before JOIN fields b ON b.producer = files.producer AND b.file_seq = files.file_seq AND b.path = a.path WHERE a.kind <> b.kind
+"""
+
+
+@query(DRIFT_SQL)
 def p2_found(spark, d):
-    return drift.changes(table(spark, d, "log_records")).select("file_name", "field", "change")
+    return drift.changes(table(spark, d, "log_records", spread=True)).select("file_name", "field", "change")
 
 
 @query()
 def p2_changes(spark, d):
-    return drift.changes(table(spark, d, "log_records"))
+    return drift.changes(table(spark, d, "log_records", spread=True))
 
 
 @query()
 def p2_catalogue(spark, d):
-    return drift.lifespans(table(spark, d, "log_records"))
+    return drift.lifespans(table(spark, d, "log_records", spread=True))
 
 
 @query()
 def p2_unified(spark, d):
-    return drift.unified(table(spark, d, "log_records"))
-
-
-@query()
+    return drift.unified(table(spark, d, "log_records", spread=True))
+
+
+#: Patterns of rejects without possessive loops, which RE2 doesn't know and doesn't need.
+REJECTS_SQL = r"""
+WITH l AS (SELECT line_id, file_name, lower(file_format) AS form, line_no, raw FROM raw_lines),
+h AS (SELECT file_name, arg_min(raw, line_id) AS header FROM l WHERE line_no = 1 AND form IN ('csv', 'tsv') GROUP BY 1),
+p AS (SELECT *, '@TIME@' AS t, CASE form WHEN 'csv' THEN ',' ELSE chr(9) END AS sep FROM l),
+s AS (SELECT p.*, string_split(header, sep) AS names, '(?:"(?:[^"]|"")*"|[^"\r\n' || sep || ']*)' AS cell FROM p LEFT JOIN h USING (file_name) WHERE form IN ('csv', 'tsv') AND line_no <> 1),
+typed AS (SELECT *, list_transform(names, lambda n: CASE trim(n, '"') WHEN 'logged_at' THEN '(?:"' || t || '"|' || t || ')'
+      WHEN 'entry_type' THEN '(?:"(?:user|assistant|system|progress)"|(?:user|assistant|system|progress))' WHEN 'output_tokens' THEN '(?:"\d*"|\d*)' ELSE cell END) AS typed FROM s),
+separated AS (
+  SELECT line_id, CASE WHEN raw IS NULL OR NOT regexp_full_match(raw, cell || '(?:' || sep || cell || ')*') THEN 'syntax'
+    WHEN names IS NULL OR NOT regexp_full_match(raw, cell || '(?:' || sep || cell || '){' || (len(names) - 1)::VARCHAR || '}') THEN 'columns'
+    WHEN NOT regexp_full_match(raw, CASE form WHEN 'csv' THEN array_to_string(typed, ',') ELSE array_to_string(typed, chr(9)) END) THEN 'value' END AS reason FROM typed),
+j AS (SELECT line_id, t, CASE WHEN json_valid(raw) AND json_type(raw) = 'OBJECT'
+    AND NOT regexp_matches(regexp_replace(raw, '"(?:[^"\\]|\\.)*"', '""', 'g'), ',\s*[}\]]') THEN raw::JSON END AS o FROM p WHERE form = 'jsonl'),
+objects AS (
+  SELECT line_id, CASE WHEN o IS NULL THEN 'syntax'
+    WHEN NOT (list_has_all(json_keys(o), ['session_id', 'logged_at', 'entry_type']) AND coalesce(list_contains(json_keys(o, '$.message'), 'role'), false) AND coalesce(list_contains(json_keys(o, '$.message.content[0]'), 'text'), false)) THEN 'columns'
+    WHEN NOT (coalesce(regexp_full_match(o->>'$.logged_at', t), false) AND coalesce(o->>'$.entry_type' IN ('user', 'assistant', 'system', 'progress'), false) AND coalesce(regexp_full_match(o->>'$.output_tokens', '\d*'), true)) THEN 'value' END AS reason FROM j)
+SELECT line_id, reason FROM separated WHERE reason IS NOT NULL UNION ALL SELECT line_id, reason FROM objects WHERE reason IS NOT NULL
+""".replace("@TIME@", rejects.TIME.replace("++", "+"))
+
+
+@query(REJECTS_SQL)
 def p4_found(spark, d):
-    return rejects.found(table(spark, d, "raw_lines"))
+    return rejects.found(table(spark, d, "raw_lines", spread=True))
 
 
 @query()
 def p4_loaded(spark, d):
-    return rejects.loaded(table(spark, d, "raw_lines"))
+    return rejects.loaded(table(spark, d, "raw_lines", spread=True))
 
 
 @query(r"""
@@ -106,12 +183,12 @@ SELECT entity AS session_id, list(feature ORDER BY feature) AS tools, list(n ORD
 FROM f, (SELECT max(latest) AS mx FROM f) GROUP BY entity
 """)
 def p5_features(spark, d):
-    return features.session_features(table(spark, d, "session_entries"))
+    return features.session_features(table(spark, d, "session_entries", spread=True))
 
 
 @query()
 def p5_long(spark, d):
-    return features.session_tools(features.tool_calls(table(spark, d, "session_entries")))
+    return features.session_tools(features.tool_calls(table(spark, d, "session_entries", spread=True)))
 
 
 # --- usage ---------------------------------------------------------------------------------------------------------
@@ -154,7 +231,7 @@ ROOT = "/srv/work"
 
 
 def _once(spark, d):
-    return usage.entries_once(table(spark, d, "session_entries"))
+    return usage.entries_once(table(spark, d, "session_entries", spread=True))
 
 
 def _operations(spark, d):
@@ -240,17 +317,12 @@ src AS (
 """
 
 
-def _values(rows, names: str) -> str:
-    quote = lambda x: "NULL" if x is None else str(x) if isinstance(x, (int, float)) else "[" + ", ".join(map(quote, x)) + "]::VARCHAR[]" if isinstance(x, tuple) else "'" + str(x).replace("'", "''") + "'"  # noqa: E731, E501
-    return "(VALUES " + ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows) + f") {names}"
-
-
 def _listing(spark, d):
     return listing.below(listing.latest_scan(table(spark, d, "files")), table(spark, d, "projects"))
 
 
 def _sources(spark, d):
-    return rules.sources(_listing(spark, d), table(spark, d, "files_content"))
+    return rules.sources(_listing(spark, d), table(spark, d, "files_content", spread=True))
 
 
 @query(LISTING_SQL + f"""
@@ -372,7 +444,7 @@ fences AS (
 
 
 def _lines(spark, d):
-    return lines.lines(table(spark, d, "documents"), "doc_id")
+    return lines.lines(table(spark, d, "documents", spread=True), "doc_id")
 
 
 @query(LINES_SQL + "SELECT doc_id, count(*) AS lines, count(*) FILTER (fence) AS fences, count(*) FILTER (inside) AS inside FROM fences GROUP BY doc_id")

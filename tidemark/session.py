@@ -30,9 +30,15 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
     return spark
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One of the Parquet tables below ``folder``."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
+    """One of the Parquet tables below ``folder``.
+
+    ``spread`` is for work that costs more than moving the rows: a table that is read in fewer parts than half of the
+    cores, such as one small file, is dealt out to all of them. Larger tables stay as they are read.
+    """
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() * 2 <= cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
