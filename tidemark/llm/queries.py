@@ -28,38 +28,63 @@ def query(sql: str | None = None):
 
 @query()
 def p1_found(spark, d):
-    return handwritten.found(table(spark, d, "files"), table(spark, d, "files_content"))
+    return handwritten.found(table(spark, d, "files"), table(spark, d, "files_content", spread=True))
 
 
 @query()
 def p1_kinds(spark, d):
-    return handwritten.classify(table(spark, d, "files"), table(spark, d, "files_content"))
-
-
-@query()
+    return handwritten.classify(table(spark, d, "files"), table(spark, d, "files_content", spread=True))
+
+
+CONVERSATIONS_SQL = r"""
+WITH once AS (
+  SELECT *, coalesce(nullif(session_id, ''), regexp_replace(regexp_extract(file_name, '([^/\\]+)$', 1), '\.jsonl$', '')) AS session, CASE WHEN json_valid(message_json) THEN message_json::JSON END AS j,
+    CASE WHEN regexp_matches(logged_at, '^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])[Tt]([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d+)?([Zz]|[+-]([01]\d|2[0-3]):[0-5]\d)$')
+      THEN TRY_CAST(regexp_replace(upper(logged_at), '(\.\d{6})\d+', '\1') AS TIMESTAMPTZ) END AS seen
+  FROM session_entries QUALIFY row_number() OVER (PARTITION BY coalesce(entry_uuid, '#' || entry_id::VARCHAR) ORDER BY received_at DESC, entry_id DESC) = 1),
+parts AS (
+  SELECT *, CASE json_type(j, '$.content') WHEN 'ARRAY' THEN json_extract(j, '$.content[*]') WHEN 'OBJECT' THEN [json_extract(j, '$.content')] ELSE [] END AS blocks,
+    '[^\p{Z}\p{Cc}\p{Cf}\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{2800}\x{3164}\x{FFA0}\x{FE00}-\x{FE0F}]' AS shown FROM once WHERE entry_type IN ('user', 'assistant')),
+facts AS (
+  SELECT session, entry_type, seen, entry_uuid, entry_id, line_no, coalesce(TRY_CAST(rpad(regexp_extract(logged_at, '\.\d{6}(\d{1,3})', 1), 3, '0') AS INT), 0) AS nanos,
+    coalesce(json_type(j) = 'OBJECT' AND j->>'$.role' = entry_type AND json_type(j, '$.role') = 'VARCHAR', false) AND seen IS NOT NULL AS good,
+    coalesce((json_type(j, '$.content') = 'VARCHAR' AND regexp_matches(j->>'$.content', shown)), false)
+      OR len(list_filter(blocks, lambda b: coalesce(b->>'$.type' = 'text' AND json_type(b, '$.text') = 'VARCHAR' AND regexp_matches(b->>'$.text', shown), false))) > 0 AS has_text,
+    len(list_filter(blocks, lambda b: coalesce(b->>'$.type' = 'tool_use', false))) > 0 AS uses, len(list_filter(blocks, lambda b: coalesce(b->>'$.type' = 'tool_result', false))) > 0 AS results FROM parts),
+events AS (
+  SELECT *, row_number() OVER w AS place, CASE WHEN entry_type = 'user' AND has_text THEN 1 WHEN entry_type = 'assistant' AND (has_text OR uses) THEN 2 END AS kind FROM facts
+  WINDOW w AS (PARTITION BY session ORDER BY seen NULLS FIRST, nanos, line_no, coalesce(entry_uuid, '#' || entry_id::VARCHAR))),
+waiting AS (SELECT session FROM (SELECT session, kind, lead(kind) OVER (PARTITION BY session ORDER BY place) AS next FROM events WHERE kind IS NOT NULL) WHERE kind = 1 AND coalesce(next, 1) = 1)
+SELECT DISTINCT s.session AS session_id FROM (SELECT DISTINCT session FROM once) s
+WHERE s.session NOT IN (SELECT session FROM facts WHERE has_text OR uses OR results) OR s.session IN (SELECT session FROM facts WHERE NOT good)
+  OR s.session IN (SELECT session FROM events WHERE place = 1 AND entry_type <> 'user') OR s.session IN (SELECT session FROM waiting)
+"""
+
+
+@query(CONVERSATIONS_SQL)
 def p6_found(spark, d):
-    return conversations.found(table(spark, d, "session_entries"))
+    return conversations.found(table(spark, d, "session_entries", spread=True))
 
 
 @query()
 def p6_conversations(spark, d):
-    return conversations.conversations(table(spark, d, "session_entries"))
+    return conversations.conversations(table(spark, d, "session_entries", spread=True))
 
 
 @query()
 def p7_ids(spark, d):
-    return tokens.encode(table(spark, d, "documents"))
+    return tokens.encode(table(spark, d, "documents", spread=True))
 
 
 @query()
 def p8_containers(spark, d):
-    return packing.containers(table(spark, d, "documents"))
+    return packing.containers(table(spark, d, "documents", spread=True))
 
 
 @query()
 def p8_summary(spark, d):
     """How full the containers are."""
-    packed = packing.containers(table(spark, d, "documents")).where("container is not null")
+    packed = packing.containers(table(spark, d, "documents", spread=True)).where("container is not null")
     filled = packed.groupBy("container").agg(F.count(F.lit(1)).alias("texts"), F.sum("n_tokens").alias("used"))
     return filled.groupBy().agg(
         F.count(F.lit(1)).alias("containers"), F.sum("texts").alias("texts"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"),
@@ -69,18 +94,18 @@ def p8_summary(spark, d):
 
 @query()
 def p9_found(spark, d):
-    return reading.found(table(spark, d, "documents"), table(spark, d, "labels"))
+    return reading.found(table(spark, d, "documents", spread=True), table(spark, d, "labels"))
 
 
 @query()
 def p9_levels(spark, d):
-    return reading.levels(table(spark, d, "documents"), table(spark, d, "labels"))
+    return reading.levels(table(spark, d, "documents", spread=True), table(spark, d, "labels"))
 
 
 @query()
 def p9_profile(spark, d):
     """Documents per language, kind and level."""
     docs = table(spark, d, "documents")
-    levels = reading.levels(docs, table(spark, d, "labels")).select("doc_id", "level")
+    levels = reading.levels(table(spark, d, "documents", spread=True), table(spark, d, "labels")).select("doc_id", "level")
     lang = F.substring(F.lower("lang"), 1, 2).alias("language")
     return docs.select("doc_id", lang, "doc_kind").join(levels, "doc_id").groupBy("language", "doc_kind", "level").agg(F.count(F.lit(1)).alias("documents"))
