@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.operators import commands, conventions, graphs, lines, listing, routes, rules
+from tidemark.operators import architecture, commands, conventions, graphs, lines, listing, readmes, routes, rules, stacks, syntax
 from tidemark.plans import reports
 from tidemark.sources import trees
 from tidemark.streaming import changes
@@ -145,3 +145,53 @@ def test_documents_keep_what_people_wrote(spark):
     assert got == [f"new\n\n\n{reports.BEGIN}\nmine 1\n{reports.END}\n\n{reports.BEGIN}two{reports.END}", "new", "new"]
     text_ = spark.createDataFrame([(x,) for x in ("plain", "a: b", 'q"', "", None)], "v string")
     assert [r[0] for r in text_.select(reports.yaml_text(F.col("v"))).collect()] == ["plain", '"a: b"', '"q\\""', '""', None]
+
+
+def test_frameworks_and_databases_of_manifests(spark):
+    rows = [(1, "express", "^4.1"), (1, "@prisma/client", "5"), (1, "prisma", "~5"), (1, "pg", "8"), (1, "pg", "8"), (2, "github.com/labstack/echo/v4", "v4.1"), (2, "Actix_Web", ">=4"), (2, None, None), (3, "unknown", "1")]
+    df = spark.createDataFrame(rows, "project_id int, package string, version string")
+    assert {tuple(r) for r in stacks.frameworks(df).collect()} == {
+        (1, "Express.js", "backend", "4.1"), (1, "Prisma", "database", "5"), (2, "Echo", "backend", "v4.1"), (2, "Actix Web", "backend", "4"),
+    }
+    assert [tuple(r) for r in stacks.databases(df).collect()] == [(1, "PostgreSQL")]
+    assert stacks.frameworks(df.limit(0)).count() == 0
+
+
+def test_readmes(spark):
+    text_ = "# T\n## Requirements\n- Go\n- Go\n```sh\n$ make all\n- no\n# c\nplain words\n```\n* Java 17 \n## Other\n- x\n"
+    rows = lines.lines(spark.createDataFrame([(1, text_), (2, None)], "id int, text string"), "id")
+    assert [(r.ord, r.item) for r in readmes.section_bullets(rows, "id").orderBy("ord").collect()] == [(1, "Go"), (2, "Java 17")]
+    assert [r.command for r in readmes.shell_commands(rows, "id").collect()] == ["make all"]
+    texts = ["training a model of the transformer", "a cli with flags", "x" * 6000, "npm install the api", "hm", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(readmes.kind(F.col("t"))).collect()] == ["ml", "cli", "docs", "library", "app", None]
+    got = spark.createDataFrame([("**Parameters**: 7B\nLayers: 32",), ("layers: 2",)], "t string").select(readmes.figures(F.col("t"))).collect()
+    assert got[0][0] == {"parameters": "7B", "layers": "32"} and got[1][0] is None
+    files = spark.createDataFrame([(1, "README", "b"), (1, "readme.md", "a"), (1, "docs/README.md", "c"), (2, "x", "d")], "project_id int, relative string, content string")
+    assert [tuple(r) for r in readmes.first_of(files).collect()] == [(1, "a", "readme.md")]
+
+
+def test_architecture(spark):
+    rows = [(1, "cmd/app/main.go", 10), (1, "cmd/gen/main.go", 900), (1, "cmd/big/main.go", 50), (1, "internal/a/b.go", 1), (2, "ports/x", 1), (2, "adapters/y", 1), (2, "app.py", 1), (2, "main.py", 99), (3, "a.txt", None), (4, None, None)]
+    df = spark.createDataFrame(rows, "project_id int, relative string, size long")
+    assert {r.project_id: r.style for r in architecture.styles(df).collect()} == {1: "Standard Go Layout", 2: "Hexagonal Architecture", 3: "Flat Layout", 4: "Flat Layout"}
+    assert {(r.project_id, r.layer, tuple(r.packages)) for r in architecture.layers(df).collect()} == {(1, "cmd", ("app", "big", "gen")), (1, "internal", ("a",))}
+    assert {r.project_id: r.path for r in architecture.entry_points(df).collect()} == {1: "cmd/big/main.go", 2: "app.py"}
+    drawn = [r.line for r in reports.tree_lines(df.where("project_id = 1"), 2).orderBy("path").collect()]
+    assert drawn == ["- cmd", "  - app", "  - big", "  - gen", "- internal", "  - a"]
+
+
+def test_python_facts(spark):
+    source = "import os, a.b\nfrom x import y\nfrom . import z\n@app.route('/')\nasync def f(n: int):\n    yield n\n@dataclass\nclass C(base.Model): pass\n"
+    df = spark.createDataFrame([(1, source, 0), (2, "def (", 0), (3, None, 0), (4, "", 0)], "file_id int, content string, kind int")
+    got = {(r.file_id, r.kind, r.value) for r in syntax.python_facts(df).collect()}
+    assert got == {(1, k, v) for k, v in (
+        ("import", "os"), ("import", "a.b"), ("import", "x"), ("import", "x.y"), ("decorator", "app.route"), ("decorator", "dataclass"), ("function", "async def"),
+        ("function", "type hints"), ("function", "generator"), ("class", "class definition"), ("class", "extends:base.Model"),
+    )} | {(2, "error", "syntax")}
+
+
+def test_bursts_end_after_a_gap(spark):
+    rows = [("a", "2026-01-01 00:00:00"), ("a", "2026-01-01 00:00:00.4"), ("a", "2026-01-01 00:00:01.5"), ("b", "2026-01-01 00:00:00"), ("b", None)]
+    df = spark.createDataFrame(rows, "k string, at string").withColumn("at", F.to_timestamp("at"))
+    assert sorted((r.k, r.events) for r in changes.bursts(df, "k", "500 milliseconds").collect()) == [("a", 1), ("a", 2), ("b", 1)]

@@ -34,3 +34,12 @@ def yaml_text(value: Column) -> Column:
     """Quoted where YAML would read it otherwise."""
     quoted = F.concat(F.lit('"'), F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
     return F.when(value.rlike(r"[:#\[\]{},&*!|>'\"%@`\n]|^\s|\s$|^$"), quoted).otherwise(value)
+
+
+def tree_lines(files: DataFrame, depth: int = 3) -> DataFrame:
+    """project_id, path and line: folders and files of a project drawn as a tree, in order of path. files: project_id, relative."""
+    parts = F.split("relative", "/")
+    above = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(depth))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    df = files.where("relative is not null").select("project_id", F.explode(above).alias("path")).distinct()
+    level = F.size(F.split("path", "/")) - 1
+    return df.select("project_id", "path", F.concat(F.repeat(F.lit("  "), level), F.lit("- "), F.substring_index("path", "/", -1)).alias("line"))

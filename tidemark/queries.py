@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dimensions
 from tidemark.functions import text
-from tidemark.operators import commands, conventions, drift, features, graphs, lines, listing, nested, rejects, rules, scoring, usage
+from tidemark.operators import architecture, commands, conventions, drift, features, graphs, lines, listing, nested, readmes, rejects, rules, scoring, syntax, usage
 from tidemark.plans import reports
 from tidemark.streaming import changes
 from tidemark.session import table
@@ -739,3 +739,72 @@ def extra_grouping_sets(spark, d):
 def extra_hourly_events(spark, d):
     df = table(spark, d, "events")
     return df.groupBy(F.unix_micros(F.window("ts", "1 hour").start.cast("timestamp")).alias("hour_us"), "event_type").agg(F.count(F.lit(1)).alias("events"))
+
+
+# --- readmes, architecture, syntax -----------------------------------------------------------------------------------
+
+#: Titles of sections with lists in the documents.
+TITLES = ("notes", "limits", "usage", "setup", "next steps", "hinweise", "grenzen", "einrichtung")
+
+
+@query(LINES_SQL + rf"""
+, heads AS (SELECT *, CASE WHEN NOT inside AND NOT fence THEN nullif(regexp_extract(row, '^#{{1,6}} +(.+?)\s*$', 1), '') END AS head FROM fences),
+titled AS (SELECT *, lower(last_value(head IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS title FROM heads),
+items AS (SELECT doc_id, regexp_extract(row, '^[ \t]*[-*+] +(.*\S)', 1) AS item, min(line) AS line FROM titled WHERE title IN {TITLES} AND NOT inside AND NOT fence GROUP BY ALL)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS ord, item FROM items WHERE item <> ''
+""")
+def readme_section_bullets(spark, d):
+    return readmes.section_bullets(_lines(spark, d), "doc_id", TITLES)
+
+
+@query(LINES_SQL + f"""
+, cmd AS (SELECT doc_id, line, trim(row, e' \\t') AS r FROM fences WHERE inside),
+likely AS (SELECT doc_id, regexp_replace(regexp_replace(r, '^\\$ ', ''), '^> ', '') AS command, min(line) AS line FROM cmd
+  WHERE NOT starts_with(r, '#') AND len(list_filter({list(readmes.COMMANDS)}, lambda c: starts_with(lower(r), c))) > 0 GROUP BY ALL)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS ord, command FROM likely WHERE command <> '' AND strlen(command) < 200 QUALIFY ord <= 15
+""")
+def readme_commands(spark, d):
+    return readmes.shell_commands(_lines(spark, d), "doc_id")
+
+
+def _met(words) -> str:
+    return " + ".join(f"contains(lower(text), '{w}')::INT" for w in words)
+
+
+@query(f"""
+SELECT kind, count(*) AS documents FROM (SELECT CASE WHEN text IS NULL THEN NULL WHEN {_met(readmes.KINDS[0][2])} >= 3 THEN 'ml' WHEN {_met(readmes.KINDS[1][2])} >= 2 THEN 'cli'
+  WHEN strlen(text) > 5000 AND (length(text) - length(replace(text, '```', ''))) // 3 < 5 THEN 'docs' WHEN {_met(readmes.KINDS[2][2])} >= 2 THEN 'library' ELSE 'app' END AS kind FROM documents) GROUP BY kind
+""")
+def readme_kinds(spark, d):
+    docs = table(spark, d, "documents", spread=True)
+    return docs.groupBy(readmes.kind(F.col("text")).alias("kind")).agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query(LISTING_SQL + f"""
+, tops AS (SELECT project_id, list(DISTINCT CASE WHEN contains(relative, '/') THEN split_part(relative, '/', 1) END) AS t FROM below GROUP BY project_id)
+SELECT project_id, CASE {" ".join("WHEN " + " AND ".join(f"list_has_any(t, {list(s)})" for s in sets) + f" THEN '{name}'" for name, sets in architecture.STYLES)} ELSE 'Flat Layout' END AS style FROM tops
+""")
+def architecture_styles(spark, d):
+    return architecture.styles(_listing(spark, d))
+
+
+@query(LISTING_SQL + f"""
+, p AS (SELECT DISTINCT project_id, string_split(relative, '/')[1] AS layer, string_split(relative, '/')[2] AS package FROM below WHERE len(string_split(relative, '/')) >= 3)
+SELECT project_id, place, layer, purpose, list(package ORDER BY package) AS packages FROM p JOIN {_values([(i, n, q) for i, (n, q) in enumerate(architecture.LAYERS, 1)], "v(place, layer, purpose)")} USING (layer) GROUP BY ALL
+""")
+def architecture_layers(spark, d):
+    return architecture.layers(_listing(spark, d))
+
+
+@query()
+def syntax_python(spark, d):
+    """Facts of Python sources by their syntax trees; SQL can't parse them, the operator is tested on a fixture."""
+    return syntax.counted(syntax.python_facts(_sources(spark, d).where("extension = '.py'")))
+
+
+@query(LISTING_SQL + """
+, w AS (SELECT DISTINCT project_id, array_to_string(string_split(relative, '/')[1:n], '/') AS path FROM below, (VALUES (1), (2), (3)) v(n) WHERE relative IS NOT NULL AND n <= len(string_split(relative, '/')))
+SELECT project_id, path, repeat('  ', len(string_split(path, '/')) - 1) || '- ' || regexp_extract(path, '[^/]*$') AS line FROM w
+""")
+def report_trees(spark, d):
+    return reports.tree_lines(_listing(spark, d))
