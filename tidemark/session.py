@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +33,24 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
     return spark
 
 
+def shipped(spark: SparkSession) -> SparkSession:
+    """The session, with the package sent to its workers unless they find it by themselves.
+
+    Workers look in the folders of PYTHONPATH and in the one that the driver runs in. Where the package is installed on
+    all machines, this isn't needed.
+    """
+    root = Path(__file__).resolve().parents[1]
+    known = {Path(p).resolve() for p in [os.getcwd(), *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]}
+    context = spark.sparkContext
+    if root not in known and not any("tidemark" in Path(p).name for p in context.listFiles):
+        made = Path(tempfile.mkdtemp(prefix="tidemark-")) / "tidemark.zip"
+        with zipfile.ZipFile(made, "w") as z:
+            for f in sorted((root / "tidemark").rglob("*.py")):
+                z.write(f, f.relative_to(root))
+        context.addPyFile(str(made))
+    return spark
+
+
 def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
     """One of the Parquet tables below ``folder``.
 
