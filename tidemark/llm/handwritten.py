@@ -23,17 +23,23 @@ from tidemark.functions.schemas import flat
 
 #: Thresholds by extension; DEFAULT holds for those not listed.
 #: long, mean: longest and mean line of so many characters; dense: white space below this share in a file with long lines;
+#: packed, short: share of the text in lines of LONG_LINE characters or more, and lines below it at most, which plain code
+#: with one long literal doesn't reach; only scripts and style sheets are ever minified;
 #: numbers: numeric literals per 100 characters of code; counters: identifiers with a counter per line of code;
 #: shapes: share of distinct line shapes; least: lines of code from which shapes count.
-DEFAULT = {"long": 150, "dense": 0.12, "numbers": 2.6, "counters": 0.2, "shapes": 0.36, "least": 6, "mean": 100}
+DEFAULT = {"long": 150, "dense": 0.12, "numbers": 2.6, "counters": 0.2, "shapes": 0.36, "least": 6, "mean": 100, "packed": 2.0, "short": 4}
+SCRIPT = DEFAULT | {"packed": 0.6}
 THRESHOLDS = {
-    ".css": DEFAULT | {"numbers": 100.0, "counters": 100.0},
+    ".js": SCRIPT,
+    ".ts": SCRIPT,
+    ".css": SCRIPT | {"numbers": 100.0, "counters": 100.0},
     ".sql": DEFAULT | {"numbers": 3.3, "counters": 100.0, "shapes": 0.2},
     ".rs": DEFAULT | {"counters": 0.22},
     ".c": DEFAULT | {"numbers": 3.0},
 }
 EXTENSIONS = (".go", ".py", ".ts", ".js", ".java", ".rs", ".c", ".css", ".sql")
 
+LONG_LINE = 150
 #: A run of so many characters of an encoding's alphabet is data, as is a text with this share in runs of a line's length.
 ENCODED_RUN = 120
 ENCODED_LINE = 48
@@ -58,7 +64,7 @@ FOREIGN = (
 #: Head comment: the comment lines before the first line of code.
 HEAD = re.compile(rb"(?:[ \t]*(?:(?://|#(?!\s*(?:include|define|if|ifdef|ifndef|endif|else|pragma|!?\[))|/?\*|--|<!--)[^\n]*)?\n)+")
 LAYOUT = (
-    "size bigint, lines bigint, max_line bigint, mean_line double, space double, alnum double, numbers double,"
+    "size bigint, lines bigint, max_line bigint, mean_line double, packed double, short_lines bigint, space double, alnum double, numbers double,"
     " encoded_run bigint, encoded double, code_lines bigint, shapes double, counters double"
 )
 LAYOUT_COLUMNS = tuple(x.split()[0] for x in LAYOUT.split(","))
@@ -173,6 +179,8 @@ def _measure(texts: list[bytes]) -> dict[str, np.ndarray]:
         "lines": visible,
         "max_line": _largest(length, owner, n),
         "mean_line": over(size, visible),
+        "packed": over(np.bincount(owner, weights=np.where(length >= LONG_LINE, length, 0), minlength=n), size),
+        "short_lines": np.bincount(owner[(ink > 0) & (length < LONG_LINE)], minlength=n),
         "space": over(_sums(space, cuts) - 1, size),
         "alnum": over(_sums(digit | (letter & (data != 95)), cuts), size),
         "numbers": over(100 * np.bincount(of_text[begin[literal]], minlength=n), code_size),
@@ -258,7 +266,7 @@ def classify(files: DataFrame, contents: DataFrame) -> DataFrame:
     limit = lambda name: _threshold(F.col("extension"), name)
     repeated = (at("code_lines") >= limit("least")) & (at("shapes") <= limit("shapes"))
     df = df.withColumns({
-        "minified": (at("max_line") >= limit("long")) & (at("mean_line") >= limit("mean")) & (at("space") < limit("dense")) & (at("encoded") < ENCODED_SHARE),
+        "minified": (at("max_line") >= limit("long")) & (at("mean_line") >= limit("mean")) & (at("packed") >= limit("packed")) & (at("short_lines") <= limit("short")) & (at("space") < limit("dense")) & (at("encoded") < ENCODED_SHARE),
         "data": (at("encoded_run") >= ENCODED_RUN) | (at("encoded") >= ENCODED_SHARE) | ((at("numbers") >= limit("numbers")) & repeated & (at("counters") < limit("counters"))) | (at("numbers") >= 8),
         "generated": F.col("_made") | (repeated & (at("counters") >= limit("counters"))),
         "foreign": F.coalesce("_foreign", F.lit(False)) | F.col("path").rlike(VENDOR_FOLDER),
