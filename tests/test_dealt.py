@@ -107,7 +107,7 @@ def lines(spark, raws, form="csv", header="session_id,logged_at,entry_type,role,
 T = "2026-01-31T23:59:59.123456789+05:30"
 
 
-@pytest.mark.parametrize(("raw", "reason", "field"), [
+CSV = [
     (f"s,{T},user,user,,hello", None, None), (f'"s","{T}","user",,"12","a ""b"", \n c"', None, None), (f's,{T},user,,,a"b', "syntax", None),
     (f's,{T},user,,,"a"b', "syntax", None), (f's,{T},user,,,"a', "syntax", None), (f"s,{T},user,,,a\nb", "syntax", None), (f"s,{T},user,,", "columns", None), (f"s,{T},user,,,a,", "columns", None),
     ("", "columns", None), (None, "syntax", None), ("s,2026-02-30T00:00:00Z,user,,,a", "value", "logged_at"), ("s,2026-01-01T24:00:00Z,user,,,a", "value", "logged_at"),
