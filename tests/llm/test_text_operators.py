@@ -270,3 +270,13 @@ def test_levels_of_hard_cases(spark):
     assert [got[i] for i in (900, 901, 902, 903)] == [None] * 4 and got[904] == 4 and got[905] == got[3]
     assert reading.levels(table, odd.limit(0)).where("level is not null").count() == 0
     assert reading.levels(table.limit(0), odd).count() == 0 and reading.found(table, odd).where("doc_id in (900, 901)").count() == 0
+
+
+def test_very_long_texts_are_encoded_in_stretches(monkeypatch, reference):
+    random.seed(6)
+    monkeypatch.setattr(tokens, "LONG", 20)
+    texts = ["".join(random.choice("a's re'll  \n\t　0é中!'") for _ in range(random.randint(0, 120))) for _ in range(300)]
+    ids, counts = tokens.encoder(RANKS).encode(texts)
+    bounds = [0, *counts.cumsum().tolist()]
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [reference.encode_ordinary(t) for t in texts]
+    assert all("".join(tokens.stretches(t, 20)) == t for t in texts)

@@ -26,6 +26,8 @@ BYTE_BPE = "byte_bpe_50k"
 #: Pieces whose ids a worker keeps; the cache starts anew when it is full.
 CACHE = 1 << 19
 _CHUNK = 2 << 20
+#: Longer texts are encoded in stretches of about so many code points, cut where pieces can't reach across.
+LONG = 4 << 20
 _LETTER, _NUMBER, _BLANK, _OTHER, _EDGE = range(5)
 #: The code points of Unicode's property White_Space.
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -89,6 +91,24 @@ def pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return begin - owner, end - owner, counts
 
 
+_WHITE = frozenset(map(chr, WHITE))
+
+
+def stretches(text: str, size: int | None = None) -> list[str]:
+    """A text in stretches: each but the first begins with a space after something visible, where a piece always begins."""
+    size = size or LONG
+    out, low = [], 0
+    while len(text) - low > size:
+        cut = text.find(" ", low + size)
+        while cut > 0 and text[cut - 1] in _WHITE:
+            cut = text.find(" ", cut + 1)
+        if cut < 0:
+            break
+        out.append(text[low:cut])
+        low = cut
+    return [*out, text[low:]]
+
+
 @lru_cache(maxsize=4)
 def ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -144,6 +164,16 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the number of ids of each text."""
+        if any(len(t) > LONG for t in texts):
+            ids, counts = [np.zeros(0, np.int32)], []
+            for t in texts:
+                found = [self._encode([x])[0] for x in stretches(t)]
+                ids += found
+                counts.append(sum(map(len, found)))
+            return np.concatenate(ids), np.array(counts, np.int64)
+        return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         begin, end, counts = pieces(texts)
         if len(self.known) > CACHE:
             self.clear()
