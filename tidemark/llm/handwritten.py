@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.schemas import flat
+from tidemark.session import stored
 
 #: Thresholds by extension; DEFAULT holds for those not listed.
 #: long, mean: longest and mean line of so many characters; dense: white space below this share in a file with long lines;
@@ -261,6 +262,8 @@ def classify(files: DataFrame, contents: DataFrame) -> DataFrame:
         F.split("head", "\n"), lambda x: x.rlike(MADE) & ~x.rlike(r"[=:]\s*\"") & ~x.rlike(r"(?i)(?:reports?|outputs?|templates?) (?:are|is) generated")
     )
     measured = measured.withColumns({"_made": made, "_foreign": F.col("head").rlike(FOREIGN)}).drop("head")
+    # stored, since the copies and the result both need it: contents are read and measured once
+    measured = stored(measured, "layout")
     df = f.join(measured, f.file_id == measured._id, "left").drop("_id")
     at = lambda name: F.col(name)
     limit = lambda name: _threshold(F.col("extension"), name)
