@@ -4,7 +4,9 @@ import json
 
 from pyspark.sql import functions as F
 
+from tests.compare import DATA, of_sql, rows
 from tidemark.operators import drift, features, nested, rejects
+from tidemark.queries import QUERIES, SQL
 
 LOG = "record_id long, producer string, file_name string, file_seq int, raw string, extra string, type string"
 
@@ -174,6 +176,27 @@ def test_features_count_each_entry_once_by_its_latest_delivery(spark):
     assert features.session_features(df.limit(0)).count() == 0
 
 
+def test_features_of_sessions_without_tools_and_of_later_deliveries_without_tools(spark):
+    df = entries(spark, [
+        entry(1, calls("A", tokens=5)), entry(2, calls("A", tokens=7), uuid="x", received=2), entry(3, {"role": "assistant", "content": "done"}, uuid="x", received=9),
+        entry(4, calls("B"), uuid="y", session="cut", received=4), entry(5, "{cut", uuid="y", session="cut", received=9), entry(6, {"role": "user", "content": "hi"}, session=None, file="d/t.jsonl"),
+        entry(7, "{cut", uuid="z", received=7), entry(8, calls("C"), uuid="z", received=8), entry(9, session="none"),
+    ])
+    assert table_of(features.session_tools(features.tool_calls(df))) == {("s", "A"): (1, 5, "2026-01-01T00:00:00"), ("s", "C"): (1, 0, "2026-01-01T00:00:00")}
+    wide = {r.session_id: (r.tools, r.calls, r.seconds_since_last, r.output_tokens) for r in features.session_features(df).collect()}
+    empty = ([], [], [], [])
+    assert wide == {"s": (["A", "C"], [1, 1], [0, 0], [5, 0]), "cut": empty, "t": empty, "none": empty}
+
+
+def test_features_are_those_of_the_sql_and_empty_rows_for_all_other_sessions(spark):
+    names, got = rows(QUERIES["p5_features"](spark, str(DATA)).toPandas())
+    told = of_sql(SQL["p5_features"])
+    key, tools = names.index("session_id"), names.index("tools")
+    assert names == told[0] and [r for r in got if r[tools]] == told[1]
+    sessions = of_sql(r"SELECT DISTINCT coalesce(nullif(session_id, ''), regexp_replace(regexp_extract(file_name, '([^/\\]+)$', 1), '\.jsonl$', '')) AS s FROM session_entries")[1]
+    assert sorted(r[key] for r in got) == sorted(s for (s,) in sessions) and len(got) > len(told[1])
+
+
 def test_deltas_equal_a_full_build(spark):
     import random
 

@@ -57,35 +57,48 @@ def maintain(state: DataFrame, deltas: DataFrame, history: DataFrame) -> DataFra
     )
 
 
+def _delivered(entries: DataFrame) -> DataFrame:
+    """Adds to each delivery its ``entry`` and ``entity``. An entry without a uuid is an entry of its own; the session is
+    told by the file where session_id is missing or empty."""
+    named = F.nullif(F.col("session_id"), F.lit(""))
+    return entries.select(
+        "entry_id", "message_json", "logged_at", "received_at",
+        F.coalesce("entry_uuid", F.concat(F.lit("#"), F.col("entry_id").cast("string"))).alias("entry"),
+        F.coalesce(named, F.regexp_replace(F.regexp_extract("file_name", r"([^/\\\\]+)$", 1), r"\.jsonl$", "")).alias("entity"),
+    )
+
+
 def tool_events(entries: DataFrame) -> DataFrame:
     """One row per delivered log entry and tool in its message: the entry's session, time, calls and output tokens.
 
     Tool names stand in tool_use blocks at any depth; blocks without a name don't count. A message's output tokens
-    count once for each tool that it names; a count that is missing, negative or no whole number is 0. The session is
-    told by the file where session_id is missing or empty, the time by received_at where logged_at can't be read.
-    ``version`` numbers the deliveries of one entry_uuid by received_at, then entry_id; ``last`` marks the latest. An
-    entry without a uuid is an entry of its own.
+    count once for each tool that it names; a count that is missing, negative or no whole number is 0. The time is told
+    by received_at where logged_at can't be read. ``version`` numbers the deliveries of one entry by received_at, then
+    entry_id, and ``last`` marks the calls of the latest; deliveries without calls are numbered too, so calls before a
+    latest delivery that names no tool or doesn't parse aren't the last.
     """
     tokens = F.get_json_object("message_json", "$.usage.output_tokens")
-    named = F.nullif(F.col("session_id"), F.lit(""))
-    df = entries.select(
-        "entry_id", "message_json", "received_at",
-        F.coalesce("entry_uuid", F.concat(F.lit("#"), F.col("entry_id").cast("string"))).alias("entry"),
-        F.coalesce(named, F.regexp_replace(F.regexp_extract("file_name", r"([^/\\\\]+)$", 1), r"\.jsonl$", "")).alias("entity"),
+    deliveries = _delivered(entries)
+    df = deliveries.select(
+        "entry_id", "message_json", "received_at", "entry", "entity",
         F.coalesce(instant(F.col("logged_at")), F.col("received_at")).alias("at"),
         F.coalesce(F.when(tokens.rlike(r"^\d+$"), tokens.try_cast("bigint")), F.lit(0)).alias("amount"),
     )
     keep = ("entry_id", "entry", "entity", "at", "amount", "received_at")
     # the message is parsed where it is read; only the tool names travel on
     blocks = nested.occurrences(df, {"message": "message_json"}, keep, payload=False)
-    calls = blocks.where("type = 'tool_use' and name <> ''")
+    calls = blocks.where("type = 'tool_use' and name <> ''").select(*keep, F.col("name").alias("feature"), "block_path")
+    # one narrow row per delivery, which stands for it where it has no calls
+    marks = deliveries.select("entry_id", "entry", "received_at")
     order = Window.partitionBy("entry").orderBy("received_at", "entry_id")
     all_ = Window.partitionBy("entry")
     # every row of a delivery has the same received_at and entry_id
     return (
-        calls.withColumn("version", F.dense_rank().over(order))
+        calls.unionByName(marks, allowMissingColumns=True)
+        .withColumn("version", F.dense_rank().over(order))
         .withColumn("last", F.col("version") == F.max("version").over(all_))
-        .select("entry", "version", "last", "entity", F.col("name").alias("feature"), "at", "amount", "entry_id", "block_path")
+        .where("feature is not null")
+        .select("entry", "version", "last", "entity", "feature", "at", "amount", "entry_id", "block_path")
     )
 
 
@@ -118,14 +131,17 @@ def tool_calls(entries: DataFrame) -> DataFrame:
 def session_features(entries: DataFrame) -> DataFrame:
     """One row per session with arrays by tool, in order of tool: calls, seconds since the last call, output tokens.
 
-    Seconds count to the latest call of all sessions. Sessions without a named tool have no features and no row.
+    Seconds count to the latest call of all sessions. Sessions of any entry have a row; without a named tool its arrays
+    are empty.
     """
     calls = tool_calls(entries)
     now = calls.where("last").agg(F.max("at")).scalar()
     features = session_tools(calls).withColumn("since", F.unix_seconds(now) - F.unix_seconds("latest"))
-    rows = features.groupBy(F.col("entity").alias("session_id")).agg(
+    sessions = _delivered(entries).select("entity").distinct()
+    item = F.when(F.col("feature").isNotNull(), F.struct("feature", "n", "since", "total"))
+    rows = features.unionByName(sessions, allowMissingColumns=True).groupBy(F.col("entity").alias("session_id")).agg(
         # one item per tool name, so an array is as long as there are tools, however many events a session has
-        F.array_sort(F.collect_list(F.struct(F.col("feature"), "n", "since", "total"))).alias("f")
+        F.array_sort(F.collect_list(item)).alias("f")
     )
     return rows.select(
         "session_id", F.col("f.feature").alias("tools"), F.col("f.n").alias("calls"),
