@@ -98,6 +98,18 @@ def test_equal_subtrees_have_one_identity_and_all_occurrences(spark):
     assert all(parents[r.entry_id, r.parent_path] == r.parent_id for r in bridge.where("depth > 0").collect())
 
 
+def test_every_parent_of_the_bridge_is_an_object_and_every_data_record_a_row(spark):
+    objects = {r.object_id: r for r in QUERIES["p3_objects"](spark, str(DATA)).collect()}
+    bridge = QUERIES["p3_bridge"](spark, str(DATA)).collect()
+    assert {r.parent_id for r in bridge} - {None} <= set(objects) and {r.object_id for r in bridge} == set(objects)
+    data = QUERIES["p3_data"](spark, str(DATA))
+    told = "SELECT entry_id, session_id, entry_type, j->>'$.type' AS type, j->>'$.query' AS query FROM (SELECT *, CASE WHEN json_valid(data_json) THEN data_json::JSON END AS j FROM session_entries) WHERE json_type(j) = 'OBJECT'"
+    assert rows(data.drop("object_id").toPandas()) == of_sql(told)
+    assert {(r.entry_id, r.object_id) for r in data.collect()} == {(r.entry_id, r.object_id) for r in bridge if r.source == "data" and r.depth == 0}
+    hard = entries(spark, [entry(1, data={"query": {"a": [1]}, "type": None}), entry(2, data={}), entry(3, data="{cut"), entry(4, data='{"query": "q", "results": [{}]}'), entry(5, data="[]"), entry(6)])
+    assert {(r.entry_id, r.type, r.query) for r in nested.data(hard).collect()} == {(1, None, '{"a":[1]}'), (2, None, None), (4, None, "q")}
+
+
 LINE = "line_id long, file_name string, file_format string, line_no int, raw string, arrived_at timestamp, reason string"
 
 

@@ -153,6 +153,19 @@ def messages(entries: DataFrame) -> DataFrame:
     return df.select("entry_id", "session_id", "entry_type", "m.role", "m.model", *[count(c.split()[0]) for c in usage.split(", ")])
 
 
+def data(entries: DataFrame) -> DataFrame:
+    """The flat part of each data object: type and query as JSON strings give them, other values as their JSON text.
+
+    One row for every entry whose data_json is a strict JSON object, also without results; null where a member is
+    missing or null. object_id is the record's identity, which its results name as parent_id.
+    """
+    records = occurrences(entries, {"data": "data_json"}, ("entry_id", "session_id", "entry_type"), roots=True).where("depth = 0")
+    members = F.from_json("payload", "map<string,string>")
+    return records.withColumn("_m", members).select(
+        "entry_id", "session_id", "entry_type", "object_id", *[F.try_element_at("_m", F.lit(c)).alias(c) for c in ("type", "query")]
+    )
+
+
 def found(entries: DataFrame) -> DataFrame:
     """entry_id and block_path of every nested object."""
     return occurrences(entries, payload=False).select("entry_id", "block_path")

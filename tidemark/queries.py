@@ -60,7 +60,7 @@ def p3_found(spark, d):
 
 @query()
 def p3_objects(spark, d):
-    return nested.objects(nested.occurrences(table(spark, d, "session_entries", spread=True)))
+    return nested.objects(nested.occurrences(table(spark, d, "session_entries", spread=True), roots=True))
 
 
 @query()
@@ -81,6 +81,11 @@ def p3_messages(spark, d):
     return nested.messages(table(spark, d, "session_entries", spread=True))
 
 
+@query()
+def p3_data(spark, d):
+    return nested.data(table(spark, d, "session_entries", spread=True))
+
+
 DRIFT_SQL = f"""
 WITH RECURSIVE r AS (SELECT producer, file_name, file_seq, CASE WHEN json_valid(raw) THEN raw::JSON END AS j FROM log_records),
 members AS (
