@@ -89,6 +89,34 @@ def test_graphs(spark):
     assert {(r.from_layer, r.to_layer) for r in graphs.violations(pairs).collect()} == {("pkg", "cmd"), ("internal", "api")}
 
 
+def test_cycles_of_any_length(spark):
+    import random
+
+    ring = [(f"{i:02}", f"{(i + 1) % 20:02}") for i in range(20)]
+    only = [tuple(r) for r in graphs.cycles(spark.createDataFrame(ring, "src string, dst string")).collect()]
+    assert only == [([f"{i:02}" for i in range(20)], 20)]
+    random.seed(3)
+    pairs = ring + [(f"{random.randrange(60):02}", f"{random.randrange(60):02}") for _ in range(75)]
+    edge = {p for p in pairs if p[0] != p[1]}
+    back = {}
+    for a, b in edge:  # edges from b back to a
+        hops, todo = {b: 1}, [b]
+        for x in todo:
+            for y in (d for s, d in edge if s == x):
+                if y not in hops:
+                    hops[y] = hops[x] + 1
+                    todo.append(y)
+        back[a, b] = hops.get(a)
+    found = [(r.nodes, r.length) for r in graphs.cycles(spark.createDataFrame(pairs, "src string, dst string")).collect()]
+    through = {}
+    for nodes, length in found:
+        assert nodes[0] == min(nodes) and len(set(nodes)) == length == len(nodes)
+        for e in zip(nodes, nodes[1:] + nodes[:1]):
+            through[e] = min(length, through.get(e, length))
+    assert len(found) == len({tuple(n) for n, _ in found}) and max(through.values()) > 5
+    assert through == {e: n for e, n in back.items() if n}
+
+
 def test_commits_and_branches(spark):
     log = ["feat(ui): x", "fix: y", "ABC-1 z", ":bug: q", "chore(ui): x\nfeat: body", "text", None]
     df = spark.createDataFrame([(m,) for m in log], "message string")

@@ -58,7 +58,11 @@ def reachable(pairs: DataFrame, longest: int) -> DataFrame:
 
 
 def cycles(pairs: DataFrame, longest: int = 4) -> DataFrame:
-    """nodes: each simple cycle of at most ``longest`` edges once, from its smallest node on, with its length."""
+    """nodes: cycles from their smallest node on, each once, with their length.
+
+    All simple cycles of at most ``longest`` edges, which are too many where they are longer; for each edge that lies
+    on longer cycles only, of whatever length, one of the shortest through it. So every edge of a cycle is in a row.
+    """
     edge = stored(pairs.select("src", "dst").where("src <> dst").distinct(), "edges")
     walk = edge.select(F.col("src").alias("start"), F.col("dst").alias("end"), F.array("src", "dst").alias("nodes")).where("dst > src")
     closed = None
@@ -68,7 +72,34 @@ def cycles(pairs: DataFrame, longest: int = 4) -> DataFrame:
         closed = done if closed is None else closed.unionByName(done)
         # only nodes greater than the start, so that every cycle is walked from its smallest node
         walk = stored(step.where("_d > start and not array_contains(nodes, _d)").select("start", F.col("_d").alias("end"), F.concat("nodes", F.array("_d")).alias("nodes")), "walks")
-    return closed.select("nodes", F.size("nodes").cast("bigint").alias("length"))
+    short = stored(closed, "cycles")
+    on = short.select(F.posexplode("nodes").alias("_i", "_s"), "nodes").select("_s", F.get("nodes", F.pmod(F.col("_i") + 1, F.size("nodes"))).alias("_d")).distinct()
+    rest = edge.join(on, F.expr("src = _s and dst = _d"), "left_anti")
+    return short.unionByName(_closings(edge, rest)).select("nodes", F.size("nodes").cast("bigint").alias("length"))
+
+
+def _closings(edge: DataFrame, rest: DataFrame) -> DataFrame:
+    """nodes: for each edge of ``rest`` that lies on a cycle of the graph ``edge``, one of the shortest cycles through it.
+
+    Paths grow by an edge per round from the ends of these edges, one path per pair of nodes, until each edge is closed
+    or no pair is new. A start leaves when its edges are closed.
+    """
+    rest = stored(rest.select("src", "dst"), "open")
+    new = stored(rest.select(F.col("dst").alias("start"), F.col("dst").alias("end"), F.array("dst").alias("nodes")).distinct(), "paths")
+    known, closed, rounds = new.select("start", "end"), new.select("nodes").limit(0), 0
+    while not new.isEmpty():
+        rounds += 1
+        old = known.select(F.col("start").alias("_b"), F.col("end").alias("_e"))
+        step = new.join(edge.select(F.col("src").alias("_s"), F.col("dst").alias("_d")), F.col("end") == F.col("_s")).select("start", F.col("_d").alias("end"), F.concat("nodes", F.array("_d")).alias("nodes"))
+        step = stored(step.join(old, F.expr("start = _b and end = _e"), "left_anti").groupBy("start", "end").agg(F.min("nodes").alias("nodes")), "paths")
+        known = known.unionByName(step.select("start", "end"))
+        closed = closed.unionByName(rest.join(step, F.expr("dst = start and src = end")).select("nodes"))
+        rest = stored(rest.join(step, F.expr("dst = start and src = end"), "left_anti"), "open")
+        new = step.join(rest.select(F.col("dst").alias("_b")).distinct(), F.col("start") == F.col("_b"), "left_semi")
+        if rounds % 16 == 0:  # else the plan grows with the rounds
+            known, closed = stored(known, "pairs"), stored(closed, "cycles")
+    at = F.array_position("nodes", F.array_min("nodes")).cast("int")
+    return closed.select(F.concat(F.slice("nodes", at, F.size("nodes")), F.slice("nodes", F.lit(1), at - 1)).alias("nodes")).distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:
