@@ -56,6 +56,23 @@ def test_unified_casts_every_record(spark):
     assert got == [(True, 3.0, ["a"], "user"), (True, 4.0, ["b", "c"], "system"), (False, None, None, None)]
 
 
+def test_unified_loses_nothing(spark):
+    df = log(spark, {1: [
+        {"type": "a", "message": {"role": "user"}, "extra": {"x": 1}, "priority": 2, "n.o": "dotted", "gone": None},
+        {"data": {"cached": 0.25, "total": ["115"], "new": [1], "q": "x", "query": "y"}, "isSidechain": [True], "retryCount": 12345678901234567},
+        {"data": "text", "isSidechain": [True, False], "tags": "[a", "sessionId": "s", "session": "t", "data.cached": "z"},
+        '{"type": "cut', None, '{"odd": 1, "odd": 1}',
+    ]})
+    got = drift.unified(df).orderBy("record_id").collect()
+    assert [r.rest for r in got[:5]] == [
+        {"extra": '{"x":1}', '"n.o"': "dotted"}, {"data.cached": "0.25", "data.new": "[1]", "data.q": "x", "retryCount": "12345678901234567"},
+        {"data": "text", "isSidechain": "[true,false]", "tags": "[a", "session": "t", '"data.cached"': "z"}, {"": '{"type": "cut'}, None,
+    ]
+    assert got[5].rest == {"odd": "1"} and not got[3].parsed
+    assert [r.message for r in got[:2]] == ['{"role":"user"}', None]
+    assert (got[1].data_cached, got[1].data_total, got[1].data_query, got[1].is_sidechain) == (None, 115.0, "y", True)
+
+
 ENTRY = "entry_id long, entry_uuid string, file_name string, line_no int, session_id string, entry_type string, logged_at string, message_json string, data_json string, received_at timestamp, name string"
 
 

@@ -196,9 +196,14 @@ def changes(records: DataFrame, aliases: dict = ALIASES) -> DataFrame:
 def unified(records: DataFrame, aliases: dict = ALIASES) -> DataFrame:
     """All records in one table with a column per information of the alias table, each cast to one type.
 
-    Numbers in quotes become numbers, a lone text in place of an array an array of one, true and false in quotes
-    booleans. What can't be cast, isn't there or is null gives null; records that don't parse keep their id with
-    ``parsed`` false. Where a record holds several aliases of one information, the first in the table counts.
+    Numbers in quotes become numbers, a lone text in place of an array an array of one, an array of one in place of a
+    number or boolean what is in it, true and false in quotes booleans. What isn't there or is null gives null; records
+    that don't parse keep their id with ``parsed`` false. Where a record holds several aliases of one information, the
+    first in the table counts. ``message`` is that member as text.
+
+    ``rest`` holds all that has no place in a column, as text by path: members that the table doesn't name, values that
+    can't be cast or would be rounded, other aliases of an information that is told already, and under the path "" a
+    record that doesn't parse. Names with a dot or a quote stand in quotes there, with quotes doubled. Nulls are left out.
     """
     df = records.select("record_id", "producer", "file_name", "file_seq", "raw")
     # maps, not structs: paths may differ in case only
@@ -210,9 +215,29 @@ def unified(records: DataFrame, aliases: dict = ALIASES) -> DataFrame:
         return F.try_element_at("_data", F.lit(path[5:])) if path.startswith("data.") else F.try_element_at("_top", F.lit(path))
 
     def cast(kind: str, text: Column) -> Column:
+        items = F.when(text.startswith("["), F.from_json(text, "array<string>"))
         if kind == "array<string>":
-            return F.when(text.startswith("["), F.from_json(text, "array<string>")).when(text.isNotNull(), F.array(text))
-        return text.try_cast(kind) if kind != "string" else text
-
-    columns = [cast(kind, F.coalesce(*[at(p) for p in ps])).alias(name) for name, (kind, ps) in aliases.items()]
-    return df.select("record_id", "producer", "file_name", "file_seq", F.col("_ok").alias("parsed"), *columns)
+            return F.when(text.startswith("["), items).when(text.isNotNull(), F.array(text))
+        return F.coalesce(text.try_cast(kind), F.when(F.size(items) == 1, F.get(items, F.lit(0))).try_cast(kind)) if kind != "string" else text
+
+    def entries(of: str, prefix: str, without: Column) -> Column:
+        named = lambda k: F.concat(F.lit(prefix), F.when(k.rlike(r'[."]'), F.concat(F.lit('"'), F.replace(k, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(k))
+        kept = F.filter(F.map_entries(of), lambda e: e["value"].isNotNull() & ~F.array_contains(without, e["key"]))
+        return F.coalesce(F.transform(kept, lambda e: F.struct(named(e["key"]).alias("key"), e["value"].alias("value"))), F.expr("array()"))
+
+    texts = {name: F.coalesce(*[at(p) for p in ps]) for name, (_, ps) in aliases.items()}
+    df = df.withColumns({f"_t_{name}": text for name, text in texts.items()})
+    df = df.withColumns({f"_c_{name}": cast(kind, F.col(f"_t_{name}")) for name, (kind, _) in aliases.items()})
+    # the path that each column was read from, if the value is whole there
+    whole = {name: F.col(f"_c_{name}").isNotNull() & ~((F.lit(kind) == "double") & F.col(f"_t_{name}").rlike(r"\d{16}")) for name, (kind, _) in aliases.items()}
+    used = F.array(*[F.when(whole[name], F.coalesce(*[F.when(at(p).isNotNull(), F.lit(p)) for p in ps])) for name, (_, ps) in aliases.items()])
+    opened = F.when(F.col("_data").isNotNull(), F.array(F.lit("message"), F.lit("data"))).otherwise(F.array(F.lit("message")))
+    rest = F.concat(entries("_top", "", opened), entries("_data", "data.", F.expr("cast(array() as array<string>)")))
+    df = df.withColumn("_used", F.array_compact(used)).withColumn("_rest", F.filter(rest, lambda e: ~F.array_contains("_used", e["key"])))
+    # a member that stands twice counts once, as in the columns
+    once = F.filter("_rest", lambda e, i: F.array_position(F.transform("_rest", lambda x: x["key"]), e["key"]) == i + 1)
+    rest = F.when(F.col("_top").isNotNull(), F.map_from_entries(once)).when(F.col("raw").isNotNull(), F.create_map(F.lit(""), "raw"))
+    return df.select(
+        "record_id", "producer", "file_name", "file_seq", F.col("_ok").alias("parsed"), *[F.col(f"_c_{name}").alias(name) for name in aliases],
+        at("message").alias("message"), rest.alias("rest"),
+    )
