@@ -138,6 +138,17 @@ def test_links_follow_mentions_and_questions_start_trees(spark):
     assert got[3][0] == 1 and got[4][0] == 2 and got[6] == (None, 6, "user") and got[7] == (6, 6, "assistant") and {got[i][1] for i in range(6)} == {0}
 
 
+def test_links_find_calls_at_any_distance_and_compare_all_words(spark, monkeypatch):
+    turns = [turn(0, "user", "start"), turn(1, "assistant", [{"type": "tool_use", "id": "far"}])]
+    turns += [turn(i, "assistant", "between") for i in range(2, 30)] + [turn(30, "user", [{"type": "tool_result", "tool_use_id": "far"}])]
+    df = spark.createDataFrame(turns, ENTRY)
+    for chunk in (conversations.CHUNK, 8):
+        monkeypatch.setattr(conversations, "CHUNK", chunk)
+        got = {r.position: r.parent for r in conversations.links(conversations.positions(conversations.entries_once(df))).collect()}
+        assert len(got) == 31 and got[30] == 1
+    assert len(conversations._words(" ".join(map(str, range(100))))) == 100
+
+
 def test_chunks_dont_change_conversations(spark, monkeypatch):
     random.seed(8)
     turns, n = [], 0

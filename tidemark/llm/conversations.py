@@ -22,10 +22,8 @@ from tidemark.functions.schemas import flat
 from tidemark.operators.nested import parsed
 from tidemark.session import stored
 
-#: Messages that a message may reply to: so many before it.
+#: Messages that a message may reply to: so many before it, and any earlier one whose call it answers.
 CANDIDATES = 8
-#: Words kept of a message for the overlap: those with the smallest hashes, a sample that is alike for like texts.
-WORDS = 16
 #: Positions of a session in one chunk.
 CHUNK = 8192
 #: Weights of the score: per factor e of seconds, for a mention, for the share of common words, for the other speaker.
@@ -51,7 +49,7 @@ def visible(text) -> bool:
 
 
 def _words(text: str) -> list[int]:
-    return sorted({xxhash.xxh3_64_intdigest(w.encode(errors="replace")) >> 1 for w in set(text.lower().split())})[:WORDS]
+    return sorted({xxhash.xxh3_64_intdigest(w.encode(errors="replace")) >> 1 for w in set(text.lower().split())})
 
 
 def _facts(text: str | None, full: bool) -> tuple:
@@ -128,6 +126,18 @@ def _question() -> Column:
     return (F.col("entry_type") == "user") & F.col("has_text")
 
 
+def _far_calls(placed: DataFrame) -> DataFrame:
+    """Messages with each earlier message beyond the nearest ``CANDIDATES`` whose call they answer, as ``call``."""
+    calls = placed.select(F.col("session_id").alias("_s"), F.col("position").alias("_c"), F.explode("calls").alias("_id"))
+    answers = placed.select(F.col("session_id").alias("_a"), F.col("position").alias("_p"), F.explode("answers").alias("id"))
+    # ids and positions only; what the score needs is fetched for the pairs that are left
+    pairs = answers.join(calls, F.expr(f"_a <=> _s and id = _id and _c < _p - {CANDIDATES}")).select("_a", "_p", "_c").distinct()
+    row = ("session_id", "position", "at", "entry_type", "answers", "words")
+    call = placed.select(F.col("session_id").alias("_s"), F.struct("position", "at", "entry_type", "calls", "words").alias("call"))
+    df = placed.select(*row).join(pairs, F.expr("session_id <=> _a and position = _p"))
+    return df.join(call, F.expr("session_id <=> _s and _c = call.position")).select(*row, "call")
+
+
 def links(placed: DataFrame) -> DataFrame:
     """Adds ``parent`` (position of the message replied to, null for the start of a tree) and ``score``."""
     size = F.lit(CHUNK)
@@ -149,11 +159,14 @@ def links(placed: DataFrame) -> DataFrame:
         total = w["time"] * gap + w["mention"] * F.coalesce(mention, F.lit(0)) + w["words"] * common + w["speaker"] * other
         return F.struct(total.alias("score"), c["position"].alias("parent"))
 
-    df = df.withColumn("_best", F.array_max(F.transform("_before", score)))
+    df = df.withColumn("_near", F.array_max(F.transform("_before", score)))
+    far = stored(_far_calls(placed).select("session_id", "position", score(F.col("call")).alias("_f")).groupBy("session_id", "position").agg(F.max("_f").alias("_far")), "mentions")
+    far = far.withColumnsRenamed({"session_id": "_s", "position": "_p"})
+    df = df.join(far, F.expr("session_id <=> _s and position = _p"), "left").withColumn("_best", F.greatest("_near", "_far"))
     tied = ~F.coalesce(_question(), F.lit(False)) | (F.col("_best.score") > TIED)
     return df.withColumns({
         "parent": F.when(tied, F.col("_best.parent")), "score": F.when(tied, F.col("_best.score")),
-    }).drop("_own", "_chunk", "_before", "_best")
+    }).drop("_own", "_chunk", "_before", "_near", "_far", "_s", "_p", "_best")
 
 
 def trees(linked: DataFrame) -> DataFrame:
