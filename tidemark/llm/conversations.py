@@ -188,8 +188,8 @@ def trees(linked: DataFrame) -> DataFrame:
 def _unanswered(linked: DataFrame) -> DataFrame:
     """session_id of sessions with a question that gets no reply before the next question or the end.
 
-    Links tell which questions have a reply that looks back at them and has no other question in between. The
-    questions that are left are checked against what follows them.
+    This is told by the order of events alone; the links change no verdict, since a question whose next event is a
+    reply is answered whether or not the reply is linked to it.
     """
     reply = (F.col("entry_type") == "assistant") & (F.col("has_text") | F.col("tool_use"))
     events = linked.select("session_id", "position", "parent", F.when(_question(), 1).when(reply, 2).alias("kind")).where("kind is not null")
