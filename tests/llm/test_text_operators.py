@@ -2,11 +2,13 @@
 
 import base64
 import json
+import math
 import random
 import re
 import unicodedata
 from datetime import datetime, timedelta
 
+import numpy as np
 import pandas as pd
 import pytest
 import tiktoken
@@ -272,6 +274,29 @@ def test_levels_of_documents_without_labels(spark):
     assert sum(got[i] == level for i, level in held) / len(held) > 0.95
 
 
+def test_estimation_ends_and_words_of_higher_levels_are_more_difficult(spark):
+    docs, labels = corpus(spark)
+    words = reading._words_of(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS), tokens.BYTE_BPE, tokens.TOKENIZERS)
+    model, told = reading.fitted(words)
+    assert [n for n, *_ in told] == list(range(1, len(told) + 1)) and len(told) > 1 and told[-1][2] < reading.TOLERANCE
+    assert all(ll < 0 for _, ll, _ in told) and told[-1][1] > 100 * math.log(1 / 4)  # better than a guess of each label
+
+    def difficulty(text):
+        ids, _ = tokens.encoder(RANKS).encode([text])
+        return model.difficulty[reading._buckets(ids, np.zeros(len(ids), int), reading._prose_ids(RANKS))[1]].mean()
+
+    of = [difficulty(". ".join(STYLES[k])) for k in (1, 2, 3, 4)]
+    assert of == sorted(of) and model.link[0] > 0
+    assert reading.fitted(words.where("anchor is null")) == (None, [])
+
+
+def test_an_unclosed_fence_ends_with_its_line(spark):
+    docs, labels = corpus(spark)
+    ends = [(900, "```\n" + ". ".join(STYLES[4] * 20), 0), (901, ". ".join(STYLES[4] * 20) + "\n```py\n", 0)]
+    got = {r.doc_id: (r.level, r.words) for r in reading.levels(spark.createDataFrame(docs + ends, DOCS), spark.createDataFrame(labels, LABELS)).where("doc_id >= 900").collect()}
+    assert got[900] == got[901] and got[900][0] == 4
+
+
 def test_levels_of_hard_cases(spark):
     docs, labels = corpus(spark, 120)
     more = [(900, None, 0), (901, "", 0), (902, " \n​", 0), (903, "```\ncode only\n```", 0), (904, ". ".join(STYLES[4] * 5000), 0), (905, docs[3][1], 0), (905, docs[3][1], 0), (None, "the box", 0)]

@@ -102,6 +102,12 @@ def p9_levels(spark, d):
     return reading.levels(table(spark, d, "documents", spread=True), table(spark, d, "labels"))
 
 
+@query()
+def p9_rounds(spark, d):
+    """Log likelihood of the labels and change of the levels, round by round."""
+    return reading.rounds(table(spark, d, "documents", spread=True), table(spark, d, "labels"))
+
+
 @query()
 def p9_profile(spark, d):
     """Documents per language, kind and level."""
