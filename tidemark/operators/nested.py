@@ -119,7 +119,7 @@ def occurrences(
             index = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(f.name).take(index) for f in kept]
-                + [pa.array(map(_utf8, x) if isinstance(f.dataType, T.StringType) else x, pa.string() if isinstance(f.dataType, T.StringType) else pa.int32()) for f, x in zip(BRIDGE, out)],
+                + [pa.array(map(utf8, x) if isinstance(f.dataType, T.StringType) else x, pa.string() if isinstance(f.dataType, T.StringType) else pa.int32()) for f, x in zip(BRIDGE, out)],
                 names=[f.name for f in kept] + BRIDGE.names,
             )
 
@@ -128,7 +128,7 @@ def occurrences(
 
 
 
-def _utf8(text: str | None) -> str | None:
+def utf8(text: str | None) -> str | None:
     """Text without lone surrogates, which Arrow can't hold."""
     return text if text is None or text.isascii() else text.encode("utf-8", "replace").decode()
 
