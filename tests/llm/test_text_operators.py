@@ -151,6 +151,56 @@ def test_links_find_calls_at_any_distance_and_compare_all_words(spark, monkeypat
     assert len(conversations._words(" ".join(map(str, range(100))))) == 100
 
 
+def scores(messages):
+    """Best parent of each message of one session among all earlier ones, by brute force; messages as rows of entries_once in order."""
+    w, out = conversations.WEIGHTS, {}
+    kind = lambda m: 1 if m.entry_type == "user" and m.has_text else 2 if m.entry_type == "assistant" and (m.has_text or m.tool_use) else None
+    for p, m in enumerate(messages):
+        asked = max([i for i in range(p) if kind(messages[i]) == 1], default=-1)
+        replied = max([i for i in range(p) if kind(messages[i]) == 2], default=-1)
+        calls = {i: max(c for c in range(p) if i in messages[c].calls) for i in m.answers or [] if any(i in messages[c].calls for c in range(p))}
+        best = None
+        for i in range(p):
+            c = messages[i]
+            passed = 0 if m.at is None else conversations.UNKNOWN if c.at is None else max(0, (m.at - c.at).total_seconds())
+            common = len(set(m.words or []) & set(c.words or [])) / max(1, min(len(m.words or []), len(c.words or [])))
+            mention = i in calls.values() or (p - i <= conversations.NEAR and set(m.answers or []) & set(c.calls or []))
+            told = w["turn"] if kind(m) == 2 and i == asked > replied else w["mention"] if mention else w["words"] * common
+            best = max(best or (-math.inf, -1), (told + w["time"] * math.log1p(passed + conversations.STEP * (p - i)) + w["speaker"] * (m.entry_type != c.entry_type), i))
+        out[p] = best[1] if best and (kind(m) != 1 or best[0] > conversations.TIED) else None
+    return out
+
+
+def test_links_are_the_best_of_all_earlier_messages(spark, monkeypatch):
+    random.seed(9)
+    turns, when, n = [], 0, 0
+    for s in ("a", "b"):
+        for _ in range(160):
+            n += 1
+            when += random.choice([0, 1, 5, 40, 3000, 200_000])
+            body = random.choice([" ".join(random.choices("red blue green grey black white".split(), k=random.randint(1, 6))), [{"type": "tool_use", "id": f"t{n}"}], [{"type": "tool_result", "tool_use_id": f"t{random.randint(1, n)}"}], " "])
+            at = None if random.random() < 0.9 else "never"
+            turns.append(turn(n, random.choice(["user", "assistant"]), body, session=s, at=at or (START + timedelta(seconds=when)).isoformat() + "Z"))
+    once = conversations.entries_once(spark.createDataFrame(turns, ENTRY))
+    placed = conversations.positions(once)
+    rows_ = sorted(placed.collect(), key=lambda r: (r.session_id, r.position))
+    want = {(s, p): parent for s in ("a", "b") for p, parent in scores([r for r in rows_ if r.session_id == s]).items()}
+    for chunk in (conversations.CHUNK, 16):
+        monkeypatch.setattr(conversations, "CHUNK", chunk)
+        assert {(r.session_id, r.position): r.parent for r in conversations.links(placed).collect()} == want
+    assert any(p - parent > conversations.NEAR * conversations.GROWTH for (_, p), parent in want.items() if parent is not None)
+
+
+def test_reply_links_decide_which_conversations_are_dropped(spark):
+    turns = [turn(1, "user", "q"), turn(2, "assistant", "a"), turn(3, "user", "r"), turn(4, "assistant", "b"), turn(5, "user", "x", session="t"), turn(6, "user", "y", session="t"), turn(7, "assistant", "z", session="t")]
+    once = conversations.entries_once(spark.createDataFrame(turns, ENTRY))
+    linked = conversations.links(conversations.positions(once))
+    drop = lambda of: {r.session_id for r in conversations.reasons(once, of).where("no_reply").collect()}
+    assert drop(linked) == {"t"}
+    assert drop(linked.withColumn("parent", F.lit(None).cast("bigint"))) == {"s", "t"}
+    assert drop(linked.withColumn("parent", F.lit(0).cast("bigint"))) == {"s", "t"}  # the second question has lost its reply
+
+
 def test_chunks_dont_change_conversations(spark, monkeypatch):
     random.seed(8)
     turns, n = [], 0

@@ -1,9 +1,14 @@
 """Conversations put together from message rows, as ordered turns and as trees of replies.
 
 Every message looks back at the messages before it in its session and scores each as the one it replies to: by the
-time between them, by mentions (a tool result names the call it answers), by shared words and by the change of
-speaker. The likeliest is its parent; a question that nothing ties to an earlier message starts a tree. A session may
-hold any share of all rows: it is cut by position into chunks of bounded size, each with the few rows before it.
+time between them, by mentions (a tool result names the call it answers), by turns (the first reply after a question is
+drawn to it), by shared words and by the change of speaker. The likeliest is its parent; a question that nothing ties to
+an earlier message starts a tree. A question is answered if a reply before the next question has it as its parent.
+
+All earlier messages are candidates, but few need a look: time only lowers the score of older ones, so once the best
+score so far is above what any older message could reach, the search of a message ends. The nearest are scored for all
+messages at once, further ones only for messages that are still open, in windows that grow. A session may hold any share
+of all rows: it is cut by position into chunks of bounded size, and what came before a chunk is carried into it.
 """
 
 from __future__ import annotations
@@ -19,22 +24,25 @@ from pyspark.sql import types as T
 
 from tidemark.functions.instants import instant
 from tidemark.functions.schemas import flat
-from tidemark.operators.nested import parsed
+from tidemark.operators.nested import parsed, utf8
 from tidemark.session import stored
 
-#: Messages that a message may reply to: so many before it, and any earlier one whose call it answers.
-CANDIDATES = 8
-#: Positions of a session in one chunk.
+#: Messages that are scored for every message; the windows after that grow by GROWTH.
+NEAR, GROWTH = 8, 8
+#: Positions of a session in one chunk; at least NEAR.
 CHUNK = 8192
-#: Weights of the score: per factor e of seconds, for a mention, for the share of common words, for the other speaker.
-WEIGHTS = {"time": -0.3, "mention": 6.0, "words": 2.0, "speaker": 1.0}
+#: Weights of the score: per factor e of time, for a mention, for the open question that a reply follows, for the share of
+#: common words, for the other speaker.
+WEIGHTS = {"time": -1.0, "mention": 40.0, "turn": 60.0, "words": 1.5, "speaker": 0.5}
+#: Seconds that a message in between adds to the time; seconds to a message without a time.
+STEP, UNKNOWN = 15.0, 1e12
 #: A question replies to an earlier message only above this score.
-TIED = 4.0
+TIED = -2.0
 #: Characters that show nothing though Unicode doesn't class them as blank or format.
 HIDDEN = "\u034f\u115f\u1160\u17b4\u17b5\u2800\u3164\uffa0" + "".join(map(chr, range(0xFE00, 0xFE10)))
 FACTS = flat(
     "parses boolean, role string, has_text boolean, tool_use boolean, tool_result boolean, calls array<string>,"
-    " answers array<string>, words array<bigint>, text string"
+    " answers array<string>, words array<bigint>"
 )
 
 
@@ -52,23 +60,30 @@ def _words(text: str) -> list[int]:
     return sorted({xxhash.xxh3_64_intdigest(w.encode(errors="replace")) >> 1 for w in set(text.lower().split())})
 
 
-def _facts(text: str | None, full: bool) -> tuple:
+def _blocks(content) -> list[dict]:
+    """Top-level blocks of a message; a lone object counts as one."""
+    return [content] if isinstance(content, dict) else [b for b in content if isinstance(b, dict)] if isinstance(content, list) else []
+
+
+def _texts(content) -> list[str]:
+    return [content] if isinstance(content, str) else [b["text"] for b in _blocks(content) if b.get("type") == "text" and isinstance(b.get("text"), str)]
+
+
+def _facts(text: str | None) -> tuple:
     record = parsed(text)
     if not isinstance(record, dict):
-        return (False, None, False, False, False, [], [], [], None)
+        return (False, None, False, False, False, [], [], [])
     content, role = record.get("content"), record.get("role")
-    blocks = [content] if isinstance(content, dict) else [b for b in content if isinstance(b, dict)] if isinstance(content, list) else []
+    blocks, texts = _blocks(content), _texts(content)
     kind = lambda k: [b for b in blocks if b.get("type") == k]
-    texts = [content] if isinstance(content, str) else [b["text"] for b in kind("text") if isinstance(b.get("text"), str)]
-    ids = lambda k, key: [b[key] for b in kind(k) if isinstance(b.get(key), str)]
-    whole = "\n".join(texts)
+    ids = lambda k, key: [utf8(b[key]) for b in kind(k) if isinstance(b.get(key), str)]
     return (
-        True, role if isinstance(role, str) else None, any(map(visible, texts)), bool(kind("tool_use")), bool(kind("tool_result")),
-        ids("tool_use", "id"), ids("tool_result", "tool_use_id"), _words(whole), whole.encode("utf-8", "replace").decode() if full else None,
+        True, utf8(role) if isinstance(role, str) else None, any(map(visible, texts)), bool(kind("tool_use")), bool(kind("tool_result")),
+        ids("tool_use", "id"), ids("tool_result", "tool_use_id"), _words("\n".join(texts)),
     )
 
 
-def entries_once(entries: DataFrame, text: bool = False) -> DataFrame:
+def entries_once(entries: DataFrame) -> DataFrame:
     """One row per log entry: session, time, type and the facts of its message; the latest delivery counts.
 
     The session is told by the file name where session_id is missing or empty. Rows of equal entry_uuid are one
@@ -88,9 +103,9 @@ def entries_once(entries: DataFrame, text: bool = False) -> DataFrame:
     def facts(batches):
         for batch in batches:
             kinds = batch.column("entry_type").to_pylist()
-            rows = [_facts(m, text) if k in message_types else (None,) * len(FACTS) for k, m in zip(kinds, batch.column("message_json").to_pylist())]
+            rows = [_facts(m) if k in message_types else (None,) * len(FACTS) for k, m in zip(kinds, batch.column("message_json").to_pylist())]
             columns = list(zip(*rows)) or [()] * len(FACTS)
-            types = [pa.bool_(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.string()]
+            types = [pa.bool_(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(f.name) for f in others] + [pa.array(c, t) for c, t in zip(columns, types)], names=[f.name for f in others] + FACTS.names
             )
@@ -100,6 +115,19 @@ def entries_once(entries: DataFrame, text: bool = False) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n", "received_at")
 
 
+def texts(entries: DataFrame) -> DataFrame:
+    """entry_id and text of each message: its string, or the texts of its top-level text blocks in lines; null where it doesn't parse."""
+
+    def read(batches):
+        for batch in batches:
+            records = map(parsed, batch.column("message_json").to_pylist())
+            found = [utf8("\n".join(_texts(r.get("content")))) if isinstance(r, dict) else None for r in records]
+            yield pa.RecordBatch.from_arrays([batch.column("entry_id"), pa.array(found, pa.string())], names=["entry_id", "text"])
+
+    schema = T.StructType([entries.schema["entry_id"], T.StructField("text", T.StringType())])
+    return entries.where(F.col("entry_type").isin("user", "assistant")).select("entry_id", "message_json").mapInArrow(read, schema)
+
+
 def positions(once: DataFrame) -> DataFrame:
     """Messages with their position in the session, by instant, then line_no, then entry.
 
@@ -122,93 +150,150 @@ def positions(once: DataFrame) -> DataFrame:
     )
 
 
-def _question() -> Column:
-    return (F.col("entry_type") == "user") & F.col("has_text")
+def _kind() -> Column:
+    """1 for a question (a user's message with text), 2 for a reply (an assistant's with text or a call), else null."""
+    question = (F.col("entry_type") == "user") & F.col("has_text")
+    reply = (F.col("entry_type") == "assistant") & (F.col("has_text") | F.col("tool_use"))
+    return F.when(question, 1).when(reply, 2)
+
+
+def _seconds(c: Column) -> Column:
+    """Seconds since a candidate. They grow with its distance: messages without a time come first in a session."""
+    passed = F.greatest((F.unix_micros(F.col("at")) - F.unix_micros(c["at"])) / 1e6, F.lit(0.0))
+    return F.when(F.col("at").isNull(), F.lit(0.0)).when(c["at"].isNull(), F.lit(UNKNOWN)).otherwise(passed)
+
+
+def _time(seconds: Column, distance: Column) -> Column:
+    return WEIGHTS["time"] * F.log1p(seconds + STEP * distance)
+
+
+def _speaker(c: Column) -> Column:
+    return WEIGHTS["speaker"] * (F.col("entry_type") != c["entry_type"]).cast("int")
+
+
+def _score(c: Column, mention: Column, turn: Column) -> Column:
+    """Struct of score and parent of a candidate. Where a mention tells the parent, words don't count."""
+    common = F.size(F.array_intersect("words", c["words"])) / F.greatest(F.least(F.size("words"), F.size(c["words"])), F.lit(1))
+    told = F.when(turn, WEIGHTS["turn"]).when(mention, WEIGHTS["mention"]).otherwise(WEIGHTS["words"] * common)
+    return F.struct((told + _time(_seconds(c), F.col("position") - c["position"]) + _speaker(c)).alias("score"), c["position"].alias("parent"))
 
 
 def _far_calls(placed: DataFrame) -> DataFrame:
-    """Messages with each earlier message beyond the nearest ``CANDIDATES`` whose call they answer, as ``call``."""
-    calls = placed.select(F.col("session_id").alias("_s"), F.col("position").alias("_c"), F.explode("calls").alias("_id"))
-    answers = placed.select(F.col("session_id").alias("_a"), F.col("position").alias("_p"), F.explode("answers").alias("id"))
-    # ids and positions only; what the score needs is fetched for the pairs that are left
-    pairs = answers.join(calls, F.expr(f"_a <=> _s and id = _id and _c < _p - {CANDIDATES}")).select("_a", "_p", "_c").distinct()
-    row = ("session_id", "position", "at", "entry_type", "answers", "words")
-    call = placed.select(F.col("session_id").alias("_s"), F.struct("position", "at", "entry_type", "calls", "words").alias("call"))
-    df = placed.select(*row).join(pairs, F.expr("session_id <=> _a and position = _p"))
-    return df.join(call, F.expr("session_id <=> _s and _c = call.position")).select(*row, "call")
+    """session, position and the best (score and parent) of the calls beyond the nearest messages that a message answers.
 
+    An id is that of the latest earlier call. The calls of an id are cut by position, like everything of a session.
+    """
+    chunk = F.floor(F.col("position") / F.lit(CHUNK))
+    one = lambda ids: placed.select("session_id", "position", "at", "entry_type", F.explode(F.array_distinct(ids)).alias("id")).withColumn("_chunk", chunk)
+    calls, answers = one("calls"), one("answers")
+    call = F.struct("position", "at", "entry_type")
+    ids = ["session_id", "id"]
+    both = calls.withColumn("call", call).unionByName(answers, allowMissingColumns=True)
+    # of rows of one position the call comes last, so that no message answers itself
+    before = Window.partitionBy(*ids, "_chunk").orderBy("position", F.col("call").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    inside = both.withColumn("_in", F.last("call", ignorenulls=True).over(before)).where("call is null")
+    ends = calls.groupBy(*ids, "_chunk").agg(F.max(call).alias("_last"))
+    carried = ends.select(*[F.col(k).alias(f"_{k}") for k in ids], F.col("_chunk").alias("_c"), "_last").withColumn(
+        "_next", F.lead("_c").over(Window.partitionBy("_session_id", "_id").orderBy("_c"))
+    )
+    # an answer in a chunk without an earlier call of its id takes the last call of the chunks before
+    lone = inside.where("_in is null and _chunk > 0").drop("_in")
+    later = lone.join(carried, F.expr("session_id <=> _session_id and id = _id and _c < _chunk and (_next is null or _next >= _chunk)")).withColumn("call", F.col("_last"))
+    found = inside.where("_in is not null").withColumn("call", F.col("_in")).select("session_id", "position", "at", "entry_type", "call").unionByName(later.select("session_id", "position", "at", "entry_type", "call"))
+    c = F.col("call")
+    found = found.where(c["position"] < F.col("position") - NEAR)
+    score = F.struct((WEIGHTS["mention"] + _time(_seconds(c), F.col("position") - c["position"]) + _speaker(c)).alias("score"), c["position"].alias("parent"))
+    return found.groupBy("session_id", "position").agg(F.max(score).alias("_far"))
 
-def links(placed: DataFrame) -> DataFrame:
-    """Adds ``parent`` (position of the message replied to, null for the start of a tree) and ``score``."""
+
+#: Columns of a message that links keep.
+KEPT = ("session_id", "position", "entry_id", "entry_type", "role", "at", "tool_use", "tool_result", "kind", "question")
+
+
+def _near(placed: DataFrame) -> DataFrame:
+    """KEPT, the best of the nearest messages and of the open question at any distance, and what a further search needs.
+
+    ``question`` is the position of the last question before a message. ``_seconds`` are those to the furthest of the
+    nearest messages, and ``words`` are null where no older message can be better.
+    """
     size = F.lit(CHUNK)
     chunk = F.floor(F.col("position") / size)
+    told = F.struct("position", "at", "entry_type", "calls", "words")
+    df = placed.withColumns({"kind": _kind(), "_own": chunk})
+    # what the chunks before hold: their last question and their last reply
+    ends = df.groupBy("session_id", "_own").agg(F.max_by(F.when(F.col("kind") == 1, told), F.when(F.col("kind") == 1, F.col("position"))).alias("_q"), F.max(F.when(F.col("kind") == 2, F.col("position"))).alias("_r"))
+    earlier = Window.partitionBy("session_id").orderBy("_own").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(F.col("session_id").alias("_s"), F.col("_own").alias("_c"), F.last("_q", True).over(earlier).alias("_q0"), F.last("_r", True).over(earlier).alias("_r0")).where("_c > 0")
     # the last rows of a chunk also stand before the next one
-    copies = F.when(F.pmod("position", size) >= CHUNK - CANDIDATES, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
-    df = placed.withColumn("_own", chunk).withColumn("_chunk", F.explode(copies))
-    back = Window.partitionBy("session_id", "_chunk").orderBy("position").rowsBetween(-CANDIDATES, -1)
-    before = F.collect_list(F.struct("position", "at", "entry_type", "calls", "words")).over(back)
-    df = df.withColumn("_before", before).where("_own = _chunk")
-    words = F.size("words")
-
-    def score(c: Column) -> Column:
-        gap = F.coalesce(F.log1p(F.greatest(F.unix_micros(F.col("at")) - F.unix_micros(c["at"]), F.lit(0)) / 1e6), F.lit(20.0))
-        mention = F.arrays_overlap(F.col("answers"), c["calls"]).cast("int")
-        common = F.size(F.array_intersect("words", c["words"])) / F.greatest(F.least(words, F.size(c["words"])), F.lit(1))
-        other = (F.col("entry_type") != c["entry_type"]).cast("int")
-        w = WEIGHTS
-        total = w["time"] * gap + w["mention"] * F.coalesce(mention, F.lit(0)) + w["words"] * common + w["speaker"] * other
-        return F.struct(total.alias("score"), c["position"].alias("parent"))
-
-    df = df.withColumn("_near", F.array_max(F.transform("_before", score)))
-    far = stored(_far_calls(placed).select("session_id", "position", score(F.col("call")).alias("_f")).groupBy("session_id", "position").agg(F.max("_f").alias("_far")), "mentions")
-    far = far.withColumnsRenamed({"session_id": "_s", "position": "_p"})
-    df = df.join(far, F.expr("session_id <=> _s and position = _p"), "left").withColumn("_best", F.greatest("_near", "_far"))
-    tied = ~F.coalesce(_question(), F.lit(False)) | (F.col("_best.score") > TIED)
-    return df.withColumns({
-        "parent": F.when(tied, F.col("_best.parent")), "score": F.when(tied, F.col("_best.score")),
-    }).drop("_own", "_chunk", "_before", "_near", "_far", "_s", "_p", "_best")
+    copies = F.when(F.pmod("position", size) >= CHUNK - NEAR, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
+    df = df.withColumn("_chunk", F.explode(copies))
+    inside = Window.partitionBy("session_id", "_chunk").orderBy("position")
+    back, all_ = inside.rowsBetween(-NEAR, -1), inside.rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumns({
+        "_before": F.collect_list(told).over(back), "_q": F.last(F.when(F.col("kind") == 1, told), True).over(all_), "_r": F.last(F.when(F.col("kind") == 2, F.col("position")), True).over(all_),
+    }).where("_own = _chunk")
+    df = df.join(carried, F.expr("session_id <=> _s and _chunk = _c"), "left")
+    df = df.withColumns({"_q": F.coalesce("_q", "_q0"), "_r": F.coalesce("_r", "_r0")}).withColumn("question", F.col("_q.position"))
+    # a reply is drawn to the last question unless an earlier reply has taken it
+    turn = F.coalesce((F.col("kind") == 2) & (F.coalesce(F.col("_r"), F.lit(-1)) < F.col("question")), F.lit(False))
+    mention = lambda c: F.coalesce(F.arrays_overlap("answers", c["calls"]), F.lit(False))
+    near = F.array_max(F.transform("_before", lambda c: _score(c, mention(c), turn & (c["position"] == F.col("question")))))
+    asked = F.when(turn, _score(F.col("_q"), F.lit(False), F.lit(True)))
+    df = df.withColumns({"_best": F.greatest(near, asked), "_seconds": _seconds(F.get("_before", F.lit(0)))})
+    return df.select(*KEPT, "_best", "_seconds", F.when(_open(NEAR), F.col("words")).alias("words"))
+
+
+def _open(reach: int) -> Column:
+    """Whether a message further back than ``reach`` could have a better score than the best so far."""
+    most = _time(F.col("_seconds"), F.lit(reach + 1)) + WEIGHTS["words"] + WEIGHTS["speaker"]
+    return (F.col("position") > reach) & (most > F.coalesce(F.col("_best.score"), F.lit(float("-inf"))))
 
 
-def trees(linked: DataFrame) -> DataFrame:
-    """session_id, position, root, depth of every message, by doubling the links until every message has its root."""
-    now = stored(linked.select("session_id", "position", F.coalesce("parent", "position").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth")), "links")
-    while True:
-        up = now.select(F.col("session_id").alias("_s"), F.col("position").alias("_p"), F.col("root").alias("_r"), F.col("depth").alias("_d"))
-        now = stored(
-            now.join(up, F.expr("session_id <=> _s and root = _p")).select(
-                "session_id", "position", F.col("_r").alias("root"), (F.col("depth") + F.col("_d")).alias("depth"), (F.col("_r") != F.col("root")).alias("moved")
-            ),
-            "links",
-        )
-        if now.where("moved").isEmpty():
-            return now.drop("moved")
-        now = now.drop("moved")
+def links(placed: DataFrame) -> DataFrame:
+    """KEPT, ``parent`` (position of the message replied to, null for the start of a tree) and ``score``: the best of all earlier messages."""
+    far = _far_calls(placed).withColumnsRenamed({"session_id": "_s", "position": "_p"})
+    near = _near(placed).join(far, F.expr("session_id <=> _s and position = _p"), "left").withColumn("_best", F.greatest("_best", "_far"))
+    near = near.withColumn("words", F.when(_open(NEAR), F.col("words")))
+    now = stored(near.drop("_s", "_p", "_far"), "near")
+    done, open_ = now.where("words is null").select(*KEPT, "_best"), now.where("words is not null")
+    reach = NEAR
+    while not open_.isEmpty():
+        furthest = reach * GROWTH
+        block = lambda p: F.floor(p / F.lit(furthest))
+        ask = open_.select("session_id", "position", "at", "entry_type", "words", F.explode(F.sequence(block(F.greatest(F.col("position") - furthest, F.lit(0))), block(F.col("position") - reach - 1))).alias("_block"))
+        c = placed.select(F.col("session_id").alias("_s"), block(F.col("position")).alias("_b"), F.struct("position", "at", "entry_type", "words").alias("c"))
+        pairs = ask.join(c, F.expr(f"session_id <=> _s and _block = _b and c.position >= position - {furthest} and c.position < position - {reach}"))
+        scored = pairs.select(F.col("session_id").alias("_s"), F.col("position").alias("_p"), _score(F.col("c"), F.lit(False), F.lit(False)).alias("_more"), _seconds(F.col("c")).alias("_gap"))
+        best = scored.groupBy("_s", "_p").agg(F.max("_more").alias("_more"), F.max("_gap").alias("_gap"))
+        reach = furthest
+        joined = open_.join(best, F.expr("session_id <=> _s and position = _p"), "left").withColumns({"_best": F.greatest("_best", "_more"), "_seconds": F.coalesce("_gap", "_seconds")})
+        now = stored(joined.withColumn("words", F.when(_open(reach), F.col("words"))).select(*now.columns), "further")
+        done, open_ = done.unionByName(now.where("words is null").select(*KEPT, "_best")), now.where("words is not null")
+    tied = F.coalesce(F.col("kind") != 1, F.lit(True)) | (F.col("_best.score") > TIED)
+    return done.select(*KEPT, F.when(tied, F.col("_best.parent")).alias("parent"), F.when(tied, F.col("_best.score")).alias("score"))
 
 
-def _unanswered(linked: DataFrame) -> DataFrame:
-    """session_id of sessions with a question that gets no reply before the next question or the end.
+def trees(linked: DataFrame) -> DataFrame:
+    """session_id, position, root, depth of every message, by doubling the links until every message has its root.
 
-    This is told by the order of events alone; the links change no verdict, since a question whose next event is a
-    reply is answered whether or not the reply is linked to it.
+    Messages that have reached a root leave; each round joins only the others, on the message they point to.
     """
-    reply = (F.col("entry_type") == "assistant") & (F.col("has_text") | F.col("tool_use"))
-    events = linked.select("session_id", "position", "parent", F.when(_question(), 1).when(reply, 2).alias("kind")).where("kind is not null")
-    # within a chunk the event after each; across chunks the first event of the next chunk that has any
-    chunked = events.withColumn("_chunk", F.floor(F.col("position") / F.lit(CHUNK)))
-    inside = Window.partitionBy("session_id", "_chunk").orderBy("position")
-    chunked = chunked.withColumns({"_next": F.lead("kind").over(inside), "_linked": F.lead("parent").over(inside) == F.col("position")})
-    first = chunked.groupBy("session_id", "_chunk").agg(F.min_by("kind", "position").alias("_first"))
-    following = first.withColumn("_after", F.lead("_first").over(Window.partitionBy("session_id").orderBy("_chunk"))).select(
-        F.col("session_id").alias("_s"), F.col("_chunk").alias("_c"), "_after"
-    )
-    answered = F.coalesce(F.col("_linked"), F.lit(False)) & (F.col("_next") == 2)
-    open_ = chunked.where((F.col("kind") == 1) & ~F.coalesce(answered, F.lit(False)))
-    open_ = open_.where((F.col("_next") == 1) | F.col("_next").isNull())
-    return (
-        open_.join(following, F.expr("session_id <=> _s and _chunk = _c"), "left")
-        .where((F.col("_next") == 1) | F.col("_after").isNull() | (F.col("_after") == 1))
-        .select("session_id").distinct()
-    )
+    rows = linked.select("session_id", "position", F.coalesce("parent", "position").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"))
+    now = stored(rows.withColumn("ended", F.col("depth") == 0), "links")
+    done, open_ = now.where("ended"), now.where("not ended")
+    while not open_.isEmpty():
+        up = done.unionByName(open_).select(F.col("session_id").alias("_s"), F.col("position").alias("_p"), F.col("root").alias("_r"), F.col("depth").alias("_d"), F.col("ended").alias("_e"))
+        moved = open_.join(up, F.expr("session_id <=> _s and root = _p"))
+        step = stored(moved.select("session_id", "position", F.col("_r").alias("root"), (F.col("depth") + F.col("_d")).alias("depth"), F.col("_e").alias("ended")), "links")
+        done, open_ = done.unionByName(step.where("ended")), step.where("not ended")
+    return done.drop("ended")
+
+
+def _unanswered(linked: DataFrame) -> DataFrame:
+    """session_id of sessions with a question to which no reply is linked before the next question."""
+    asked = linked.where("kind = 1").select("session_id", "position")
+    answered = linked.where("kind = 2 and parent = question").select(F.col("session_id").alias("_s"), F.col("parent").alias("_p"))
+    return asked.join(answered, F.expr("session_id <=> _s and position = _p"), "left_anti").select("session_id").distinct()
 
 
 def reasons(once: DataFrame, linked: DataFrame) -> DataFrame:
@@ -236,18 +321,22 @@ def reasons(once: DataFrame, linked: DataFrame) -> DataFrame:
 def found(entries: DataFrame) -> DataFrame:
     """session_id of every conversation to drop."""
     once = stored(entries_once(entries), "entries")
-    linked = links(positions(once))
+    linked = stored(links(positions(once)), "linked")
     return reasons(once, linked).where("empty or broken or no_reply").select("session_id")
 
 
 def conversations(entries: DataFrame) -> DataFrame:
     """The kept conversations: one row per message with position, speaker, text, the message it replies to and its tree."""
-    once = stored(entries_once(entries, text=True), "entries")
+    once = stored(entries_once(entries), "entries")
     linked = stored(links(positions(once)), "linked")
     kept = reasons(once, linked).where("not (empty or broken or no_reply)").select(F.col("session_id").alias("_k"))
     roots = trees(linked).select(F.col("session_id").alias("_s"), F.col("position").alias("_p"), "root", "depth")
+    # texts travel once, for the messages that are kept; a row that is repeated has equal texts
+    text = texts(entries).withColumnRenamed("entry_id", "_id")
+    text = text.withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy("_id"))).where("_n = 1").drop("_n")
     return (
         linked.join(kept, F.expr("session_id <=> _k"), "left_semi")
         .join(roots, F.expr("session_id <=> _s and position = _p"))
+        .join(text, F.col("entry_id") == F.col("_id"), "left")
         .select("session_id", "position", "role", "entry_id", "at", "text", "tool_use", "tool_result", "parent", "root", "depth")
     )
