@@ -139,9 +139,9 @@ T = "2026-01-31T23:59:59.123456789+05:30"
 
 
 CSV = [
-    (f"s,{T},user,user,,hello", None, None), (f'"s","{T}","user",,"12","a ""b"", \n c"', None, None), (f's,{T},user,,,a"b', "syntax", None),
-    (f's,{T},user,,,"a"b', "syntax", None), (f's,{T},user,,,"a', "syntax", None), (f"s,{T},user,,,a\nb", "syntax", None), (f"s,{T},user,,", "columns", None), (f"s,{T},user,,,a,", "columns", None),
-    ("", "columns", None), (None, "syntax", None), ("s,2026-02-30T00:00:00Z,user,,,a", "value", "logged_at"), ("s,2026-01-01T24:00:00Z,user,,,a", "value", "logged_at"),
+    (f"s,{T},user,user,,hello", None, None), (f'"s","{T}","user",,"12","a ""b"", \n c"', None, None), (f's,{T},user,,,a"b', "syntax", "text"), ('s","x,user,,,a', "syntax", "session_id"), (f's,{T},user,"a"b,,a,b,c,"d', "syntax", "role"), (f's,{T},user,,,a,"b', "syntax", None),
+    (f's,{T},user,,,"a"b', "syntax", "text"), (f's,{T},user,,,"a', "syntax", "text"), (f"s,{T},user,,,a\nb", "syntax", "text"), (f"s,{T},user,,", "columns", "text"), (f"s,{T},user,,,a,", "columns", None),
+    ("", "columns", "logged_at"), (None, "syntax", None), ("s,2026-02-30T00:00:00Z,user,,,a", "value", "logged_at"), ("s,2026-01-01T24:00:00Z,user,,,a", "value", "logged_at"),
     ("s,2024-02-29T00:00:00Z,user,,,a", None, None), ("s,2023-02-29T00:00:00Z,user,,,a", "value", "logged_at"), ("s,2026-01-01T00:00:00,user,,,a", "value", "logged_at"),
     (f"s,{T},User,,,a", "value", "entry_type"), (f"s,{T},user,,-1,a", "value", "output_tokens"), (f"s,{T},user,,1.0,a", "value", "output_tokens"), (f's,{T},user,,"",' + "x" * 300_000, None, None),
     (f's,{T},user,,"","' + '""' * 200_000 + '"', None, None),
@@ -181,6 +181,30 @@ def test_json_lines(spark):
     assert [got[i] for i in range(1, len(JSON) + 1)] == [reason for _, reason in JSON]
 
 
+def test_json_fields_values_escapes_and_depth(spark):
+    one = json.dumps(message(output_tokens=12, session_id="é\"\\"))
+    deep = json.dumps(message())[:-1] + ', "deep": ' + "[" * 20_000 + "]" * 20_000 + "}"
+    raws = [
+        one, one.replace('"role"', '"\\u0072ole"'), one.replace('"user"', '"us\\u0065r"'), json.dumps(message(session_id={"a": [1]}))[:-1] + ', "session_id": 5}', deep, deep[:-1],
+        json.dumps(message(message={"role": 1, "content": [{"text": [2]}, {}]})), json.dumps({k: v for k, v in message().items() if k != "output_tokens"}), "{}", json.dumps(message(message={"role": 1, "content": [[{"text": 1}]]})),
+        json.dumps(message(message={"role": 1, "content": {"text": 1}})), json.dumps(message(output_tokens=-0.0)), one.replace('"output_tokens": 12', '"output_tokens": ' + "1" * 5000), json.dumps(message(logged_at=1)), json.dumps(message(output_tokens=[])),
+    ]
+    got = sorted(rejects.parse(lines(spark, raws, "jsonl", header=None)).collect(), key=lambda r: r.line_id)
+    assert [(r.reason, r.field) for r in got] == [
+        (None, None), (None, None), (None, None), (None, None), (None, None), ("syntax", None), (None, None), (None, None), ("columns", "session_id"), ("columns", "message.content[0].text"),
+        ("columns", "message.content[0].text"), ("value", "output_tokens"), (None, None), ("value", "logged_at"), ("value", "output_tokens"),
+    ]
+    assert [(r.session_id, r.entry_type, r.role, r.output_tokens, r.text) for r in got[:4]] == [('é"\\', "user", None, 12, "x")] * 3 + [('{"a": [1]}', "user", None, None, "x")]
+    assert (got[6].role, got[6].text) == ("1", "[2]")
+
+
+def test_headers_of_any_order_and_quoting(spark):
+    row = rejects.loaded(lines(spark, [f"a,user,{T},b"], header='"text","entry_type", logged_at ,"text"\r')).first()
+    assert (row.text, row.entry_type, row.session_id) == ("a", "user", None)
+    got = rejects.parse(lines(spark, [f"a,User,{T},b", f"a,User,{T}"], header="x,entry_type,logged_at,text")).orderBy("line_id").collect()
+    assert [(r.reason, r.field) for r in got] == [("value", "entry_type"), ("columns", "text")]
+
+
 def calls(*tools, tokens=None, **more):
     return {"role": "assistant", "usage": {"output_tokens": tokens}, "content": [{"type": "tool_use", "name": t} for t in tools]} | more
 
@@ -217,13 +241,24 @@ def test_features_of_sessions_without_tools_and_of_later_deliveries_without_tool
     assert wide == {"s": (["A", "C"], [1, 1], [0, 0], [5, 0]), "cut": empty, "t": empty, "none": empty}
 
 
-def test_features_are_those_of_the_sql_and_empty_rows_for_all_other_sessions(spark):
-    names, got = rows(QUERIES["p5_features"](spark, str(DATA)).toPandas())
-    told = of_sql(SQL["p5_features"])
-    key, tools = names.index("session_id"), names.index("tools")
-    assert names == told[0] and [r for r in got if r[tools]] == told[1]
-    sessions = of_sql(r"SELECT DISTINCT coalesce(nullif(session_id, ''), regexp_replace(regexp_extract(file_name, '([^/\\]+)$', 1), '\.jsonl$', '')) AS s FROM session_entries")[1]
-    assert sorted(r[key] for r in got) == sorted(s for (s,) in sessions) and len(got) > len(told[1])
+def test_batches_applied_to_a_state_equal_a_full_build(spark):
+    rows_ = [
+        entry(1, calls("A", tokens=5)), entry(2, calls("A", "B", tokens=7), uuid="x", at="2026-01-01T05:00:00Z"), entry(3, calls("C"), uuid="y"), entry(4, calls("B", tokens=2), session="t"),
+        entry(5, calls("A", tokens=9), uuid="x", at="2026-01-01T01:00:00Z"), entry(6, "{cut", uuid="y"), entry(7, calls("D", tokens=1), session="t"), entry(8, calls("B"), uuid="x", at="2026-01-01T02:00:00Z"), entry(9, calls("C"), uuid="y"),
+    ]
+    state, held = None, None
+    for batch in (rows_[:4], rows_[4:7], rows_[7:]):
+        df = entries(spark, batch)
+        if state is None:
+            made = features.tool_calls(df)
+            state, held = features.session_tools(made), made.where("last")
+        else:
+            state, held = features.applied(state, held, df)
+    whole = features.tool_calls(entries(spark, rows_))
+    assert table_of(state) == table_of(features.session_tools(whole)) and len(table_of(state)) == 5
+    assert held.count() == whole.where("last").count()
+    state, held = features.applied(state, held, entries(spark, []))
+    assert table_of(state) == table_of(features.session_tools(whole))
 
 
 def test_deltas_equal_a_full_build(spark):

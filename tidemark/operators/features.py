@@ -128,6 +128,21 @@ def tool_calls(entries: DataFrame) -> DataFrame:
     return stored(_events(tool_events(entries)), "tool-calls")
 
 
+def applied(features: DataFrame, calls: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The feature table and the calls that hold, after a batch of deliveries that arrived later than all before.
+
+    features: what ``session_tools`` gives. calls: the last calls of ``tool_calls``. An entry that the batch delivers
+    again, with calls or without, loses its old ones; only features whose latest call is lost read the calls again.
+    """
+    again = _delivered(batch).select(F.col("entry").alias("_entry")).distinct()
+    same = F.col("entry").eqNullSafe(F.col("_entry"))
+    new = tool_calls(batch).where("last").select(*calls.columns)
+    lost = calls.join(again, same, "left_semi")
+    holding = stored(calls.join(again, same, "left_anti").unionByName(new), "calls")
+    deltas = new.withColumn("sign", F.lit(1)).unionByName(lost.withColumn("sign", F.lit(-1))).select(*KEYS, "at", "amount", "sign")
+    return maintain(features, deltas, holding), holding
+
+
 def session_features(entries: DataFrame) -> DataFrame:
     """One row per session with arrays by tool, in order of tool: calls, seconds since the last call, output tokens.
 

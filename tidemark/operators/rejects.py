@@ -1,126 +1,174 @@
 """Lines that fail to parse, set apart with a reason, beside the typed rows of all others.
 
-Each file's header gives a schema, and each schema an anchored regular expression for a whole row: the typed pattern
-of each column, joined by the separator. A row that matches is loaded. A row that doesn't runs through looser
-patterns and then through the prefixes of its row pattern, the shortest of which that fails names the first broken
-field. All loops in the patterns are possessive, so long texts need neither backtracking nor stack.
+Each schema gives an anchored regular expression for a whole row: for separated files the typed pattern of each column
+of the header, joined by the separator; for JSON lines the grammar of one strict object with the members that must be
+there and what they may hold. A row that matches is loaded. A row that doesn't runs through the prefixes of its
+pattern, one field longer each, and the first that fails tells the reason and the broken field: prefixes of any fields
+tell where a row can't be split and whether there are as many fields as columns, prefixes of typed fields which value is
+wrong. Patterns are compiled once per schema and worker, however many files share it. Their loops are possessive, so long
+texts need no backtracking.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import json
+from functools import lru_cache
+
+import pyarrow as pa
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BooleanType
+from pyspark.sql import types as T
 
 from tidemark.functions.instants import instant
-from tidemark.operators.nested import parsed
+from tidemark.functions.schemas import flat
+from tidemark.operators.nested import parsed, utf8
 
 #: A day that exists, with leap years, and RFC 3339 time and offset.
-_LEAP = r"(?:\d\d(?:0[48]|[2468][048]|[13579][26])|(?:[02468][048]|[13579][26])00)"
-_DAY = (
-    r"(?:\d{4}-(?:(?:0[13578]|1[02])-(?:0[1-9]|[12]\d|3[01])|(?:0[469]|11)-(?:0[1-9]|[12]\d|30)|02-(?:0[1-9]|1\d|2[0-8]))|" + _LEAP + "-02-29)"
-)
-TIME = _DAY + r"[Tt](?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d(?:\.\d++)?(?:[Zz]|[+-](?:[01]\d|2[0-3]):[0-5]\d)"
+_LEAP = r"(?:[0-9][0-9](?:0[48]|[2468][048]|[13579][26])|(?:[02468][048]|[13579][26])00)"
+_DAY = r"(?:[0-9]{4}-(?:(?:0[13578]|1[02])-(?:0[1-9]|[12][0-9]|3[01])|(?:0[469]|11)-(?:0[1-9]|[12][0-9]|30)|02-(?:0[1-9]|1[0-9]|2[0-8]))|" + _LEAP + "-02-29)"
+TIME = _DAY + r"[Tt](?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](?:\.[0-9]++)?(?:[Zz]|[+-](?:[01][0-9]|2[0-3]):[0-5][0-9])"
 #: What a column may hold, by its name; other columns may hold anything.
-VALUES = {"logged_at": TIME, "entry_type": "(?:user|assistant|system|progress)", "output_tokens": r"\d*+"}
-REQUIRED = ("session_id", "logged_at", "entry_type")
+TYPES = "(?:user|assistant|system|progress)"
+VALUES = {"logged_at": TIME, "entry_type": TYPES, "output_tokens": r"[0-9]*+"}
 SEPARATORS = {"csv": ",", "tsv": "\t"}
-
-_STRING = r'"[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4})[^"\\\x00-\x1f]*+)*+"'
-_NUMBER = r"-?+(?:0|[1-9]\d*+)(?:\.\d++)?+(?:[eE][+-]?+\d++)?+"
-_BLANK = r"[ \t\n\r]*+"
-
-
-def _object(depth: int) -> str:
-    return r"\{" + _BLANK + f"(?:{_STRING}{_BLANK}:{_BLANK}{_value(depth - 1)}{_BLANK}" + r"(?:," + _BLANK + r"(?!\})|(?=\})))*+\}"
-
-
-def _value(depth: int) -> str:
-    scalar = f"{_STRING}|{_NUMBER}|true|false|null"
-    if depth <= 0:
-        return f"(?:{scalar})"
-    array = r"\[" + _BLANK + f"(?:{_value(depth - 1)}{_BLANK}" + r"(?:," + _BLANK + r"(?!\])|(?=\])))*+\]"
-    return f"(?:{scalar}|{_object(depth)}|{array})"
-
-
-#: One strict JSON object down to a depth; deeper ones are settled by a parser, which sees no other rows.
-JSON_OBJECT = rf"\A{_BLANK}{_object(4)}{_BLANK}\z"
-
-
-@pandas_udf(BooleanType())
-def _is_object(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: None if x is None else isinstance(parsed(x), dict))
-
-
-def _field(value: str | None, sep: str) -> str:
-    """Pattern of one field of a separated row; ``value`` None: anything."""
-    return f"(?:\"{value}\"|{value})" if value else rf'(?:"[^"]*+(?:""[^"]*+)*+"|[^"{sep}\r\n]*+)'
-
-
-def _typed(name: Column, sep: str) -> Column:
-    out = F.lit(_field(None, sep))
-    for column, value in VALUES.items():
-        out = F.when(name == column, F.lit(_field(value, sep))).otherwise(out)
-    return out
-
-
-def _separated(lines: DataFrame, sep: str) -> DataFrame:
-    """Adds reason, field and values (texts by column name) to the rows of files with one separator."""
-    shown = "\\t" if sep == "\t" else sep
-    any_ = _field(None, shown)
-    n = F.size("names")
-    pattern = lambda a: F.concat(F.lit(r"\A"), F.array_join(a, shown))
-    whole = F.concat(pattern(F.col("typed")), F.lit(r"\z"))
-    broken = F.filter(
-        F.sequence(F.lit(1), n), lambda i: ~F.rlike(F.col("raw"), F.concat(pattern(F.slice("typed", F.lit(1), i)), F.lit(f"(?:{shown}|\\z)")))
-    )
-    width = F.size(F.regexp_extract_all(F.concat(F.lit(sep), "raw"), F.lit(f"{shown}({any_})"), F.lit(1)))
-    df = lines.withColumn("names", F.transform(F.split("header", shown), lambda x: F.trim(F.regexp_replace(x, r'^"|"$|\r$', ""))))
-    df = df.withColumn("typed", F.transform("names", lambda x: _typed(x, shown)))
-    df = df.withColumn("whole", F.coalesce(F.rlike(F.col("raw"), whole), F.lit(False)))
-    df = df.withColumn(
-        "reason",
-        F.when(F.col("whole"), F.lit(None))
-        .when(F.col("raw").isNull() | ~F.col("raw").rlike(rf"\A{any_}(?:{shown}{any_})*+\z"), "syntax")
-        .when(F.col("names").isNull() | (width != n), "columns")
-        .otherwise("value"),
-    )
-    df = df.withColumn("field", F.when(F.col("reason") == "value", F.try_element_at("names", F.try_element_at(broken, F.lit(1)))))
-    cells = F.transform(
-        F.regexp_extract_all(F.concat(F.lit(sep), "raw"), F.lit(f"{shown}({any_})"), F.lit(1)),
-        lambda x: F.when(x.startswith('"'), F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x),
-    )
-    # a header may name a column twice; the first counts
-    cell = lambda name: F.when(F.array_position("names", name) > 0, F.try_element_at(cells, F.array_position("names", name).cast("int")))
-    return df.withColumns({name: F.when(F.col("reason").isNull(), cell(name)) for name in COLUMNS})
-
-
 COLUMNS = ("session_id", "logged_at", "entry_type", "role", "output_tokens", "text")
+_VERDICT = flat("reason string, field string, " + ", ".join(f"{c} string" for c in COLUMNS))
+
+_NOTHING = dict.fromkeys(COLUMNS)
+
+
+class Separated:
+    """The patterns of one header."""
+
+    def __init__(self, sep: str, header: str | None):
+        sign = regex.escape(sep)
+        cell = rf'(?:"[^"]*+(?:""[^"]*+)*+"|[^"{sign}\r\n]*+)'
+        self.cell = regex.compile(f"({cell})(?:{sign}|\\Z)")
+        self.leading = regex.compile(f"(?:{cell}{sign})*+")
+        self.shape = regex.compile(f"{cell}(?:{sign}{cell})*+")
+        self.sep, self.names = sep, None
+        if header is not None:
+            header = header.rstrip("\r")
+            cells = self.split(header) if self.shape.fullmatch(header) else header.split(sep)
+            self.names = [_unquoted(c).strip(' "') for c in cells]
+        typed = [f'(?:"{VALUES[n]}"|{VALUES[n]})' if n in VALUES else cell for n in self.names or []]
+        self.row = regex.compile(sign.join(typed)) if typed else None
+        self.prefixes = [regex.compile(sign.join(typed[: i + 1]) + f"(?:{sign}|\\Z)") for i in range(len(typed))]
+        self.places = {c: self.names.index(c) for c in COLUMNS if c in (self.names or [])}
+
+    def split(self, raw: str) -> list[str]:
+        """Cells of a row that has the shape of one."""
+        cells, at = [], 0
+        while True:
+            m = self.cell.match(raw, at)
+            cells.append(m.group(1))
+            at = m.end()
+            if m.end(1) == len(raw):
+                return cells
+
+    def verdict(self, raw: str | None) -> tuple[str | None, str | None, dict]:
+        if raw is not None and self.row and self.row.fullmatch(raw):
+            cells = self.split(raw)
+            return None, None, {c: _unquoted(cells[i]) for c, i in self.places.items()}
+        return *self.broken(raw), _NOTHING
+
+    def broken(self, raw: str | None) -> tuple[str, str | None]:
+        """Reason and first broken field of a row that doesn't match."""
+        names = self.names or []
+        if raw is None:
+            return "syntax", None
+        if not self.shape.fullmatch(raw):
+            whole = len(self.split_leading(raw))
+            return "syntax", names[whole] if whole < len(names) else None
+        width = len(self.split(raw))
+        if width != len(names):
+            return "columns", names[width] if width < len(names) else None
+        return "value", next(name for name, prefix in zip(names, self.prefixes) if not prefix.match(raw))
+
+    def split_leading(self, raw: str) -> list[str]:
+        """Cells before the one at which a row can't be split."""
+        head = self.leading.match(raw).group()
+        return self.split(head[: -len(self.sep)]) if head else []
+
+
+def _unquoted(cell: str) -> str:
+    return cell[1:-1].replace('""', '"') if cell[:1] == '"' else cell
+
+
+#: The grammar of strict JSON: s text, n number, v any value, o object, a array, w blanks.
+_GRAMMAR = (
+    r'(?(DEFINE)(?<w>[ \t\n\r]*+)(?<s>"[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4})[^"\\\x00-\x1f]*+)*+")(?<n>-?+(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?+[0-9]++)?+)'
+    r"(?<v>(?&s)|(?&n)|true|false|null|(?&o)|(?&a))(?<o>\{(?&w)(?:(?&s)(?&w):(?&w)(?&v)(?&w)(?:,(?&w)(?!\})|(?=\})))*+\})(?<a>\[(?&w)(?:(?&v)(?&w)(?:,(?&w)(?!\])|(?=\])))*+\]))"
+)
 
 
-def _json(lines: DataFrame) -> DataFrame:
-    raw = F.col("raw")
-    df = lines.withColumn("whole", F.coalesce(raw.rlike(JSON_OBJECT), F.lit(False)))
-    # rows that the pattern settles reach the parser as nulls
-    df = df.withColumn("whole", F.coalesce(_is_object(F.when(~F.col("whole"), raw)), F.col("whole")))
-    df = df.withColumn("_raw", F.when(F.col("whole"), raw))
-    at = lambda path: F.get_json_object("_raw", path)
-    has = lambda text, key: F.coalesce(F.array_contains(F.json_object_keys(text), key), F.lit(False))
-    there = F.array(
-        *[F.when(~has(F.col("_raw"), k), k) for k in REQUIRED],
-        F.when(~has(at("$.message"), "role"), "message.role"),
-        F.when(~has(at("$.message.content[0]"), "text"), "message.content[0].text"),
-    )
-    df = df.withColumn("_missing", F.array_compact(there))
-    paths = {k: f"$.{k}" for k in COLUMNS} | {"role": "$.message.role", "text": "$.message.content[0].text"}
-    df = df.withColumns({k: at(p) for k, p in paths.items()})
-    # null counts as empty for output_tokens only
-    bad = [F.when(~F.coalesce(F.col(k).rlike(rf"\A{v}\z"), F.lit(k == "output_tokens")), k) for k, v in VALUES.items()]
-    df = df.withColumn("_bad", F.array_compact(F.array(*bad)))
-    df = df.withColumn("reason", F.when(~F.col("whole"), "syntax").when(F.size("_missing") > 0, "columns").when(F.size("_bad") > 0, "value"))
-    return df.withColumn("field", F.when(F.col("reason") == "columns", F.col("_missing")[0]).when(F.col("reason") == "value", F.col("_bad")[0]))
+def _member(key: str, value: str) -> str:
+    """An object up to the first member of a key, with its value."""
+    name = f'"{key}"(?&w):(?&w)'
+    return rf"\{{(?&w)(?:(?!{name})(?&s)(?&w):(?&w)(?&v)(?&w),(?&w))*+{name}{value}"
+
+
+#: Where each column stands in a JSON line; the first element of content counts.
+_PLACES = {
+    "session_id": lambda v: _member("session_id", v), "logged_at": lambda v: _member("logged_at", v), "entry_type": lambda v: _member("entry_type", v),
+    "output_tokens": lambda v: _member("output_tokens", v), "role": lambda v: _member("message", _member("role", v)),
+    "text": lambda v: _member("message", _member("content", r"\[(?&w)" + _member("text", v))),
+}
+#: Members that must be there, by the names under which they are reported, and members of which the value counts.
+REQUIRED = {"session_id": "session_id", "logged_at": "logged_at", "entry_type": "entry_type", "role": "message.role", "text": "message.content[0].text"}
+_TYPED = {"logged_at": f'"{TIME}"', "entry_type": f'"{TYPES}"', "output_tokens": r'(?:null|"[0-9]*+"|[0-9]++)(?&w)[,}]'}
+
+
+class Json:
+    """The patterns of JSON lines. Members may stand in any order, so each is told by what stands before it."""
+
+    def __init__(self):
+        start = _GRAMMAR + r"(?&w)"
+        there = {c: f"(?={_PLACES[c]('(?&v)')})" for c in REQUIRED}
+        tokens = f"(?!{_PLACES['output_tokens']('')})"
+        good = {c: f"(?={_PLACES[c](v)})" if c != "output_tokens" else f"(?:{tokens}|(?={_PLACES[c](v)}))" for c, v in _TYPED.items()}
+        self.object = regex.compile(start + r"(?&o)(?&w)")
+        self.row = regex.compile(start + "".join(there.values()) + "".join(good.values()) + r"(?&o)(?&w)")
+        self.there = {c: regex.compile(start + p) for c, p in there.items()}
+        self.good = {c: regex.compile(start + p) for c, p in good.items()}
+        self.values = {c: regex.compile(start + p("(?<found>(?&v))")) for c, p in _PLACES.items()}
+
+    def verdict(self, raw: str | None) -> tuple[str | None, str | None, dict]:
+        if raw is None:
+            return "syntax", None, _NOTHING
+        if not self.row.fullmatch(raw):
+            reason, field = self.broken(raw)
+            if reason == "syntax" or "\\" not in raw:
+                return reason, field, _NOTHING
+            # names and values may be written with escapes: such a row is written without them and tested again
+            raw = json.dumps(parsed(raw), ensure_ascii=False, default=str)
+            if not self.row.fullmatch(raw):
+                return *self.broken(raw), _NOTHING
+        return None, None, {c: _json_text(m.group("found")) if (m := p.match(raw)) else None for c, p in self.values.items()}
+
+    def broken(self, raw: str) -> tuple[str, str | None]:
+        """Reason and first broken field of a row that doesn't match."""
+        if not self.object.fullmatch(raw):
+            return "syntax", None
+        for c, p in self.there.items():
+            if not p.match(raw):
+                return "columns", REQUIRED[c]
+        return "value", next((c for c, p in self.good.items() if not p.match(raw)), None)
+
+
+def _json_text(value: str) -> str | None:
+    """The text of a JSON text, other values as they are written, None for null."""
+    if value[:1] == '"':
+        return utf8(json.loads(value)) if "\\" in value else value[1:-1]
+    return None if value == "null" else value
+
+
+@lru_cache(maxsize=4096)
+def _schema(form: str | None, header: str | None) -> Separated | Json | None:
+    if form in SEPARATORS:
+        return Separated(SEPARATORS[form], header)
+    return Json() if form == "jsonl" else None
 
 
 def parse(lines: DataFrame) -> DataFrame:
@@ -128,36 +176,45 @@ def parse(lines: DataFrame) -> DataFrame:
 
     lines: line_id, file_name, file_format (csv, tsv, jsonl), line_no, raw; other columns are ignored. A null raw or an
     unknown format is a fault of syntax, an empty line one of columns (csv, tsv) or syntax (jsonl), a line of a file
-    without header one of columns. ``field`` is the first broken field where the reason tells one. Values are null in
-    faulty rows. Repeated lines give repeated rows.
+    without header one of columns. ``field`` is the first broken field: where a row can't be split, the column that it
+    breaks off in; of a row that is too short, the first column that isn't there; null where no column is to blame.
+    Values are null in faulty rows. Of a column or member that stands twice the first counts. Repeated lines give
+    repeated rows.
     """
     df = lines.select("line_id", "file_name", F.lower("file_format").alias("file_format"), "line_no", "raw")
-    separated = F.coalesce(F.col("file_format").isin(*SEPARATORS), F.lit(False))
-    header = separated & F.coalesce(F.col("line_no") == 1, F.lit(False))
+    header = F.coalesce(F.col("file_format").isin(*SEPARATORS), F.lit(False)) & F.coalesce(F.col("line_no") == 1, F.lit(False))
     headers = df.where(header).groupBy(F.col("file_name").alias("_file")).agg(F.min_by("raw", "line_id").alias("header"))
-    body = df.where(~header)
     # one header per file: Spark broadcasts them while they are small and splits large files if it shuffles
-    body = body.join(headers, body.file_name == headers._file, "left").drop("_file")
-    parts = [_separated(body.where(F.col("file_format") == f), s) for f, s in SEPARATORS.items()]
-    parts.append(_json(body.where(F.col("file_format") == "jsonl")))
-    other = body.where(~F.coalesce(F.col("file_format").isin(*SEPARATORS, "jsonl"), F.lit(False)))
-    parts.append(other.withColumns({c: F.lit(None).cast("string") for c in ("field", *COLUMNS)} | {"reason": F.lit("syntax")}))
-    out = ["line_id", "file_name", "line_no", "reason", "field", *COLUMNS]
-    union = parts[0].select(*out)
-    for p in parts[1:]:
-        union = union.unionByName(p.select(*out))
-    fine = F.col("reason").isNull()
-    return union.select(
-        "line_id", "file_name", "line_no", "reason", "field",
-        F.when(fine, F.col("session_id")).alias("session_id"), F.when(fine, instant(F.col("logged_at"))).alias("logged_at"),
-        F.when(fine, F.col("entry_type")).alias("entry_type"), F.when(fine, F.nullif("role", F.lit(""))).alias("role"),
-        F.when(fine, F.col("output_tokens").try_cast("bigint")).alias("output_tokens"), F.when(fine, F.col("text")).alias("text"),
+    body = df.where(~header).join(headers, F.col("file_name") == F.col("_file"), "left").drop("_file")
+    kept = [body.schema[c] for c in ("line_id", "file_name", "line_no")]
+
+    def judge(batches):
+        for batch in batches:
+            out = []
+            for form, head, raw in zip(*(batch.column(c).to_pylist() for c in ("file_format", "header", "raw"))):
+                schema = _schema(form, head if form in SEPARATORS else None)
+                reason, field, values = schema.verdict(raw) if schema else ("syntax", None, _NOTHING)
+                out.append((reason, field, *(values.get(c) for c in COLUMNS)))
+            columns = list(zip(*out)) or [()] * len(_VERDICT)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(f.name) for f in kept] + [pa.array(c, pa.string()) for c in columns], names=[f.name for f in kept] + _VERDICT.names
+            )
+
+    judged = body.mapInArrow(judge, T.StructType(kept + list(_VERDICT)))
+    return judged.select(
+        "line_id", "file_name", "line_no", "reason", "field", "session_id", instant(F.col("logged_at")).alias("logged_at"), "entry_type",
+        F.nullif("role", F.lit("")).alias("role"), F.col("output_tokens").try_cast("bigint").alias("output_tokens"), "text",
     )
 
 
 def found(lines: DataFrame) -> DataFrame:
     """line_id and reason of every faulty line."""
-    return parse(lines).where("reason is not null").select("line_id", "reason")
+    return fields(lines).select("line_id", "reason")
+
+
+def fields(lines: DataFrame) -> DataFrame:
+    """line_id, reason and first broken field of every faulty line."""
+    return parse(lines).where("reason is not null").select("line_id", "reason", "field")
 
 
 def loaded(lines: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from tidemark.functions import text
 from tidemark.operators import architecture, commands, conventions, drift, features, graphs, lines, listing, nested, readmes, rejects, rules, scoring, syntax, usage
 from tidemark.plans import reports
 from tidemark.streaming import changes
-from tidemark.session import table
+from tidemark.session import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -130,39 +130,58 @@ def p2_unified(spark, d):
     return drift.unified(table(spark, d, "log_records", spread=True))
 
 
-#: Patterns of rejects without possessive loops, which RE2 doesn't know and doesn't need.
-REJECTS_SQL = r"""
+def _separated_sql(form: str, sep: str) -> str:
+    """Verdicts on the lines of one separated format; patterns without possessive loops, which RE2 doesn't know and doesn't need."""
+    cell = f"""(?:"(?:[^"]|"")*"|[^"{sep}\\r\\n]*)"""
+    text = lambda name: f"list_position(names, '{name}') AS _{name}"
+    value = lambda name: f"CASE WHEN starts_with(cells[_{name}], '\"') THEN replace(substr(cells[_{name}], 2, length(cells[_{name}]) - 2), '\"\"', '\"') ELSE cells[_{name}] END AS {name}"
+    typed = lambda p: f"NOT regexp_full_match(c, '(?:\"{p}\"|{p})')"
+    return f"""
+{form}_l AS (SELECT l.*, list_transform(string_split(header, '{sep}'), lambda n: trim(n, ' "')) AS names FROM l LEFT JOIN h USING (file_name) WHERE form = '{form}' AND line_no <> 1),
+{form}_c AS (SELECT *, CASE WHEN regexp_full_match(raw, '{cell}(?:{sep}{cell})*') THEN regexp_extract_all('{sep}' || raw, '{sep}({cell})', 1) END AS cells,
+  len(regexp_extract_all(regexp_extract(raw, '^((?:{cell}{sep})*)', 1), '({cell}){sep}', 1)) AS before, {", ".join(map(text, rejects.COLUMNS))} FROM {form}_l),
+{form}_b AS (SELECT *, list_filter(range(1, len(cells) + 1), lambda i: CASE names[i] WHEN 'logged_at' THEN {typed("@TIME@").replace("(c,", "(cells[i],")} WHEN 'entry_type' THEN {typed("(?:user|assistant|system|progress)").replace("(c,", "(cells[i],")}
+  WHEN 'output_tokens' THEN {typed("[0-9]*").replace("(c,", "(cells[i],")} ELSE false END) AS bad FROM {form}_c),
+{form}_v AS (SELECT line_id, file_name, line_no, CASE WHEN cells IS NULL THEN 'syntax' WHEN names IS NULL OR len(cells) <> len(names) THEN 'columns' WHEN len(bad) > 0 THEN 'value' END AS reason,
+  CASE WHEN cells IS NULL THEN names[before + 1] WHEN len(cells) <> len(names) THEN names[len(cells) + 1] ELSE names[bad[1]] END AS field, {", ".join(map(value, rejects.COLUMNS))} FROM {form}_b)"""
+
+
+REJECTS_SQL = (r"""
 WITH l AS (SELECT line_id, file_name, lower(file_format) AS form, line_no, raw FROM raw_lines),
-h AS (SELECT file_name, arg_min(raw, line_id) AS header FROM l WHERE line_no = 1 AND form IN ('csv', 'tsv') GROUP BY 1),
-p AS (SELECT *, '@TIME@' AS t, CASE form WHEN 'csv' THEN ',' ELSE chr(9) END AS sep FROM l),
-s AS (SELECT p.*, string_split(header, sep) AS names, '(?:"(?:[^"]|"")*"|[^"\r\n' || sep || ']*)' AS cell FROM p LEFT JOIN h USING (file_name) WHERE form IN ('csv', 'tsv') AND line_no <> 1),
-typed AS (SELECT *, list_transform(names, lambda n: CASE trim(n, '"') WHEN 'logged_at' THEN '(?:"' || t || '"|' || t || ')'
-      WHEN 'entry_type' THEN '(?:"(?:user|assistant|system|progress)"|(?:user|assistant|system|progress))' WHEN 'output_tokens' THEN '(?:"\d*"|\d*)' ELSE cell END) AS typed FROM s),
-separated AS (
-  SELECT line_id, CASE WHEN raw IS NULL OR NOT regexp_full_match(raw, cell || '(?:' || sep || cell || ')*') THEN 'syntax'
-    WHEN names IS NULL OR NOT regexp_full_match(raw, cell || '(?:' || sep || cell || '){' || (len(names) - 1)::VARCHAR || '}') THEN 'columns'
-    WHEN NOT regexp_full_match(raw, CASE form WHEN 'csv' THEN array_to_string(typed, ',') ELSE array_to_string(typed, chr(9)) END) THEN 'value' END AS reason FROM typed),
-j AS (SELECT line_id, t, CASE WHEN json_valid(raw) AND json_type(raw) = 'OBJECT'
-    AND NOT regexp_matches(regexp_replace(raw, '"(?:[^"\\]|\\.)*"', '""', 'g'), ',\s*[}\]]') THEN raw::JSON END AS o FROM p WHERE form = 'jsonl'),
-objects AS (
-  SELECT line_id, CASE WHEN o IS NULL THEN 'syntax'
-    WHEN NOT (list_has_all(json_keys(o), ['session_id', 'logged_at', 'entry_type']) AND coalesce(list_contains(json_keys(o, '$.message'), 'role'), false) AND coalesce(list_contains(json_keys(o, '$.message.content[0]'), 'text'), false)) THEN 'columns'
-    WHEN NOT (coalesce(regexp_full_match(o->>'$.logged_at', t), false) AND coalesce(o->>'$.entry_type' IN ('user', 'assistant', 'system', 'progress'), false) AND coalesce(regexp_full_match(o->>'$.output_tokens', '\d*'), true)) THEN 'value' END AS reason FROM j)
-SELECT line_id, reason FROM separated WHERE reason IS NOT NULL UNION ALL SELECT line_id, reason FROM objects WHERE reason IS NOT NULL
-""".replace("@TIME@", rejects.TIME.replace("++", "+"))
-
-
-@query(REJECTS_SQL)
+h AS (SELECT file_name, arg_min(raw, line_id) AS header FROM l WHERE line_no = 1 AND form IN ('csv', 'tsv') GROUP BY 1),""" + _separated_sql("csv", ",") + "," + _separated_sql("tsv", "\t") + r""",
+o AS (SELECT *, CASE WHEN json_valid(raw) AND json_type(raw) = 'OBJECT' AND NOT regexp_matches(regexp_replace(raw, '"(?:[^"\\]|\\.)*"', '""', 'g'), ',\s*[}\]]') THEN raw::JSON END AS o FROM l WHERE form = 'jsonl'),
+k AS (SELECT *, coalesce(json_keys(o), []) AS k, coalesce(json_keys(o, '$.message'), []) AS m, coalesce(json_keys(o, '$.message.content[0]'), []) AS c FROM o),
+f AS (SELECT *, CASE WHEN o IS NULL THEN NULL WHEN NOT list_contains(k, 'session_id') THEN 'session_id' WHEN NOT list_contains(k, 'logged_at') THEN 'logged_at' WHEN NOT list_contains(k, 'entry_type') THEN 'entry_type'
+    WHEN NOT list_contains(m, 'role') THEN 'message.role' WHEN NOT list_contains(c, 'text') THEN 'message.content[0].text' END AS missing,
+  CASE WHEN NOT coalesce(regexp_full_match(o->>'$.logged_at', '@TIME@'), false) THEN 'logged_at' WHEN NOT coalesce(o->>'$.entry_type' IN ('user', 'assistant', 'system', 'progress'), false) THEN 'entry_type'
+    WHEN NOT coalesce(regexp_full_match(o->>'$.output_tokens', '[0-9]*'), true) THEN 'output_tokens' END AS bad FROM k),
+json_v AS (SELECT line_id, file_name, line_no, CASE WHEN o IS NULL THEN 'syntax' WHEN missing IS NOT NULL THEN 'columns' WHEN bad IS NOT NULL THEN 'value' END AS reason, CASE WHEN o IS NOT NULL THEN coalesce(missing, bad) END AS field,
+  o->>'$.session_id' AS session_id, o->>'$.logged_at' AS logged_at, o->>'$.entry_type' AS entry_type, o->>'$.message.role' AS role, o->>'$.output_tokens' AS output_tokens, o->>'$.message.content[0].text' AS text FROM f),
+v AS (SELECT * FROM csv_v UNION ALL SELECT * FROM tsv_v UNION ALL SELECT * FROM json_v)
+""").replace("@TIME@", rejects.TIME.replace("++", "+"))
+
+
+@query(REJECTS_SQL + "SELECT line_id, reason FROM v WHERE reason IS NOT NULL")
 def p4_found(spark, d):
     return rejects.found(table(spark, d, "raw_lines", spread=True))
 
 
-@query()
+@query(REJECTS_SQL + "SELECT line_id, reason, field FROM v WHERE reason IS NOT NULL")
+def p4_fields(spark, d):
+    return rejects.fields(table(spark, d, "raw_lines", spread=True))
+
+
+@query(REJECTS_SQL + r"""
+SELECT line_id, file_name, line_no, session_id, epoch_us(CAST(regexp_replace(upper(logged_at), '(\.\d{6})\d+', '\1') AS TIMESTAMPTZ)) AS logged_at_us, entry_type, nullif(role, '') AS role,
+  TRY_CAST(output_tokens AS BIGINT) AS output_tokens, text FROM v WHERE reason IS NULL
+""")
 def p4_loaded(spark, d):
-    return rejects.loaded(table(spark, d, "raw_lines", spread=True))
+    df = rejects.loaded(table(spark, d, "raw_lines", spread=True))
+    return df.select("line_id", "file_name", "line_no", "session_id", F.unix_micros("logged_at").alias("logged_at_us"), "entry_type", "role", "output_tokens", "text")
 
 
-@query(r"""
+#: Latest delivery of each entry, its calls at any depth, and their features per session.
+FEATURES_SQL = r"""
 WITH RECURSIVE e AS (
   SELECT entry_id, coalesce(entry_uuid, '#' || entry_id::VARCHAR) AS entry, received_at,
     coalesce(nullif(session_id, ''), regexp_replace(regexp_extract(file_name, '([^/\\]+)$', 1), '\.jsonl$', '')) AS entity,
@@ -183,17 +202,40 @@ f AS (
   SELECT entity, feature, sum(n)::BIGINT AS n, max(coalesce(logged, received_at)) AS latest,
     sum(CASE WHEN regexp_matches(json_extract_string(m, '$.usage.output_tokens'), '^\d+$') THEN TRY_CAST(json_extract_string(m, '$.usage.output_tokens') AS BIGINT) ELSE 0 END)::BIGINT AS total
   FROM calls JOIN last USING (entry) GROUP BY ALL)
-SELECT entity AS session_id, list(feature ORDER BY feature) AS tools, list(n ORDER BY feature) AS calls,
-  list(((floor(epoch(mx)) - floor(epoch(latest)))::BIGINT) ORDER BY feature) AS seconds_since_last, list(total ORDER BY feature) AS output_tokens
-FROM f, (SELECT max(latest) AS mx FROM f) GROUP BY entity
-""")
+"""
+LONG_SQL = FEATURES_SQL + "SELECT entity, feature, n, total, epoch_us(latest) AS latest_us FROM f"
+
+
+@query(FEATURES_SQL + """
+, wide AS (
+  SELECT entity, list(feature ORDER BY feature) AS tools, list(n ORDER BY feature) AS calls,
+    list(((floor(epoch(mx)) - floor(epoch(latest)))::BIGINT) ORDER BY feature) AS seconds_since_last, list(total ORDER BY feature) AS output_tokens
+  FROM f, (SELECT max(latest) AS mx FROM f) GROUP BY entity)
+SELECT s.entity AS session_id, coalesce(tools, []) AS tools, coalesce(calls, []) AS calls, coalesce(seconds_since_last, []) AS seconds_since_last, coalesce(output_tokens, []) AS output_tokens
+FROM (SELECT DISTINCT entity FROM e) s LEFT JOIN wide w ON s.entity IS NOT DISTINCT FROM w.entity
+""")
 def p5_features(spark, d):
     return features.session_features(table(spark, d, "session_entries", spread=True))
 
 
-@query()
+def _long(df: DataFrame) -> DataFrame:
+    return df.select("entity", "feature", "n", "total", F.unix_micros("latest").alias("latest_us"))
+
+
+@query(LONG_SQL)
 def p5_long(spark, d):
-    return features.session_tools(features.tool_calls(table(spark, d, "session_entries", spread=True)))
+    return _long(features.session_tools(features.tool_calls(table(spark, d, "session_entries", spread=True))))
+
+
+@query(LONG_SQL)
+def p5_applied(spark, d):
+    """The same table, built from the deliveries of the first nine tenths of the time and kept up with the rest as one batch."""
+    entries = table(spark, d, "session_entries", spread=True)
+    cut = entries.agg(F.percentile_approx(F.unix_micros("received_at"), 0.9)).scalar()
+    late = F.coalesce(F.unix_micros("received_at") >= cut, F.lit(False))
+    calls = features.tool_calls(entries.where(~late))
+    state = stored(features.session_tools(calls), "features")
+    return _long(features.applied(state, calls.where("last"), entries.where(late))[0])
 
 
 # --- usage ---------------------------------------------------------------------------------------------------------
