@@ -115,6 +115,50 @@ def test_equal_subtrees_have_one_identity_and_all_occurrences(spark):
     assert all(parents[r.entry_id, r.parent_path] == r.parent_id for r in bridge.where("depth > 0").collect())
 
 
+def test_all_objects_at_any_depth_have_exact_identities(spark):
+    deep = '{"content":[' * 20_000 + "{}" + "]}" * 20_000
+    lists = '{"a":' + "[" * 20_000 + '{"x":1}' + "]" * 20_000 + "}"
+    df = entries(spark, [
+        entry(1, {"usage": {"tokens": 1, "more": {"x": [[{"y": 1}], {"z": 2}]}}, "content": [[{"in": 1}], {"input": {"0": {"q": 1}, "a.b": {}}, "content": [{"input": {"q": 1}}]}]}), entry(2, deep), entry(3, lists), entry(4, lists[:-1]), entry(5, deep[:-1] + "]"),
+    ])
+    bridge = nested.occurrences(df, roots=True)
+    got = {(r.entry_id, r.block_path): r for r in bridge.where("entry_id in (1, 3)").collect()}
+    assert {p: got[1, p].kind for i, p in got if i == 1} == {
+        "": "record", "usage": "object", "usage.more": "object", "usage.more.x.0.0": "object", "usage.more.x.1": "object", "content.0.0": "object", "1": "block",
+        "1.input": "object", '1.input."0"': "object", '1.input."a.b"': "object", "1.0": "block", "1.0.input": "object",
+    }
+    assert got[1, '1.input."0"'].object_id == got[1, "1.0.input"].object_id and got[1, "1.0.input"].parent_path == "1.0" and got[1, "1.0.input"].member == "input"
+    assert {p for i, p in got if i == 3} == {"", "a." + ".".join(["0"] * 20_000)}
+    assert bridge.where("entry_id = 2").count() == 20_001 and bridge.where("entry_id in (4, 5)").count() == 0
+    assert {(r.entry_id, r.block_path) for r in nested.found(df).where("entry_id = 1").collect()} == {(1, "1"), (1, "1.0")}
+    numbers = ["1e400", "2e400", "0.1", "1e-1", "0.10000000000000000001", "12345678901234567890.5", "12345678901234567890.50", "12345678901234567891.5", "9" * 5000, "9" * 5001, '"\\ud800"', '"\\ud801"', "1", "1.5"]
+    rows_ = nested.occurrences(entries(spark, [entry(i, '{"x":{"n":%s}}' % n) for i, n in enumerate(numbers)])).where("block_path = 'x'").collect()
+    ids = {r.entry_id: r.object_id for r in rows_}
+    assert len(ids) == len(numbers) and ids[2] == ids[3] and ids[5] == ids[6] and len(set(ids.values())) == len(numbers) - 2
+    assert len({r.payload for r in rows_}) == len(numbers) - 2
+
+
+def test_texts_read_with_a_stack_are_those_of_the_parser():
+    import random
+
+    random.seed(1)
+    make = lambda d: random.choice([None, True, 1, -2.5, "a\n\u00e9", "", *([[make(d - 1) for _ in range(random.randint(0, 3))], {random.choice("abc"): make(d - 1) for _ in range(random.randint(0, 3))}] * 3 if d else [])])
+    for _ in range(300):
+        text = json.dumps(make(4), indent=random.choice([None, 1]))
+        assert nested._deep(text) == json.loads(text)
+        at = random.randrange(len(text))
+        for broken in (text[:at] + text[at + 1 :], text[:at] + random.choice('{}[],:"0') + text[at:]):
+            try:
+                want = (json.loads(broken, parse_constant=nested._constant),)
+            except ValueError:
+                want = ()
+            try:
+                found = (nested._deep(broken),)
+            except ValueError:
+                found = ()
+            assert found == want, broken
+
+
 def test_every_parent_of_the_bridge_is_an_object_and_every_data_record_a_row(spark):
     objects = {r.object_id: r for r in QUERIES["p3_objects"](spark, str(DATA)).collect()}
     bridge = QUERIES["p3_bridge"](spark, str(DATA)).collect()

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.schemas import flat
-from tidemark.operators.nested import parsed
+from tidemark.operators.nested import Exact, parsed, utf8
 
 #: Paths under which producers write the same information, and its type in the consistent table.
 ALIASES = {
@@ -49,6 +49,8 @@ def _type(value) -> str | None:
         return None
     if isinstance(value, bool):
         return "boolean"
+    if isinstance(value, Exact):
+        return "integer" if value.whole else "number"
     return {int: "integer", float: "number", str: "string", list: "array"}[type(value)]
 
 
@@ -63,7 +65,7 @@ def _leaves(record: dict) -> list[tuple[str, str | None]]:
             if isinstance(v, dict):
                 todo.append((f"{prefix}{k}.", v))
             else:
-                out.append((prefix + k, _type(v)))
+                out.append((utf8(prefix + k), _type(v)))
     return out
 
 

@@ -86,7 +86,7 @@ def tool_events(entries: DataFrame) -> DataFrame:
     )
     keep = ("entry_id", "entry", "entity", "at", "amount", "received_at")
     # the message is parsed where it is read; only the tool names travel on
-    blocks = nested.occurrences(df, {"message": "message_json"}, keep, payload=False)
+    blocks = nested.occurrences(df, {"message": "message_json"}, keep, payload=False, every=False)
     calls = blocks.where("type = 'tool_use' and name <> ''").select(*keep, F.col("name").alias("feature"), "block_path")
     # one narrow row per delivery, which stands for it where it has no calls
     marks = deliveries.select("entry_id", "entry", "received_at")

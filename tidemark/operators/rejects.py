@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.instants import instant
 from tidemark.functions.schemas import flat
-from tidemark.operators.nested import parsed, utf8
+from tidemark.operators.nested import utf8
 
 #: A day that exists, with leap years, and RFC 3339 time and offset.
 _LEAP = r"(?:[0-9][0-9](?:0[48]|[2468][048]|[13579][26])|(?:[02468][048]|[13579][26])00)"
@@ -109,6 +109,7 @@ def _member(key: str, value: str) -> str:
     return rf"\{{(?&w)(?:(?!{name})(?&s)(?&w):(?&w)(?&v)(?&w),(?&w))*+{name}{value}"
 
 
+_ESCAPED = regex.compile(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"')
 #: Where each column stands in a JSON line; the first element of content counts.
 _PLACES = {
     "session_id": lambda v: _member("session_id", v), "logged_at": lambda v: _member("logged_at", v), "entry_type": lambda v: _member("entry_type", v),
@@ -142,7 +143,7 @@ class Json:
             if reason == "syntax" or "\\" not in raw:
                 return reason, field, _NOTHING
             # names and values may be written with escapes: such a row is written without them and tested again
-            raw = json.dumps(parsed(raw), ensure_ascii=False, default=str)
+            raw = _ESCAPED.sub(lambda m: json.dumps(json.loads(m.group()), ensure_ascii=False), raw)
             if not self.row.fullmatch(raw):
                 return *self.broken(raw), _NOTHING
         return None, None, {c: _json_text(m.group("found")) if (m := p.match(raw)) else None for c, p in self.values.items()}
