@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text
 from tidemark.operators import architecture, commands, conventions, graphs, lines, listing, readmes, routes, rules, stacks, syntax
 from tidemark.plans import reports
+from tidemark.session import numbered, stored
 from tidemark.sources import trees
 from tidemark.streaming import changes
 
@@ -22,6 +23,10 @@ def test_routes_of_each_framework(spark):
         (5, 5, "/e/u.py", ".py", "import django\nurlpatterns = [path('home', v)]"),
         (6, 6, "/f/C.java", ".java", "import org.springframework.x;\n@RequestMapping(\"/base\")\nclass C {\n@GetMapping(\"/one\")"),
         (7, 1, "/a/app.test.js", ".js", "app.get('/skipped', x)"), (8, 8, "/g/n.js", ".js", "app.get('/no_gate', x)"), (9, 9, "/h/n.rs", ".rs", "use axum;\n.route(\"/ax\", get(h))"),
+        (13, 13, "/l/a.py", ".py", "from flask import Flask\n@bp.route('/many', methods=['GET', \"POST\"])\n@app.get('/got')"), (14, 14, "/m/s.ts", ".ts", "import Fastify from 'fastify'\nserver.route({ method: ['PUT', 'GET'], url: '/f' })\nserver.delete('/g', { preHandler: verifyJwt }, drop)"),
+        (15, 15, "/n/c.ts", ".ts", "import { Get } from '@nestjs/common'\n@Controller('cats')\n@Get()\n@Post('new')"), (16, 16, "/o/m.go", ".go", "mux.HandleFunc(\"GET /items/{id}\", h)\ncache.Get(\"/k\")"), (17, 17, "/p/m.rs", ".rs", "use actix_web::web;\n#[get(\"/hi\")]\n.route(\"/r\", web::post().to(h))\nweb::resource(\"/s\").route(web::get()).route(web::put())"),
+        (18, 18, "/q/m.rs", ".rs", "use axum;\n.route(\"/t\", get(a).post(b))"), (19, 19, "/r/r.js", ".js", "const R = require('koa-router')\nrouter.get('user', '/users/:id', show)"), (20, 20, "/s/detector.js", ".js", "require('express')\napp.all('/d', x)\napp.route('/e').get(a).put(b)"),
+        (21, 21, "/t/u.py", ".py", "from django.urls import path\nre_path(r'^old/$', v), path('', home)"), (22, 22, "/u/C.java", ".java", "import org.springframework.x;\n@RequestMapping(value = \"/v\", method = RequestMethod.PUT)"), (23, 23, "/v/a.py", ".py", "import fastapi\n@api.api_route(\"/w\", methods=[\"HEAD\"])\n@api.post('/y')"),
         (10, 10, "/i/e.js", ".js", None), (11, 11, "/j/e.js", ".js", ""), (12, 12, "/k/m.go", ".go", "gorilla/mux\nr.HandleFunc(\"/m\", h).Methods(\"PUT\")\nr.HandleFunc(\"/n\", h)"),
     ]
     got = {(r.framework, r.method, r.route, r.file, r.line, r.auth) for r in routes.routes(spark.createDataFrame(rows, SRC)).collect()}
@@ -30,12 +35,31 @@ def test_routes_of_each_framework(spark):
         ("chi", "GET", "/h", "/b/main.go", 2, ""), ("net/http", "ALL", "/plain", "/c/main.go", 1, ""), ("flask", "GET", "/f", "/d/v.py", 2, ""),
         ("django", "ALL", "/home", "/e/u.py", 2, ""), ("spring", "GET", "/base/one", "/f/C.java", 4, ""), ("axum", "GET", "/ax", "/h/n.rs", 2, ""),
         ("mux", "PUT", "/m", "/k/m.go", 2, ""), ("mux", "ALL", "/n", "/k/m.go", 3, ""),
+        ("flask", "GET", "/many", "/l/a.py", 2, ""), ("flask", "POST", "/many", "/l/a.py", 2, ""), ("flask", "GET", "/got", "/l/a.py", 3, ""), ("fastify", "PUT", "/f", "/m/s.ts", 2, ""), ("fastify", "GET", "/f", "/m/s.ts", 2, ""),
+        ("fastify", "DELETE", "/g", "/m/s.ts", 3, "Required"), ("nest", "GET", "/cats", "/n/c.ts", 3, ""), ("nest", "POST", "/cats/new", "/n/c.ts", 4, ""), ("net/http", "GET", "/items/{id}", "/o/m.go", 1, ""),
+        ("actix", "GET", "/hi", "/p/m.rs", 2, ""), ("actix", "POST", "/r", "/p/m.rs", 3, ""), ("actix", "GET", "/s", "/p/m.rs", 4, ""), ("actix", "PUT", "/s", "/p/m.rs", 4, ""), ("axum", "GET", "/t", "/q/m.rs", 2, ""), ("axum", "POST", "/t", "/q/m.rs", 2, ""),
+        ("koa", "GET", "/users/:id", "/r/r.js", 2, ""), ("express", "ALL", "/d", "/s/detector.js", 2, ""), ("express", "GET", "/e", "/s/detector.js", 3, ""), ("express", "PUT", "/e", "/s/detector.js", 3, ""), ("django", "ALL", "/old", "/t/u.py", 2, ""), ("django", "ALL", "/", "/t/u.py", 2, ""),
+        ("spring", "PUT", "/v", "/u/C.java", 2, ""), ("fastapi", "HEAD", "/w", "/v/a.py", 2, ""), ("fastapi", "POST", "/y", "/v/a.py", 3, ""),
     }
     pages = ["pages/api/users/[id].ts", "src/pages/api/index.js", "app/api/x/route.ts", "src/app/route.js", "lib/route.ts", None]
     df = spark.createDataFrame([(p,) for p in pages], "path string").select(routes.page_route(F.col("path")).alias("r"))
     assert [r.r for r in df.collect()] == ["/api/users/[id]", "/api", "/api/x", "/", None, None]
 
 
+def test_places_in_a_total_order(spark):
+    df = spark.createDataFrame([(i * 7 % 50, str(i)) for i in range(50)], "n int, s string").repartition(7)
+    got = {r.n: r.place for r in numbered(df, "place", -F.col("n"), F.col("s")).collect()}
+    assert got == {n: 50 - n for n in range(50)} and numbered(df.limit(0), "place", F.col("n")).count() == 0
+
+
+def test_stored_tables_go_when_they_are_replaced(spark):
+    import os
+
+    one = stored(spark.range(3).toDF("x"), "a")
+    two = stored(one.select((F.col("x") + 1).alias("x")), "b", instead=one)
+    assert sorted(r.x for r in two.collect()) == [1, 2, 3] and not os.path.exists(one._stored_at) and os.path.exists(two._stored_at)
+
+
 def test_scalars(spark):
     one = lambda f, *values: [r[0] for r in spark.createDataFrame([(v,) for v in values], "v string").select(f(F.col("v"))).collect()]
     assert one(text.normalize_model, "quill-large-2-20260104", "a", "20260104", "-20260104", "", None) == ["quill-large-2", "a", "20260104", "-20260104", "unknown", "unknown"]
@@ -89,6 +113,13 @@ def test_graphs(spark):
     assert {(r.from_layer, r.to_layer) for r in graphs.violations(pairs).collect()} == {("pkg", "cmd"), ("internal", "api")}
 
 
+def test_imports_lead_to_folders_of_the_project(spark):
+    src = [(1, "a/x.ts", "import { f } from './b';\nimport './c'\nfrom './gone'"), (1, "a/y.ts", "from './b' from './a'"), (2, "b/z.ts", "from './a'"), (1, "top.ts", "from './a'"), (1, "lib/b/w.ts", None)]
+    files = [(p, r) for p, r, _ in src] + [(1, "b/k.ts"), (1, "z/b/k.ts"), (2, None)]
+    got = graphs.edges(spark.createDataFrame(src, "project_id int, relative string, content string"), spark.createDataFrame(files, "project_id int, relative string"))
+    assert {tuple(r) for r in got.collect()} == {(1, "a", "b")}
+
+
 def test_cycles_of_any_length(spark):
     import random
 
@@ -122,8 +153,10 @@ def test_commits_and_branches(spark):
     df = spark.createDataFrame([(m,) for m in log], "message string")
     assert {(r.style, r.commits) for r in conventions.commits(df).collect()} == {("conventional", 3)}
     assert {(r.type, r.scope, r.commits) for r in conventions.commit_parts(df).collect()} == {("feat", "ui", 1), ("fix", "", 1), ("chore", "ui", 1)}
-    names = spark.createDataFrame([(b,) for b in ("feat/a", "origin/feature/b", "bugfix/c", "main", None)], "b string")
-    assert [r[0] for r in names.select(conventions.branch_kind(F.col("b"))).collect()] == ["feature", "feature", "fix", None, None]
+    names = spark.createDataFrame([(b,) for b in ("feat/a", "origin/feature/b", "Bugfix/c", "refs/heads/release/1.0", "main", "feature", "other/x", None)], "b string")
+    assert [r[0] for r in names.select(conventions.branch_kind(F.col("b"))).collect()] == ["feature", "feature", "fix", "release", None, None, None, None]
+    more = spark.createDataFrame([(m,) for m in (":art: x", "\U0001f3a8 y", "[ABC-12] z", "feat!: a", "feat(a b): c", "feat:d")], "message string")
+    assert {(r.style, r.commits) for r in conventions.commits(more).collect()} == {("conventional", 2), ("emoji", 2)}
 
 
 def test_quick_commands_show_one_of_each_kind_first(spark):
@@ -190,11 +223,12 @@ def test_readmes(spark):
     rows = lines.lines(spark.createDataFrame([(1, text_), (2, None)], "id int, text string"), "id")
     assert [(r.ord, r.item) for r in readmes.section_bullets(rows, "id").orderBy("ord").collect()] == [(1, "Go"), (2, "Java 17")]
     assert [r.command for r in readmes.shell_commands(rows, "id").collect()] == ["make all"]
-    texts = ["training a model of the transformer", "a cli with flags", "x" * 6000, "npm install the api", "hm", None]
+    texts = ["The server answers a Request", "a command with a flag, an option and a table of each column", "x" * 6000, "a table with a column, a team and its owner", "flag", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    assert [r[0] for r in df.select(readmes.kind(F.col("t"))).collect()] == ["ml", "cli", "docs", "library", "app", None]
-    got = spark.createDataFrame([("**Parameters**: 7B\nLayers: 32",), ("layers: 2",)], "t string").select(readmes.figures(F.col("t"))).collect()
-    assert got[0][0] == {"parameters": "7B", "layers": "32"} and got[1][0] is None
+    assert [r[0] for r in df.select(readmes.kind(F.col("t"))).collect()] == ["service", "tool", "other", "data", "other", None]
+    shown = ["**Parameters**: 7B\nLayers: 32", "layers: 2", "| Hidden size | 4,096 |\n- Context window = 8192 tokens.\nlayers: 1\nlayers: 2", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in shown], "t string").select(readmes.figures(F.col("t"))).collect()]
+    assert got == [{"parameters": "7B", "layers": "32"}, None, {"embedding": "4096", "context_length": "8192 tokens", "layers": "1"}, None]
     files = spark.createDataFrame([(1, "README", "b"), (1, "readme.md", "a"), (1, "docs/README.md", "c"), (2, "x", "d")], "project_id int, relative string, content string")
     assert [tuple(r) for r in readmes.first_of(files).collect()] == [(1, "a", "readme.md")]
 
@@ -222,4 +256,26 @@ def test_python_facts(spark):
 def test_bursts_end_after_a_gap(spark):
     rows = [("a", "2026-01-01 00:00:00"), ("a", "2026-01-01 00:00:00.4"), ("a", "2026-01-01 00:00:01.5"), ("b", "2026-01-01 00:00:00"), ("b", None)]
     df = spark.createDataFrame(rows, "k string, at string").withColumn("at", F.to_timestamp("at"))
-    assert sorted((r.k, r.events) for r in changes.bursts(df, "k", "500 milliseconds").collect()) == [("a", 1), ("a", 2), ("b", 1)]
+    assert sorted((r.k, r.events) for r in changes.bursts(df, "k", 1).collect()) == [("a", 1), ("a", 2), ("b", 1)]
+
+
+def test_bursts_go_on_over_the_seams_of_slices(spark):
+    import random
+
+    random.seed(2)
+    start, at, rows = 1_767_225_600, 0, []
+    for i in range(300):
+        at += random.choice([0, 1, 4, 9, 10, 11, 40])
+        rows.append((random.choice("aab"), start + at, f"p{i % 7}"))
+    df = spark.createDataFrame(rows, "k string, s long, path string").withColumn("at", F.timestamp_seconds("s"))
+    want = []
+    for k in "ab":
+        mine = sorted((s, p) for x, s, p in rows if x == k)
+        for i, (s, p) in enumerate(mine):
+            if i and s - mine[i - 1][0] < 10:
+                want[-1][1:] = [want[-1][1] + 1, want[-1][2], s, want[-1][4] | {p}]
+            else:
+                want.append([k, 1, s, s, {p}])
+    for slice_ in (10, 25, 86_400):
+        got = changes.bursts(df, "k", 10, members="path", slice_=slice_).select("k", "events", F.unix_seconds("first"), F.unix_seconds("last"), "path").collect()
+        assert sorted([*map(list, got)], key=repr) == sorted([[*w[:4], sorted(w[4])] for w in want], key=repr)

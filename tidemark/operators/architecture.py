@@ -13,7 +13,7 @@ LAYERS = (
 )
 #: Names of entry points, the first that exists counts; words of commands that only help.
 ENTRIES = ("manage.py", "wsgi.py", "asgi.py", "app.py", "main.py", "run.py", "__main__.py")
-HELPERS = "gen|doc|test|mock|tool|util|example|demo"
+HELPERS = ("gen", "doc", "test", "mock", "tool", "util", "example", "demo")
 #: Styles in order: name and the folders of which each set needs one.
 STYLES = (
     ("Standard Go Layout", (("cmd",), ("internal", "pkg"))), ("Clean Architecture", (("domain",), ("infrastructure", "adapters", "usecase", "delivery"))), ("Hexagonal Architecture", (("ports",), ("adapters",))),
@@ -50,7 +50,7 @@ def entry_points(files: DataFrame) -> DataFrame:
     """project_id and path of the entry point: a name of ENTRIES at the root, else the main file of a command, the largest that isn't a helper."""
     root = F.array_position(F.array(*map(F.lit, ENTRIES)), F.col("relative"))
     main = F.col("relative").rlike(r"^(?:cmd/[^/]+/)?main\.[a-z]+$")
-    helper = F.col("relative").rlike(f"^cmd/[^/]*(?:{HELPERS})")
+    helper = F.col("relative").rlike(f"^cmd/[^/]*(?:{'|'.join(HELPERS)})")
     order = F.struct(
         F.when(root > 0, root).otherwise(99), F.when(helper, 1).otherwise(0), -F.coalesce("size", F.lit(0)), F.col("relative"),
     )

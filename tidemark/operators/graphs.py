@@ -12,15 +12,22 @@ from tidemark.session import stored
 IMPORT = r"from '\./([A-Za-z_]+)'"
 
 
-def edges(src: DataFrame, pattern: str = IMPORT) -> DataFrame:
-    """project_id, src and dst: folder of a file and what it imports, each pair once per project."""
-    folder = F.regexp_extract("path", r"([^/]+)/[^/]*$", 1)
-    df = src.select("project_id", folder.alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)))).alias("dst"))
-    return df.where("src <> '' and src <> dst").distinct()
+def edges(src: DataFrame, files: DataFrame, pattern: str = IMPORT) -> DataFrame:
+    """project_id, src and dst: a folder and the folder of the same project that its files import, each pair once.
+
+    src: project_id, relative and content. files: project_id, relative. An import names a folder by its last part; of
+    several folders of one name in a project the first by path is meant. Imports that no folder provides give no edge.
+    """
+    folder = lambda: F.when(F.contains("relative", F.lit("/")), F.regexp_replace("relative", "/[^/]*$", ""))
+    given = files.select(F.col("project_id").alias("_p"), folder().alias("dst")).where("dst is not null")
+    given = given.groupBy("_p", F.substring_index("dst", "/", -1).alias("_n")).agg(F.min("dst").alias("dst"))
+    names = F.array_distinct(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)))
+    asked = src.select("project_id", folder().alias("src"), F.explode(names).alias("name")).where("src is not null").distinct()
+    return asked.join(given, F.expr("project_id = _p and name = _n")).where("src <> dst").select("project_id", "src", "dst").distinct()
 
 
-def degrees(pairs: DataFrame, least: int = 5) -> DataFrame:
-    """node, out and in degree (over all projects) of nodes with more than ``least`` of either."""
+def degrees(pairs: DataFrame, least: int = 0) -> DataFrame:
+    """node, out and in degree of nodes with more than ``least`` of either."""
     one = pairs.select("src", "dst").distinct()
     both = one.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(one.select(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
     return both.groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree")).where((F.col("out_degree") > least) | (F.col("in_degree") > least))
@@ -57,34 +64,18 @@ def reachable(pairs: DataFrame, longest: int) -> DataFrame:
     return known
 
 
-def cycles(pairs: DataFrame, longest: int = 4) -> DataFrame:
-    """nodes: cycles from their smallest node on, each once, with their length.
+def cycles(pairs: DataFrame, trims: int = 4) -> DataFrame:
+    """nodes: for each edge that lies on a cycle one of the shortest cycles through it, of whatever length; each cycle once, from its smallest node on, with its length.
 
-    All simple cycles of at most ``longest`` edges, which are too many where they are longer; for each edge that lies
-    on longer cycles only, of whatever length, one of the shortest through it. So every edge of a cycle is in a row.
-    """
-    edge = stored(pairs.select("src", "dst").where("src <> dst").distinct(), "edges")
-    walk = edge.select(F.col("src").alias("start"), F.col("dst").alias("end"), F.array("src", "dst").alias("nodes")).where("dst > src")
-    closed = None
-    for _ in range(longest - 1):
-        step = walk.join(edge.select(F.col("src").alias("_s"), F.col("dst").alias("_d")), F.col("end") == F.col("_s"))
-        done = step.where("_d = start").select("nodes")
-        closed = done if closed is None else closed.unionByName(done)
-        # only nodes greater than the start, so that every cycle is walked from its smallest node
-        walk = stored(step.where("_d > start and not array_contains(nodes, _d)").select("start", F.col("_d").alias("end"), F.concat("nodes", F.array("_d")).alias("nodes")), "walks")
-    short = stored(closed, "cycles")
-    on = short.select(F.posexplode("nodes").alias("_i", "_s"), "nodes").select("_s", F.get("nodes", F.pmod(F.col("_i") + 1, F.size("nodes"))).alias("_d")).distinct()
-    rest = edge.join(on, F.expr("src = _s and dst = _d"), "left_anti")
-    return short.unionByName(_closings(edge, rest)).select("nodes", F.size("nodes").cast("bigint").alias("length"))
-
-
-def _closings(edge: DataFrame, rest: DataFrame) -> DataFrame:
-    """nodes: for each edge of ``rest`` that lies on a cycle of the graph ``edge``, one of the shortest cycles through it.
-
-    Paths grow by an edge per round from the ends of these edges, one path per pair of nodes, until each edge is closed
-    or no pair is new. A start leaves when its edges are closed.
+    So every edge of a cycle is in a row; of equally short ways back the first by the names on it counts. Paths grow by
+    an edge per round from the ends of the edges, one path per pair of nodes, until each edge is closed or no pair is
+    new; a start leaves when its edges are closed. Before that, ``trims`` rounds drop edges whose ends lead nowhere.
     """
-    rest = stored(rest.select("src", "dst"), "open")
+    edge = pairs.select("src", "dst").where("src <> dst").distinct()
+    for _ in range(trims):
+        ends = edge.select(F.col("src").alias("_n")).intersect(edge.select("dst"))
+        edge = stored(edge.join(ends, F.col("src") == F.col("_n"), "left_semi").join(ends, F.col("dst") == F.col("_n"), "left_semi"), "edges")
+    rest = stored(edge.select("src", "dst"), "open")
     new = stored(rest.select(F.col("dst").alias("start"), F.col("dst").alias("end"), F.array("dst").alias("nodes")).distinct(), "paths")
     known, closed, rounds = new.select("start", "end"), new.select("nodes").limit(0), 0
     while not new.isEmpty():
@@ -99,7 +90,8 @@ def _closings(edge: DataFrame, rest: DataFrame) -> DataFrame:
         if rounds % 16 == 0:  # else the plan grows with the rounds
             known, closed = stored(known, "pairs"), stored(closed, "cycles")
     at = F.array_position("nodes", F.array_min("nodes")).cast("int")
-    return closed.select(F.concat(F.slice("nodes", at, F.size("nodes")), F.slice("nodes", F.lit(1), at - 1)).alias("nodes")).distinct()
+    turned = closed.select(F.concat(F.slice("nodes", at, F.size("nodes")), F.slice("nodes", F.lit(1), at - 1)).alias("nodes")).distinct()
+    return turned.select("nodes", F.size("nodes").cast("bigint").alias("length"))
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -110,13 +102,14 @@ def components(pairs: DataFrame) -> DataFrame:
     """
     one = pairs.select("src", "dst").where("src is not null and dst is not null")
     edge = stored(one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
-    label = stored(edge.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component")), "labels")
+    label = held = stored(edge.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component")), "labels")
     while True:
         near = edge.join(label.select(F.col("node").alias("_n"), F.col("component").alias("_c")), F.col("dst") == F.col("_n")).groupBy("src").agg(F.min("_c").alias("_near"))
         lower = label.join(near, F.col("node") == F.col("src"), "left").select("node", F.least("component", F.coalesce("_near", "component")).alias("component"), F.col("component").alias("_old"))
         jump = lower.select(F.col("node").alias("_j"), F.col("component").alias("_k"))
         now = lower.join(jump, F.col("component") == F.col("_j"), "left").select("node", F.least("component", F.coalesce("_k", "component")).alias("component"), "_old")
-        now = stored(now.withColumn("_moved", F.col("component") != F.col("_old")), "labels")
+        now = stored(now.withColumn("_moved", F.col("component") != F.col("_old")), "labels", instead=held)
+        held = now
         ended = now.where("_moved").isEmpty()
         label = now.select("node", "component")
         if ended:

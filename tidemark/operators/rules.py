@@ -11,15 +11,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EXAMPLES = 3
-#: Fixed value: larger contents aren't scanned.
-LARGEST = 500_000
 
 
-def sources(files: DataFrame, contents: DataFrame) -> DataFrame:
-    """file_id, project_id, path, extension, content and walk_ord of files that can be scanned: neither null nor too large."""
+def sources(files: DataFrame, contents: DataFrame, largest: int | None = None) -> DataFrame:
+    """file_id, project_id, path, extension, relative, content and walk_ord of files with a content.
+
+    ``largest``: contents of more bytes are left out; by default all are read, whatever their size.
+    """
     c = contents.select(F.col("file_id").alias("_id"), "content", "walk_ord")
     df = files.where(~F.coalesce("is_dir", F.lit(False))).join(c, F.col("file_id") == F.col("_id"))
-    return df.where(F.octet_length("content") <= LARGEST).select("file_id", "project_id", "path", "extension", "content", "walk_ord")
+    fits = F.col("content").isNotNull() if largest is None else F.octet_length("content") <= largest
+    return df.where(fits).select("file_id", "project_id", "path", "extension", "relative", "content", "walk_ord")
 
 
 def _literal(values) -> Column:

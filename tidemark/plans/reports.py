@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import bar, format_count
+from tidemark.session import numbered
 
 #: Marks around text that people keep in generated documents.
 BEGIN, END = "<!-- custom:begin -->", "<!-- custom:end -->"
@@ -14,9 +15,8 @@ BEGIN, END = "<!-- custom:begin -->", "<!-- custom:end -->"
 def bars(counts: DataFrame, name: str, n: str, width: int = 25) -> DataFrame:
     """One line of text per row: the name, its count and a bar against the largest; ordered by ``rank``."""
     most = counts.agg(F.max(n)).scalar()
-    place = F.row_number().over(Window.orderBy(F.desc(n), name))
     line = F.concat(F.rpad(name, 24, " "), F.lit(" "), F.lpad(format_count(F.col(n)), 8, " "), F.lit(" "), bar(F.col(n), F.col("_most"), width))
-    return counts.withColumns({"_most": most, "rank": place.cast("bigint")}).select("rank", line.alias("line"))
+    return numbered(counts, "rank", -F.col(n), F.col(name)).withColumn("_most", most).select("rank", line.alias("line"))
 
 
 def custom_blocks(existing: Column) -> Column:

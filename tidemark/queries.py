@@ -360,7 +360,7 @@ below AS (
   FROM listing l LEFT JOIN projects p USING (project_id)),
 src AS (
   SELECT l.file_id, l.project_id, l.path, l.extension, l.relative, c.content, c.walk_ord FROM below l JOIN files_content c USING (file_id)
-  WHERE NOT coalesce(is_dir, false) AND strlen(c.content) <= 500000)
+  WHERE NOT coalesce(is_dir, false) AND c.content IS NOT NULL)
 """
 
 
@@ -564,13 +564,15 @@ def lines_depths(spark, d):
 # --- graphs ----------------------------------------------------------------------------------------------------------
 
 EDGES_SQL = LISTING_SQL + r"""
-, raw AS (SELECT project_id, regexp_extract(path, '([^/]+)/[^/]*$', 1) AS src, unnest(regexp_extract_all(content, 'from ''\./([A-Za-z_]+)''', 1)) AS dst FROM src),
-edges AS (SELECT DISTINCT project_id, src, dst FROM raw WHERE src <> '' AND src <> dst)
+, given AS (SELECT project_id, regexp_extract(folder, '[^/]*$') AS name, min(folder) AS dst FROM (SELECT project_id, regexp_replace(relative, '/[^/]*$', '') AS folder FROM below WHERE contains(relative, '/')) GROUP BY 1, 2),
+asked AS (SELECT project_id, regexp_replace(relative, '/[^/]*$', '') AS src, unnest(regexp_extract_all(content, 'from ''\./([A-Za-z_]+)''', 1)) AS name FROM src WHERE contains(relative, '/')),
+edges AS (SELECT DISTINCT project_id, src, dst FROM asked JOIN given USING (project_id, name) WHERE src <> dst),
+one AS (SELECT DISTINCT project_id || ':' || src AS src, project_id || ':' || dst AS dst FROM edges)
 """
 
 
 def _edges(spark, d):
-    return graphs.edges(_sources(spark, d))
+    return graphs.edges(_sources(spark, d), _listing(spark, d))
 
 
 def _project_edges(spark, d):
@@ -585,25 +587,28 @@ def graph_edges(spark, d):
 
 
 @query(EDGES_SQL + """
-, one AS (SELECT DISTINCT src, dst FROM edges), ends AS (SELECT src AS node, 1 AS o, 0 AS i FROM one UNION ALL SELECT dst, 0, 1 FROM one)
-SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM ends GROUP BY node HAVING out_degree > 5 OR in_degree > 5
+, ends AS (SELECT src AS node, 1 AS o, 0 AS i FROM one UNION ALL SELECT dst, 0, 1 FROM one)
+SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM ends GROUP BY node
 """)
 def graph_degrees(spark, d):
-    return graphs.degrees(_edges(spark, d))
+    return graphs.degrees(_project_edges(spark, d))
 
 
 @query(EDGES_SQL.replace("WITH scan", "WITH RECURSIVE scan") + """
-, one AS (SELECT DISTINCT project_id || ':' || src AS src, project_id || ':' || dst AS dst FROM edges),
-walks AS (SELECT src AS start, dst AS finish, [src, dst] AS nodes FROM one WHERE dst > src
-  UNION ALL SELECT start, dst, list_append(nodes, dst) FROM walks JOIN one ON finish = src WHERE dst > start AND NOT list_contains(nodes, dst) AND len(nodes) < 4)
-SELECT nodes, len(nodes) AS length FROM walks WHERE EXISTS (SELECT 1 FROM one WHERE src = finish AND dst = start)
+, reach AS (SELECT src AS s, dst AS t, 1 AS hops FROM one UNION SELECT s, dst, hops + 1 FROM reach JOIN one ON t = src WHERE hops < (SELECT count(DISTINCT src) FROM one)),
+far AS (SELECT s, t, min(hops) AS d FROM reach GROUP BY s, t),
+via AS (SELECT f.s, f.t, min(e.dst) AS nxt FROM far f JOIN one e ON e.src = f.s LEFT JOIN far g ON g.s = e.dst AND g.t = f.t WHERE (f.d = 1 AND e.dst = f.t) OR (f.d > 1 AND e.dst <> f.t AND g.d = f.d - 1) GROUP BY ALL),
+walks AS (SELECT e.src AS u, e.dst AS at, [e.dst] AS nodes FROM one e JOIN far f ON f.s = e.dst AND f.t = e.src
+  UNION ALL SELECT u, nxt, list_append(nodes, nxt) FROM walks JOIN via ON via.s = at AND via.t = u WHERE at <> u),
+closed AS (SELECT nodes, list_position(nodes, list_min(nodes)) AS p FROM walks WHERE at = u)
+SELECT DISTINCT nodes[p:] || nodes[1:p - 1] AS nodes, len(nodes) AS length FROM closed
 """)
 def graph_cycles(spark, d):
     return graphs.cycles(_project_edges(spark, d))
 
 
 @query(EDGES_SQL.replace("WITH scan", "WITH RECURSIVE scan") + """
-, ways AS (SELECT project_id || ':' || src AS a, project_id || ':' || dst AS b FROM edges UNION SELECT project_id || ':' || dst, project_id || ':' || src FROM edges),
+, ways AS (SELECT src AS a, dst AS b FROM one UNION SELECT dst, src FROM one),
 reach AS (SELECT a AS node, a AS other FROM ways UNION SELECT node, b FROM reach JOIN ways ON other = a)
 SELECT node, min(other) AS component FROM reach GROUP BY node
 """)
@@ -611,22 +616,15 @@ def graph_components(spark, d):
     return graphs.components(_project_edges(spark, d))
 
 
-@query(LISTING_SQL + r"""
-, named AS (SELECT project_id, regexp_replace(relative, '/[^/]*$', '') AS folder, string_split(regexp_replace(relative, '/[^/]*$', ''), '/')[1] AS top FROM below WHERE contains(relative, '/')),
-pairs AS (SELECT DISTINCT a.folder AS from_path, b.folder AS to_path FROM (SELECT DISTINCT * FROM named) a JOIN (SELECT DISTINCT * FROM named) b
-  ON a.project_id = b.project_id AND regexp_extract(a.folder, '[^/]*$') = regexp_extract(b.folder, '[^/]*$') AND a.folder <> b.folder),
-v AS (SELECT * FROM (VALUES ('cmd', 5), ('api', 4), ('service', 3), ('repository', 2), ('domain', 1), ('pkg', 0), ('internal', 0)) v(layer, level)),
-first AS (SELECT path, arg_min(layer, pos) AS layer, arg_min(level, pos) AS level FROM (
-  SELECT path, unnest(string_split(path, '/')) AS seg, unnest(range(1, len(string_split(path, '/')) + 1)) AS pos FROM (SELECT from_path AS path FROM pairs UNION SELECT to_path FROM pairs)) JOIN v ON seg = layer GROUP BY path)
-SELECT from_path, to_path, a.layer AS from_layer, b.layer AS to_layer FROM pairs JOIN first a ON from_path = a.path JOIN first b ON to_path = b.path WHERE a.level < b.level
+@query(EDGES_SQL + f"""
+, v AS (SELECT * FROM {_values(dimensions.LAYERS.items(), "v(layer, level)")}),
+placed AS (SELECT path, arg_min(layer, pos) AS layer, arg_min(level, pos) AS level FROM (
+  SELECT path, unnest(string_split(path, '/')) AS seg, unnest(range(1, len(string_split(path, '/')) + 1)) AS pos FROM (SELECT src AS path FROM edges UNION SELECT dst FROM edges)) JOIN v ON seg = layer GROUP BY path)
+SELECT DISTINCT src AS from_path, dst AS to_path, a.layer AS from_layer, b.layer AS to_layer FROM edges JOIN placed a ON src = a.path JOIN placed b ON dst = b.path WHERE a.level < b.level
 """)
 def graph_layer_violations(spark, d):
-    """Folders of one name in two layers of a project, taken as dependencies of the one on the other."""
-    folder = F.regexp_replace("relative", "/[^/]*$", "")
-    named = _listing(spark, d).where(F.contains("relative", F.lit("/"))).select("project_id", folder.alias("folder"), F.regexp_extract(folder, "([^/]*)$", 1).alias("name")).distinct()
-    other = named.select(F.col("project_id").alias("_p"), F.col("folder").alias("to_path"), F.col("name").alias("_n"))
-    pairs = named.join(other, F.expr("project_id = _p and name = _n and folder <> to_path")).select(F.col("folder").alias("from_path"), "to_path").distinct()
-    return graphs.violations(pairs)
+    """Imports of a higher layer by a lower one."""
+    return graphs.violations(_edges(spark, d).select(F.col("src").alias("from_path"), F.col("dst").alias("to_path")).distinct())
 
 
 # --- commands, conventions, kinds ------------------------------------------------------------------------------------
@@ -744,15 +742,15 @@ def changes_impacts(spark, d):
 
 
 @query("""
-WITH gaps AS (SELECT file_name, received_at, CASE WHEN received_at - lag(received_at) OVER w < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS fresh
-  FROM session_entries WINDOW w AS (PARTITION BY file_name ORDER BY received_at)),
-islands AS (SELECT file_name, received_at, sum(fresh) OVER (PARTITION BY file_name ORDER BY received_at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS no FROM gaps)
-SELECT file_name, count(*) AS events, epoch_us(min(received_at)) AS first_us, epoch_us(max(received_at)) AS last_us FROM islands GROUP BY file_name, no
+WITH gaps AS (SELECT file_name, entry_type, received_at, CASE WHEN received_at - lag(received_at) OVER w < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS fresh
+  FROM session_entries WHERE received_at IS NOT NULL WINDOW w AS (PARTITION BY file_name ORDER BY received_at)),
+islands AS (SELECT *, sum(fresh) OVER (PARTITION BY file_name ORDER BY received_at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS no FROM gaps)
+SELECT file_name, count(*) AS events, epoch_us(min(received_at)) AS first_us, epoch_us(max(received_at)) AS last_us, list_sort(list(DISTINCT entry_type)) AS entry_types FROM islands GROUP BY file_name, no
 """)
 def changes_bursts(spark, d):
-    events = table(spark, d, "session_entries").select("file_name", F.col("received_at").alias("at"))
-    found = changes.bursts(events, "file_name", "10 minutes")
-    return found.select("file_name", "events", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"))
+    events = table(spark, d, "session_entries").select("file_name", "entry_type", F.col("received_at").alias("at"))
+    found = changes.bursts(events, "file_name", 600, members="entry_type")
+    return found.select("file_name", "events", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"), F.col("entry_type").alias("entry_types"))
 
 
 @query(USAGE_SQL + r"""
@@ -819,8 +817,8 @@ def _met(words) -> str:
 
 
 @query(f"""
-SELECT kind, count(*) AS documents FROM (SELECT CASE WHEN text IS NULL THEN NULL WHEN {_met(readmes.KINDS[0][2])} >= 3 THEN 'ml' WHEN {_met(readmes.KINDS[1][2])} >= 2 THEN 'cli'
-  WHEN strlen(text) > 5000 AND (length(text) - length(replace(text, '```', ''))) // 3 < 5 THEN 'docs' WHEN {_met(readmes.KINDS[2][2])} >= 2 THEN 'library' ELSE 'app' END AS kind FROM documents) GROUP BY kind
+WITH scored AS (SELECT text IS NULL AS none, list_max([{", ".join(f"{{'n': {_met(words)}, 'i': {-i}, 'kind': '{name}'}}" for i, (name, words) in enumerate(readmes.KINDS.items()))}]) AS best FROM documents)
+SELECT CASE WHEN none THEN NULL WHEN best.n >= 2 THEN best.kind ELSE 'other' END AS kind, count(*) AS documents FROM scored GROUP BY 1
 """)
 def readme_kinds(spark, d):
     docs = table(spark, d, "documents", spread=True)

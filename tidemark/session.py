@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Settings that the operators rely on; sizes are left to the cluster.
 CONF = {
@@ -78,9 +80,52 @@ def shared_dir(spark: SparkSession) -> str:
     return told.rstrip("/")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: work done once, lineage cut, no copy held by an executor."""
+def _remove(jvm, conf, path: str) -> None:
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(conf).delete(folder, True)
+
+
+def _forget(jvm, conf, path: str) -> None:
+    try:
+        _remove(jvm, conf, path)
+    except Exception:  # the session's own process may be gone by now; what is left can be deleted by hand
+        pass
+
+
+_FOLDERS: set[str] = set()
+
+
+def stored(df: DataFrame, label: str, instead: DataFrame | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read back: work done once, lineage cut, no copy held by an executor.
+
+    The tables of an application lie in one folder, which is deleted when its driver ends. ``instead`` is a stored table
+    that nothing needs any more once this one is written, as in loops; it is deleted at once.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    jvm, conf = context._jvm, context._jsc.hadoopConfiguration()
+    folder = f"{shared_dir(spark)}/tidemark-{context.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_forget, jvm, conf, folder)
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    if instead is not None:
+        _remove(jvm, conf, instead._stored_at)
+    return out
+
+
+def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """Adds the place (from 1) of each row in a total order: sorted by ranges, so no task holds all rows."""
+    row = F.monotonically_increasing_id()
+    keys = [f"_order{i}" for i in range(len(order))]
+    keyed = df.withColumns(dict(zip(keys, order)))
+    placed = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = stored(placed.withColumns({"_part": F.shiftright(row, 33), "_row": row.bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
+    sizes = placed.groupBy(F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    # one row per partition
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_p", (before - F.col("_first") + 1).alias("_start"))
+    return placed.join(F.broadcast(starts), F.col("_part") == F.col("_p")).withColumn(name, F.col("_row") + F.col("_start")).drop(*keys, "_part", "_row", "_p", "_start")

@@ -1,12 +1,12 @@
 """Changes of files as a stream: bursts, what they touch, and results that follow them.
 
-A stream of (path, at) is cut into bursts, a burst ends when nothing comes for a while; each burst keeps all its paths
-and what they touch. Results kept per key follow the stream by merging, so that after all changes they equal a full run.
+A stream of (path, at) is cut into bursts, a burst ends when nothing comes for a while and keeps all that
+belongs to it. Results kept per key follow the stream by merging, so that after all changes they equal a full run.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -26,13 +26,32 @@ def touched(changes: DataFrame) -> DataFrame:
     return changes.withColumn("impact", F.explode(impacts(F.col("path"))))
 
 
-def bursts(changes: DataFrame, key: str, gap: str, at: str = "at") -> DataFrame:
-    """Bursts of a key: first and last time, number of events. Works on tables and, behind a watermark, on streams.
+def bursts(changes: DataFrame, key: str, gap: int, at: str = "at", members: str | None = None, slice_: int = 86_400) -> DataFrame:
+    """Bursts of a key: number of events, first and last time and, if ``members`` names a column, its distinct values in order.
 
-    A burst ends when no event comes within ``gap``. Spark sums the sessions of each task before the shuffle.
+    A burst ends when no event comes within ``gap`` seconds; events without a time don't count. On a stream, behind a
+    watermark, Spark's session windows find them. A table is cut by time into slices of ``slice_`` seconds (at least
+    ``gap``), so that a key with most of the rows lies in many tasks; only the first and last burst of a slice can go on
+    in another, and only those are put together afterwards.
     """
-    window = F.session_window(at, gap)
-    return changes.groupBy(key, window.alias("w")).agg(F.count(F.lit(1)).alias("events"), F.min(at).alias("first"), F.max(at).alias("last")).drop("w")
+    values = [F.array_sort(F.collect_set(members)).alias(members)] if members else []
+    if changes.isStreaming:
+        window = F.session_window(at, f"{gap} seconds")
+        return changes.groupBy(key, window.alias("w")).agg(F.count(F.lit(1)).alias("events"), F.min(at).alias("first"), F.max(at).alias("last"), *values).drop("w")
+    far = lambda later, earlier: F.coalesce(F.unix_micros(later) - F.unix_micros(earlier) >= gap * 1_000_000, F.lit(True))
+    df = changes.select(key, at, *([members] if members else [])).where(F.col(at).isNotNull()).withColumn("_slice", F.floor(F.unix_seconds(F.col(at)) / max(gap, slice_)))
+    inside = Window.partitionBy(key, "_slice").orderBy(at)
+    df = df.withColumn("_new", far(F.col(at), F.lag(at).over(inside)).cast("int"))
+    df = df.withColumn("_n", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    part = df.groupBy(key, "_slice", "_n").agg(F.count(F.lit(1)).alias("events"), F.min(at).alias("first"), F.max(at).alias("last"), *values)
+    part = part.withColumn("_ends", (F.col("_n") == 1) | (F.col("_n") == F.max("_n").over(Window.partitionBy(key, "_slice"))))
+    columns = [key, "events", "first", "last", *([members] if members else [])]
+    along = Window.partitionBy(key).orderBy("first")
+    seams = part.where("_ends").withColumn("_new", far(F.col("first"), F.lag("last").over(along)).cast("int"))
+    seams = seams.withColumn("_n", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(members)))).alias(members)] if members else []
+    whole = seams.groupBy(key, "_n").agg(F.sum("events").alias("events"), F.min("first").alias("first"), F.max("last").alias("last"), *joined)
+    return part.where("not _ends").select(*columns).unionByName(whole.select(*columns))
 
 
 def read_changes(spark: SparkSession, folder: str, late: str = "10 minutes") -> DataFrame:
