@@ -68,6 +68,32 @@ def p3_bridge(spark, d):
     return nested.occurrences(table(spark, d, "session_entries", spread=True), payload=False, roots=True).drop("payload")
 
 
+@query("""
+WITH RECURSIVE r AS (
+  SELECT entry_id, source, j AS v, '' AS path, NULL::VARCHAR AS parent_path, NULL::VARCHAR AS member, 0 AS ordinal, 0 AS depth, 'record' AS kind, []::INT[] AS places FROM (
+    SELECT entry_id, 'message' AS source, CASE WHEN json_valid(message_json) THEN message_json::JSON END AS j FROM session_entries
+    UNION ALL SELECT entry_id, 'data', CASE WHEN json_valid(data_json) THEN data_json::JSON END FROM session_entries) WHERE json_type(j) = 'OBJECT'
+  UNION ALL
+  -- an array stands as a row of its own (kind null) with the path of the object that it lies in, until its objects are reached
+  SELECT entry_id, source, c, CASE WHEN json_type(c) = 'ARRAY' THEN path WHEN named = 'block' THEN prefix || place::VARCHAR WHEN named IS NOT NULL THEN prefix || name || '.' || place::VARCHAR
+      ELSE prefix || array_to_string(list_prepend(label, list_transform(spots, lambda x: x::VARCHAR)), '.') END,
+    CASE WHEN json_type(c) = 'ARRAY' THEN up ELSE path END, name, place, CASE WHEN json_type(c) = 'ARRAY' THEN depth ELSE depth + 1 END,
+    CASE WHEN json_type(c) = 'ARRAY' THEN 'array of ' || owner ELSE coalesce(named, 'object') END, CASE WHEN json_type(c) = 'ARRAY' THEN spots ELSE [] END
+  FROM (SELECT *, CASE WHEN len(spots) < 2 THEN CASE WHEN source = 'message' AND owner IN ('record', 'block') AND name = 'content' THEN 'block' WHEN source = 'data' AND owner = 'record' AND name = 'results' THEN 'result'
+      WHEN source = 'data' AND owner = 'result' AND name = 'hits' THEN 'hit' END END AS named, coalesce(spots[-1], 0) AS place, CASE WHEN path = '' THEN '' ELSE path || '.' END AS prefix,
+      CASE WHEN regexp_full_match(name, '[A-Za-z_][A-Za-z0-9_]*') THEN name ELSE to_json(name)::VARCHAR END AS label
+    FROM (SELECT entry_id, source, path, parent_path AS up, depth, replace(kind, 'array of ', '') AS owner, x.k AS name, x.s AS spots, x.c AS c FROM (
+      SELECT *, unnest(CASE json_type(v) WHEN 'OBJECT' THEN list_transform(json_keys(v), lambda k: {'k': k, 's': []::INT[], 'c': json_extract(v, '$."' || k || '"')})
+        WHEN 'ARRAY' THEN list_transform(range(json_array_length(v)::BIGINT), lambda i: {'k': member, 's': list_append(places, i::INT), 'c': json_extract(v, '$[' || i || ']')}) END) AS x FROM r)))
+  WHERE json_type(c) IN ('OBJECT', 'ARRAY'))
+SELECT entry_id, source, path AS block_path, parent_path, member, ordinal, depth, kind, CASE WHEN json_type(v, '$.type') = 'VARCHAR' THEN v->>'$.type' END AS type, CASE WHEN json_type(v, '$.name') = 'VARCHAR' THEN v->>'$.name' END AS name
+FROM r WHERE NOT starts_with(kind, 'array')
+""")
+def p3_places(spark, d):
+    """The bridge without identities, which SQL can't compute: every object with its place, its parent's and its depth."""
+    return nested.occurrences(table(spark, d, "session_entries", spread=True), payload=False, roots=True).drop("payload", "object_id", "parent_id")
+
+
 @query("""
 WITH m AS (SELECT entry_id, session_id, entry_type, CASE WHEN json_valid(message_json) THEN message_json::JSON END AS j FROM session_entries)
 SELECT entry_id, session_id, entry_type, j->>'$.role' AS role, j->>'$.model' AS model,
@@ -81,6 +107,14 @@ def p3_messages(spark, d):
     return nested.messages(table(spark, d, "session_entries", spread=True))
 
 
+@query("""
+SELECT entry_id, session_id, entry_type, j->>'$.type' AS type, j->>'$.query' AS query FROM (SELECT *, CASE WHEN json_valid(data_json) THEN data_json::JSON END AS j FROM session_entries) WHERE json_type(j) = 'OBJECT'
+""")
+def p3_requests(spark, d):
+    """The flat table of data without identities, which SQL can't compute."""
+    return nested.data(table(spark, d, "session_entries", spread=True)).drop("object_id")
+
+
 @query()
 def p3_data(spark, d):
     return nested.data(table(spark, d, "session_entries", spread=True))
@@ -95,32 +129,40 @@ members AS (
 kinds AS (
   SELECT producer, file_seq, path, CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BIGINT' THEN 'integer' WHEN 'UBIGINT' THEN 'integer' WHEN 'HUGEINT' THEN 'integer' WHEN 'DOUBLE' THEN 'number'
     WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' END AS kind FROM members WHERE json_type(v) <> 'OBJECT'),
-fields AS (SELECT producer, file_seq, path, array_to_string(list_sort(list(DISTINCT kind) FILTER (kind IS NOT NULL)), '|') AS kind FROM kinds GROUP BY ALL),
-files AS (SELECT *, lag(file_seq) OVER (PARTITION BY producer ORDER BY file_seq) AS before FROM (SELECT DISTINCT producer, file_seq, file_name FROM log_records)),
+fields AS (SELECT producer, file_seq, path, replace(array_to_string(list_sort(list(DISTINCT kind) FILTER (kind IS NOT NULL)), '|'), 'integer|number', 'number') AS kind FROM kinds GROUP BY ALL),
+files AS (SELECT *, lag(file_seq) OVER w AS before, lead(file_name) OVER w AS next_file, row_number() OVER w AS ord FROM (SELECT DISTINCT producer, file_seq, file_name FROM log_records) WINDOW w AS (PARTITION BY producer ORDER BY file_seq, file_name)),
 names AS (SELECT * FROM {_values([(p, c) for c, (_, ps) in drift.ALIASES.items() for p in ps], "v(path, told)")}),
 told AS (SELECT f.*, coalesce(n.told, lower(regexp_replace(f.path, '[._-]', '', 'g'))) AS told FROM fields f LEFT JOIN names n USING (path)),
-ended AS (SELECT file_name, told, path, kind, row_number() OVER (PARTITION BY file_name, told ORDER BY path) AS n FROM files JOIN told t ON t.producer = files.producer AND t.file_seq = before
+ended AS (SELECT files.producer, file_name, told, path, kind, row_number() OVER (PARTITION BY file_name, told ORDER BY path) AS n FROM files JOIN told t ON t.producer = files.producer AND t.file_seq = before
   WHERE NOT EXISTS (SELECT 1 FROM fields x WHERE x.producer = files.producer AND x.file_seq = files.file_seq AND x.path = t.path)),
-begun AS (SELECT file_name, told, path, kind, row_number() OVER (PARTITION BY file_name, told ORDER BY path) AS n FROM files JOIN told t ON t.producer = files.producer AND t.file_seq = files.file_seq
+begun AS (SELECT files.producer, file_name, told, path, kind, row_number() OVER (PARTITION BY file_name, told ORDER BY path) AS n FROM files JOIN told t ON t.producer = files.producer AND t.file_seq = files.file_seq
   WHERE before IS NOT NULL AND NOT EXISTS (SELECT 1 FROM fields x WHERE x.producer = files.producer AND x.file_seq = before AND x.path = t.path)),
-pairs AS (SELECT coalesce(e.file_name, b.file_name) AS file_name, e.path AS old, b.path AS new, e.kind AS k1, b.kind AS k2 FROM ended e FULL JOIN begun b ON e.file_name = b.file_name AND e.told = b.told AND e.n = b.n)
-SELECT file_name, coalesce(old, new) AS field, CASE WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'removed' ELSE 'renamed' END AS change FROM pairs
-UNION ALL SELECT file_name, old, 'retyped' FROM pairs WHERE old IS NOT NULL AND new IS NOT NULL AND k1 <> k2
-UNION ALL SELECT file_name, a.path, 'retyped' FROM files JOIN fields a ON a.producer = files.producer AND a.file_seq = before JOIN fields b ON b.producer = files.producer AND b.file_seq = files.file_seq AND b.path = a.path WHERE a.kind <> b.kind
+pairs AS (SELECT coalesce(e.producer, b.producer) AS producer, coalesce(e.file_name, b.file_name) AS file_name, e.path AS old_path, b.path AS new_path, e.kind AS old_type, b.kind AS new_type
+  FROM ended e FULL JOIN begun b ON e.file_name = b.file_name AND e.told = b.told AND e.n = b.n),
+changes AS (
+  SELECT producer, file_name, coalesce(old_path, new_path) AS field, CASE WHEN old_path IS NULL THEN 'added' WHEN new_path IS NULL THEN 'removed' ELSE 'renamed' END AS change, old_path, new_path, old_type, new_type FROM pairs
+  UNION ALL SELECT producer, file_name, old_path, 'retyped', old_path, new_path, old_type, new_type FROM pairs WHERE old_path IS NOT NULL AND new_path IS NOT NULL AND old_type <> new_type
+  UNION ALL SELECT files.producer, file_name, a.path, 'retyped', a.path, b.path, a.kind, b.kind FROM files JOIN fields a ON a.producer = files.producer AND a.file_seq = before JOIN fields b ON b.producer = files.producer AND b.file_seq = files.file_seq AND b.path = a.path WHERE a.kind <> b.kind)
 """
 
 
-@query(DRIFT_SQL)
+@query(DRIFT_SQL + "SELECT file_name, field, change FROM changes")
 def p2_found(spark, d):
     return drift.changes(table(spark, d, "log_records", spread=True)).select("file_name", "field", "change")
 
 
-@query()
+@query(DRIFT_SQL + "SELECT * FROM changes")
 def p2_changes(spark, d):
     return drift.changes(table(spark, d, "log_records", spread=True))
 
 
-@query()
+@query(DRIFT_SQL + """
+, uses AS (SELECT t.producer, path, told, kind, file_name, ord, next_file, CASE WHEN ord = lag(ord) OVER w + 1 AND kind = lag(kind) OVER w THEN 0 ELSE 1 END AS new
+  FROM told t JOIN files USING (producer, file_seq) WINDOW w AS (PARTITION BY t.producer, path ORDER BY ord)),
+islands AS (SELECT *, sum(new) OVER (PARTITION BY producer, path ORDER BY ord) AS island FROM uses)
+SELECT producer, path AS field, any_value(kind) AS type, min(ord) AS first_ord, max(ord) AS last_ord, arg_min(file_name, ord) AS first_file, arg_max(file_name, ord) AS last_file,
+  arg_max_null(next_file, ord) AS next_file, any_value(told) AS information FROM islands GROUP BY producer, path, island
+""")
 def p2_catalogue(spark, d):
     return drift.lifespans(table(spark, d, "log_records", spread=True))
 
@@ -598,9 +640,9 @@ def graph_degrees(spark, d):
 , reach AS (SELECT src AS s, dst AS t, 1 AS hops FROM one UNION SELECT s, dst, hops + 1 FROM reach JOIN one ON t = src WHERE hops < (SELECT count(DISTINCT src) FROM one)),
 far AS (SELECT s, t, min(hops) AS d FROM reach GROUP BY s, t),
 via AS (SELECT f.s, f.t, min(e.dst) AS nxt FROM far f JOIN one e ON e.src = f.s LEFT JOIN far g ON g.s = e.dst AND g.t = f.t WHERE (f.d = 1 AND e.dst = f.t) OR (f.d > 1 AND e.dst <> f.t AND g.d = f.d - 1) GROUP BY ALL),
-walks AS (SELECT e.src AS u, e.dst AS at, [e.dst] AS nodes FROM one e JOIN far f ON f.s = e.dst AND f.t = e.src
-  UNION ALL SELECT u, nxt, list_append(nodes, nxt) FROM walks JOIN via ON via.s = at AND via.t = u WHERE at <> u),
-closed AS (SELECT nodes, list_position(nodes, list_min(nodes)) AS p FROM walks WHERE at = u)
+walks AS (SELECT e.src AS u, e.dst AS here, [e.dst] AS nodes FROM one e JOIN far f ON f.s = e.dst AND f.t = e.src
+  UNION ALL SELECT u, nxt, list_append(nodes, nxt) FROM walks JOIN via ON via.s = here AND via.t = u WHERE here <> u),
+closed AS (SELECT nodes, list_position(nodes, list_min(nodes)) AS p FROM walks WHERE here = u)
 SELECT DISTINCT nodes[p:] || nodes[1:p - 1] AS nodes, len(nodes) AS length FROM closed
 """)
 def graph_cycles(spark, d):
