@@ -7,7 +7,8 @@ linear in the mean difficulty of its words, and the odds of its level k rather t
 Labels that people gave to some documents fix the scale. Difficulties and abilities are estimated in turn, each by
 maximum likelihood given the other: the difficulty of a word depends on the mean level of its occurrences, with
 documents at the levels expected of them, and the ability of a labelled document is told without its own occurrences,
-so that it is no more certain than that of any other. The rounds end when documents hardly change their level.
+so that it is no more certain than that of any other. The rounds end when documents hardly change their level, or when
+the labels get no likelier.
 
 Words are pieces of a public tokenizer and pairs of neighbouring pieces, so unknown words count by their parts and plain
 words by the company they keep. Sums are formed where the documents are read; what travels is one row per word and task,
@@ -223,6 +224,9 @@ def _linked(x: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, float]:
 def fitted(docs: DataFrame) -> tuple[Model | None, list[tuple[int, float, float]]]:
     """The model, and of each round the log likelihood of the labels and the change of the levels; None without labels that can be used.
 
+    The rounds end when levels hardly change, or with the first that makes the labels less likely, which doesn't count:
+    with few labels, difficulties would follow whatever else tells the unlabelled documents apart.
+
     docs: those of ``measured``, stored.
     """
     anchored = stored(docs.where("anchor is not null"), "anchors")
@@ -237,8 +241,10 @@ def fitted(docs: DataFrame) -> tuple[Model | None, list[tuple[int, float, float]
         x, share = _without_own(anchored, sums, scale)
         centre, spread = float(x.mean()), float(x.std()) or 1.0
         link, likelihood = _linked((x - centre) / spread, share)
-        before, model = model, Model(scale.difficulty(sums[:BUCKETS, 0], sums[:BUCKETS, 1]), centre, spread, link)
         rounds.append((len(rounds) + 1, likelihood, np.inf))
+        if len(rounds) > 1 and likelihood < rounds[-2][1]:
+            return model, rounds
+        before, model = model, Model(scale.difficulty(sums[:BUCKETS, 0], sums[:BUCKETS, 1]), centre, spread, link)
 
 
 def _words_of(documents: DataFrame, labels: DataFrame, tokenizer: str, folder: str) -> DataFrame:
