@@ -255,6 +255,43 @@ def test_ids_round_trip_nulls_and_long_texts(spark, reference):
     assert tokens.encode(df.limit(0)).count() == 0
 
 
+def test_scan_is_that_of_one_step_after_the_other(monkeypatch):
+    after, begins = tokens._automaton()
+    random.seed(5)
+    for block in (1, 3, 64):
+        monkeypatch.setattr(tokens, "BLOCK", block)
+        for n in (1, 2, 63, 64, 65, 500):
+            symbols = np.array([random.randrange(9) for _ in range(n)], np.uint8)
+            state, want = 0, []
+            for x in symbols.tolist():
+                want.append(bool(begins[x * 8 + state]))
+                state = int(after[x * 8 + state])
+            assert tokens._scan(symbols).tolist() == want
+
+
+def test_offsets_tell_where_each_piece_stands(spark, monkeypatch):
+    texts = [None, "", "it's a  test\n\n of 12 é😀 things", "x y " * 50]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in tokens.decode(tokens.encode(df, offsets=True)).collect():
+        t = texts[r.doc_id] or ""
+        cut = [t[a:b] for a, b in zip(r.starts, [*r.starts[1:], len(t)])]
+        assert r.decoded == t and "".join(cut) == t and sum(r.sizes) == len(r.ids)
+        assert r.doc_id != 2 or cut == ["it", "'s", " a", " ", " test", "\n\n", " of", " 12", " é", "😀", " things"]
+    with pytest.raises(ValueError):
+        tokens._placed([b"a", b"b"], [0, 2], [1, 1])
+    monkeypatch.setattr(tokens, "LONG", 16)
+    whole, parts = tokens.encoder(RANKS)._encode(texts[2:]), tokens.encoder(RANKS).encode_pieces(texts[2:])
+    assert all(a.tolist() == b.tolist() for a, b in zip(whole, parts))
+
+
+def test_a_full_cache_starts_anew(monkeypatch, reference):
+    monkeypatch.setattr(tokens, "CACHE", 2000)
+    enc = tokens.Encoder(RANKS)
+    for i in range(30):
+        text = " ".join(f"word{j}" for j in range(i * 10, i * 10 + 15))
+        assert enc.encode([text])[0].tolist() == reference.encode_ordinary(text) and enc.held < 12_000
+
+
 # --- packing
 
 

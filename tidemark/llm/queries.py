@@ -76,6 +76,12 @@ def p7_ids(spark, d):
     return tokens.encode(table(spark, d, "documents", spread=True))
 
 
+@query("SELECT doc_id, coalesce(text, '') AS decoded FROM documents")
+def p7_decoded(spark, d):
+    """Every text put together again from its ids and the offsets of its pieces."""
+    return tokens.decode(tokens.encode(table(spark, d, "documents", spread=True), offsets=True)).select("doc_id", "decoded")
+
+
 @query()
 def p8_containers(spark, d):
     return packing.containers(table(spark, d, "documents", spread=True))
