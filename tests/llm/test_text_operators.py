@@ -324,6 +324,30 @@ def test_neighbours_share_a_container(spark):
     assert kind.groupby(out.container).nunique().mean() < 1.6
 
 
+def test_scores_are_bm25_of_all_words():
+    random.seed(7)
+    texts = [[random.randrange(40) for _ in range(random.randint(0, 30))] for _ in range(60)]
+    idf = np.random.default_rng(1).random(40).astype(np.float32)
+    pairs = [sorted({(t, x.count(t)) for t in x}) for x in texts]
+    terms, freqs = (np.array([p[k] for x in pairs for p in x]) for k in (0, 1))
+    lengths = np.array([max(1, len(x)) for x in texts], float)
+    index = packing._Index(terms, freqs, np.concatenate(([0], np.cumsum([len(x) for x in pairs]))), lengths, idf)
+    for seed in range(60):
+        words = {t for t, _ in pairs[seed]}
+        for i, score in enumerate(index.scores(seed)):
+            norm = packing.K1 * (1 - packing.B + packing.B * lengths[i] / lengths.mean())
+            assert score == pytest.approx(sum(idf[t] * f * (packing.K1 + 1) / (f + norm) for t, f in pairs[i] if t in words), rel=1e-4)
+
+
+def test_words_of_other_scripts_have_neighbours_and_full_parts_have_numbers_of_their_own(spark):
+    texts = [w * 3 for w in ("книга берег ", "山川草木 ", "βιβλίο θάλασσα ") for _ in range(6)]
+    sized = packing.measured(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(r.terms for r in sized)
+    out = packed(spark, ["a b c d e f g h " * 40] * 50)
+    full = out[out.n_tokens == 64]
+    assert len(full) > 100 and full.container.nunique() == len(full)
+
+
 def test_packing_an_empty_table(spark):
     assert packing.containers(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

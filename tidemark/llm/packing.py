@@ -2,8 +2,9 @@
 
 Documents are measured in tokens and sorted by their rarest words over the whole cluster, so that like texts lie in
 one run, however many there are. Runs are cut into shards of bounded size. Within a shard an inverted index with BM25
-returns the unused neighbours of each seed, the largest text left, and they fill its window greedily; what room is
-left goes to the largest text that fits. Texts of containers with much room left meet again in a second round.
+returns the unused neighbours of each seed, the largest text left, by all of its words, and they fill its window greedily;
+what room is left goes to the largest text that fits. Texts of containers with much room left meet again in a second
+round, in as many tasks as their number asks for.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from tidemark.session import stored
 CAPACITY = 4096
 #: Texts in a shard: the bound of what a task holds at once.
 SHARD = 2048
-#: Words of a seed that look for neighbours: its rarest and most frequent.
-QUERY = 12
+#: Shards of the second round in a task: the more a task holds, the more its texts have to choose from.
+AGAIN = 8
 #: A container that is filled to less than this share is packed anew in the second round.
 FULL = 0.985
 #: The usual parameters of BM25.
@@ -33,11 +34,13 @@ PACKED = flat("container bigint, position int, doc_id bigint, part int, n_tokens
 
 
 def _word_ids(path: str) -> np.ndarray:
-    """Which ids are words or beginnings of words of three letters or more."""
+    """Which ids are words or parts of words, in any script: three letters or more after a blank, or letters beyond ASCII."""
     rank = ranks(path)
     out = np.zeros(max(rank.values()) + 1, bool)
     for piece, i in rank.items():
-        out[i] = len(piece) > 3 and piece[:1] == b" " and piece[1:].isalpha()
+        word = piece.lstrip(b" ")
+        # bytes beyond ASCII belong to letters of other scripts, often only a part of one
+        out[i] = (word.isalpha() and len(word) >= 3 and piece[:1] == b" ") or (any(x > 0xC3 for x in word) and not word.isascii())
     return out
 
 
@@ -93,21 +96,21 @@ class _Index:
         weight = (idf[terms] * freqs * (K1 + 1) / (freqs + norm[owner])).astype(np.float32)
         order = np.argsort(terms, kind="stable")
         self.owner, self.weight = owner[order], weight[order]
-        self.terms, first = np.unique(terms[order], return_index=True)
-        self.bounds = np.append(first, len(order))
-        # the words of each text that say most about it
-        strength = np.lexsort((-weight, owner))
-        rank = np.arange(len(owner)) - offsets[owner[strength]]
-        top = strength[rank < QUERY]
-        self.query_terms, self.query_offsets = terms[top], np.searchsorted(owner[top], np.arange(len(lengths) + 1))
-        self.n = len(lengths)
+        known, first = np.unique(terms[order], return_index=True)
+        bounds = np.append(first, len(order))
+        # where the posting list of each word of each text begins, and how long it is
+        at = np.searchsorted(known, terms)
+        self.low, self.long, self.offsets, self.n = bounds[at], np.diff(bounds)[at], offsets, len(lengths)
 
     def scores(self, seed: int) -> np.ndarray:
-        out = np.zeros(self.n, np.float32)
-        for at in np.searchsorted(self.terms, self.query_terms[self.query_offsets[seed] : self.query_offsets[seed + 1]]):
-            low, high = self.bounds[at], self.bounds[at + 1]
-            out[self.owner[low:high]] += self.weight[low:high]  # a text occurs once in a posting list
-        return out
+        """Scores of all texts for all words of the seed: its posting lists, one behind the other, summed by text."""
+        mine = slice(self.offsets[seed], self.offsets[seed + 1])
+        low, long = self.low[mine], self.long[mine]
+        ends = np.cumsum(long)
+        if not len(ends):
+            return np.zeros(self.n)
+        place = np.repeat(low - (ends - long), long) + np.arange(int(ends[-1]))
+        return np.bincount(self.owner[place], self.weight[place], self.n)
 
 
 def _fill(sizes: np.ndarray, index: _Index, capacity: int) -> list[list[int]]:
@@ -188,8 +191,11 @@ def _shards(batches):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _neighbours(items: DataFrame, idf: np.ndarray) -> DataFrame:
-    """Items sorted by the words that say most about them, over all partitions; doc_id and part split a run of equal texts."""
+def _neighbours(items: DataFrame, idf: np.ndarray, partitions: int | None = None) -> DataFrame:
+    """Items sorted by the words that say most about them, over all partitions; doc_id and part split a run of equal texts.
+
+    Sorted by ranges into so many partitions, by default as many as Spark chooses.
+    """
     n = len(idf)
 
     def key(batches):
@@ -210,7 +216,8 @@ def _neighbours(items: DataFrame, idf: np.ndarray) -> DataFrame:
 
     keyed = items.mapInArrow(key, T.StructType([*items.schema, T.StructField("_key", T.LongType())]))
     order = ["_key", "doc_id", "part"]
-    return keyed.repartitionByRange(*order).sortWithinPartitions(*order).drop("_key")
+    ranged = keyed.repartitionByRange(partitions, *order) if partitions else keyed.repartitionByRange(*order)
+    return ranged.sortWithinPartitions(*order).drop("_key")
 
 
 def containers(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = BYTE_BPE, folder: str = TOKENIZERS) -> DataFrame:
@@ -224,12 +231,12 @@ def containers(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str =
     sized = stored(measured(documents, tokenizer, folder), "sizes")
     idf = _rarity(sized, max(ranks(path).values()) + 1)
     whole = F.floor(F.col("n_tokens") / F.lit(capacity)).cast("int")
-    # parts that fill a container alone; numbered apart from all others by document and part
+    # parts that fill a container alone; numbered apart from all others by partition and place of stored rows
     full = sized.where(F.col("n_tokens") >= capacity).select(
         "doc_id", F.posexplode(F.sequence(F.lit(0), whole - 1)).alias("part", "_"),
     )
     full = full.select(
-        (F.lit(3 << 60) + F.xxhash64("doc_id", "part").bitwiseAND(F.lit((1 << 60) - 1))).alias("container"),
+        (F.lit(3 << 60) + F.monotonically_increasing_id()).alias("container"),
         F.lit(0).alias("position"), "doc_id", "part", F.lit(capacity).alias("n_tokens"), F.lit(0).alias("room"),
     )
     rest = (F.col("n_tokens") % capacity).cast("int")
@@ -237,8 +244,9 @@ def containers(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str =
     first = stored(_pack(_neighbours(items, idf), idf, capacity, 1), "packed")
     roomy = F.col("room") > int((1 - FULL) * capacity)
     again = first.where(roomy).select(*ITEMS.names)
-    # the texts left over are few; larger partitions give them more to choose from
-    second = _pack(_neighbours(again, idf).coalesce(max(1, documents.sparkSession.sparkContext.defaultParallelism // 4)), idf, capacity, 2)
+    # as many tasks as the texts left over need, each with several shards: the work is split at any size
+    tasks = -(-again.count() // (SHARD * AGAIN)) or 1
+    second = _pack(_neighbours(again, idf, tasks), idf, capacity, 2)
     columns = ["container", "position", "doc_id", "part", "n_tokens", "room"]
     nothing = sized.where("n_tokens = 0").select(F.lit(None).cast("bigint").alias("container"), F.lit(None).cast("int").alias("position"), "doc_id", F.lit(0).alias("part"), F.lit(0).alias("n_tokens"), F.lit(None).cast("int").alias("room"))
     return first.where(~roomy).select(*columns).unionByName(second.select(*columns)).unionByName(full).unionByName(nothing)
