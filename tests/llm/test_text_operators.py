@@ -87,6 +87,21 @@ def test_layout_equals_a_plain_reading():
         assert round(got["shapes"][i] * max(1, len(code))) == len({shape(x) for x in code})
 
 
+def test_profiles_are_equal_where_lines_hold_the_same():
+    random.seed(4)
+    texts = ["\n".join(random.choice(["a1", "b 2", "a_b", "", "  ", "12", "é(", "xx"]) for _ in range(random.randint(1, 3))).encode() + b"\n" for _ in range(300)]
+    heads = [random.choice([0, t.index(b"\n") + 1]) for t in texts]
+    got = handwritten._measure(texts, heads)["profile"]
+    letter = set(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_") | set(range(128, 256))
+
+    def plain(t, h):
+        parts = [bytes(c for c in x if c not in b" \t") for x in t[h:].split(b"\n")]
+        return tuple((len(x), sum(c in b"0123456789" for c in x), sum(c in letter for c in x)) for x in parts if x)
+
+    pairs = {(plain(t, h), p) for t, h, p in zip(texts, heads, got.tolist())}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
 # --- conversations
 
 ENTRY = "entry_id long, entry_uuid string, file_name string, line_no int, session_id string, entry_type string, logged_at string, message_json string, received_at timestamp, role string, text string"

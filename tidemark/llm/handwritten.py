@@ -2,9 +2,10 @@
 
 Layout statistics with thresholds per language find files made by programs, minified files and bulk data:
 longest and mean line, share of white space and of letters and digits, numeric literals, long encoded runs,
-repetition of line shapes and identifiers that carry a counter. Layout can't tell a copy of third-party code from
-code of the project, so copies are found by the hash of the code below the head comment, by the head comment
-itself and by the folders that package managers use.
+repetition of line shapes and identifiers that carry a counter. Copies of third-party code are laid out like any other
+code, so they are found by layouts that several projects share: a profile of the ink, letters and digits of every line
+below the head comment, confirmed by the hash of that code, since short files can be laid out alike by chance. What no
+layout shows, a head comment or the folders that package managers use may tell.
 """
 
 from __future__ import annotations
@@ -51,24 +52,17 @@ LEAST_COPY = 120
 #: Folders in which package managers and people keep other people's packages.
 VENDOR_FOLDER = r"/(?:vendor|node_modules|bower_components|third_party|thirdparty|third-party|external|Pods|deps|contrib)/[^/]+/"
 
-#: Words by which a head comment says that a program wrote the file.
-MADE = (
-    r"(?i)auto-?generated|generated\s+(?:by|from|on|with|using)\b|@generated|(?:created|written|produced|emitted|built) by [\w.-]+ (?:v?\d|\()"
-    r"|do not (?:edit|modify|change|touch)|automatisch (?:erzeugt|generiert)|généré|generado|changes will be (?:lost|overwritten)"
-    r"|edit \S+ instead|this is a generated|machine[- ]generated"
-)
-#: Words by which a head comment names another origin.
-FOREIGN = (
-    r"(?i)\bupstream\b|\bverbatim\b|redistribution (?:is )?permitted|licensed separately|\bcopied from\b|\bvendored\b"
-    r"|\bthird[- ]party\b|\borigin: \S+ v?\d|\bimported from\b"
-)
+#: Own words by which a head comment says that a program wrote the file, among them the marks that code review tools look for.
+MADE = r"(?i)\bauto-?generated\b|(?<!not )\bgenerated (?:by|from|with|using|code|file)\b|@generated|\bdo not (?:edit|modify)\b"
+#: Own words by which a head comment names another origin.
+FOREIGN = r"(?i)\bupstream\b|\bverbatim\b|\bredistribut(?:ion|ed)\b|\blicen[cs]ed separately\b|\bcopied from\b|\bvendored\b|\bthird[- ]party\b|\bimported from\b"
 #: Head comment: the comment lines before the first line of code.
 HEAD = re.compile(rb"(?:[ \t]*(?:(?://|#(?!\s*(?:include|define|if|ifdef|ifndef|endif|else|pragma|!?\[))|/?\*|--|<!--)[^\n]*)?\n)+")
 LAYOUT = (
     "size bigint, lines bigint, max_line bigint, mean_line double, packed double, short_lines bigint, space double, alnum double, numbers double,"
-    " encoded_run bigint, encoded double, code_lines bigint, shapes double, counters double"
+    " encoded_run bigint, encoded double, code_lines bigint, shapes double, counters double, profile bigint"
 )
-LAYOUT_COLUMNS = tuple(x.split()[0] for x in LAYOUT.split(","))
+LAYOUT_COLUMNS = tuple(x.split()[0] for x in LAYOUT.split(",") if "profile" not in x)
 _CHUNK = 4 << 20
 
 
@@ -117,8 +111,11 @@ def _runs(mask: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
-def _measure(texts: list[bytes]) -> dict[str, np.ndarray]:
-    """The layout of each text; all texts are measured at once as one array of bytes. A line break ends every text."""
+def _measure(texts: list[bytes], heads: list[int] | None = None) -> dict[str, np.ndarray]:
+    """The layout of each text; all texts are measured at once as one array of bytes. A line break ends every text.
+
+    heads: lengths of the head comments, which the profile leaves out.
+    """
     n = len(texts)
     data = np.frombuffer(b"".join(texts), np.uint8)
     ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
@@ -175,6 +172,13 @@ def _measure(texts: list[bytes]) -> dict[str, np.ndarray]:
     code_size = np.bincount(owner, weights=np.where(code_line, length, 0), minlength=n)
     visible = np.bincount(owner[ink > 0], minlength=n)
     over = lambda a, b: a / np.maximum(b, 1)
+    # the profile: what each line below the head comment holds, in order, in one number
+    body = (ink > 0) & (lines[:-1] >= (cuts[:-1] + np.array(heads if heads else [0] * n, np.int64))[owner])
+    place = np.cumsum(body) - 1
+    first_line = np.searchsorted(owner[body], np.arange(n))
+    what = _mixed(_mixed(_mixed(ink.astype(np.uint64)) + _sums(digit, lines).astype(np.uint64)) + _sums(letter, lines).astype(np.uint64))[body]
+    terms = np.concatenate(([np.uint64(0)], np.cumsum(what * _powers(max(1, len(what)))[place[body] - first_line[owner[body]]], dtype=np.uint64)))
+    bounds = np.append(first_line, len(what))
     return {
         "size": size,
         "lines": visible,
@@ -190,9 +194,16 @@ def _measure(texts: list[bytes]) -> dict[str, np.ndarray]:
         "code_lines": code_lines,
         "shapes": over(distinct, code_lines),
         "counters": over(np.bincount(of_text[begin[counter]], minlength=n), code_lines),
+        "profile": (terms[bounds[1:]] - terms[bounds[:-1]]).view(np.int64),
     }
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Numbers spread over all bits."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
 @lru_cache(maxsize=4)
 def _grown(n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
@@ -223,7 +234,7 @@ def layout(files: DataFrame, content: str = "content") -> DataFrame:
                 part = texts[low:high]
                 heads = [m.group() if (m := HEAD.match(t)) else b"" for t in part]
                 bodies = [t[len(h) :].translate(None, b" \t\n\f\v") for t, h in zip(part, heads)]
-                found = _measure(part)
+                found = _measure(part, list(map(len, heads)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(f.name).slice(low, high - low) for f in others]
                     + [pa.array(v) for v in found.values()]
@@ -257,14 +268,9 @@ def classify(files: DataFrame, contents: DataFrame) -> DataFrame:
     f = f.withColumn("extension", F.regexp_extract("path", r"(\.[A-Za-z]+)$", 1)).where(F.col("extension").isin(*EXTENSIONS))
     # contents are measured where they are read; text itself is never shuffled
     measured = layout(contents.select(F.col("file_id").alias("_id"), "content"))
-    # a statement about a head comment that the code writes elsewhere isn't one of this file
-    made = F.exists(
-        F.split("head", "\n"), lambda x: x.rlike(MADE) & ~x.rlike(r"[=:]\s*\"") & ~x.rlike(r"(?i)(?:reports?|outputs?|templates?) (?:are|is) generated")
-    )
-    measured = measured.withColumns({"_made": made, "_foreign": F.col("head").rlike(FOREIGN)}).drop("head")
-    # stored, since the copies and the result both need it: contents are read and measured once
-    measured = stored(measured, "layout")
-    df = f.join(measured, f.file_id == measured._id, "left").drop("_id")
+    measured = measured.withColumns({"_made": F.col("head").rlike(MADE), "_foreign": F.col("head").rlike(FOREIGN)}).drop("head")
+    # stored, since the copies and the result both need it: contents are read, measured and joined once
+    df = stored(f.join(measured, f.file_id == measured._id, "left").drop("_id"), "layout")
     at = lambda name: F.col(name)
     limit = lambda name: _threshold(F.col("extension"), name)
     repeated = (at("code_lines") >= limit("least")) & (at("shapes") <= limit("shapes"))
@@ -273,17 +279,19 @@ def classify(files: DataFrame, contents: DataFrame) -> DataFrame:
         "data": (at("encoded_run") >= ENCODED_RUN) | (at("encoded") >= ENCODED_SHARE) | ((at("numbers") >= limit("numbers")) & repeated & (at("counters") < limit("counters"))) | (at("numbers") >= 8),
         "generated": F.col("_made") | (repeated & (at("counters") >= limit("counters"))),
         "foreign": F.coalesce("_foreign", F.lit(False)) | F.col("path").rlike(VENDOR_FOLDER),
-        "_key": F.col("body_hash"),
-    }).drop("_made", "_foreign", "body_hash")
-    # copies: the body stands in another project too, or one of its copies lies in a vendor folder or names its origin
+    }).drop("_made", "_foreign")
+    # copies: a file of this layout and code stands in another project too, or one of them lies in a vendor folder or names its origin
+    told = F.col("body_hash").isNotNull()
     copies = (
-        df.where(F.col("_key").isNotNull())
-        .groupBy(F.col("_key").alias("_copied"))
+        df.where(told)
+        .groupBy(F.col("profile").alias("_profile"), F.col("body_hash").alias("_copied"))
         .agg(F.min("project_id").alias("_a"), F.max("project_id").alias("_z"), F.max("foreign").alias("_f"))
         .where((F.col("_a") != F.col("_z")) | F.col("_f"))
-        .select("_copied")
+        .select("_profile", "_copied")
     )
-    df = df.join(copies, F.col("_key") == F.col("_copied"), "left")
+    # short files have no hash: they are left out of the join, where they would all meet
+    joined = df.where(told).join(copies, F.expr("profile = _profile and body_hash = _copied"), "left").drop("_profile")
+    df = joined.unionByName(df.where(~told).withColumn("_copied", F.lit(None).cast("bigint")))
     no = lambda c: F.coalesce(F.col(c), F.lit(False))
     kind = (
         F.when(no("minified"), "minified")
