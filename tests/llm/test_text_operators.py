@@ -159,9 +159,10 @@ def test_links_find_calls_at_any_distance_and_compare_all_words(spark, monkeypat
     turns = [turn(0, "user", "start"), turn(1, "assistant", [{"type": "tool_use", "id": "far"}])]
     turns += [turn(i, "assistant", "between") for i in range(2, 30)] + [turn(30, "user", [{"type": "tool_result", "tool_use_id": "far"}])]
     df = spark.createDataFrame(turns, ENTRY)
-    for chunk in (conversations.CHUNK, 8):
-        monkeypatch.setattr(conversations, "CHUNK", chunk)
-        got = {r.position: r.parent for r in conversations.links(conversations.positions(conversations.entries_once(df))).collect()}
+    placed = conversations.positions(conversations.entries_once(df))
+    monkeypatch.setattr(conversations, "CHUNK", 8)
+    for rows_ in (placed, placed.repartitionByRange(6, "position").sortWithinPartitions("position")):
+        got = {r.position: r.parent for r in conversations.links(rows_).collect()}
         assert len(got) == 31 and got[30] == 1
     assert len(conversations._words(" ".join(map(str, range(100))))) == 100
 
@@ -179,7 +180,7 @@ def scores(messages):
             c = messages[i]
             passed = 0 if m.at is None else conversations.UNKNOWN if c.at is None else max(0, (m.at - c.at).total_seconds())
             common = len(set(m.words or []) & set(c.words or [])) / max(1, min(len(m.words or []), len(c.words or [])))
-            mention = i in calls.values() or (p - i <= conversations.NEAR and set(m.answers or []) & set(c.calls or []))
+            mention = i in calls.values()
             told = w["turn"] if kind(m) == 2 and i == asked > replied else w["mention"] if mention else w["words"] * common
             best = max(best or (-math.inf, -1), (told + w["time"] * math.log1p(passed + conversations.STEP * (p - i)) + w["speaker"] * (m.entry_type != c.entry_type), i))
         out[p] = best[1] if best and (kind(m) != 1 or best[0] > conversations.TIED) else None
@@ -200,23 +201,27 @@ def test_links_are_the_best_of_all_earlier_messages(spark, monkeypatch):
     placed = conversations.positions(once)
     rows_ = sorted(placed.collect(), key=lambda r: (r.session_id, r.position))
     want = {(s, p): parent for s in ("a", "b") for p, parent in scores([r for r in rows_ if r.session_id == s]).items()}
-    for chunk in (conversations.CHUNK, 16):
-        monkeypatch.setattr(conversations, "CHUNK", chunk)
-        assert {(r.session_id, r.position): r.parent for r in conversations.links(placed).collect()} == want
-    assert any(p - parent > conversations.NEAR * conversations.GROWTH for (_, p), parent in want.items() if parent is not None)
+    assert {(r.session_id, r.position): r.parent for r in conversations.links(placed).collect()} == want
+    # cut into pieces of a few rows each, with small windows and chunks: most searches go on in the rows of other tasks
+    monkeypatch.setattr(conversations, "CHUNK", 16)
+    monkeypatch.setattr(conversations, "WINDOW", 4)
+    monkeypatch.setattr(conversations, "GROWTH", 2)
+    cut = placed.repartitionByRange(40, "session_id", "position").sortWithinPartitions("session_id", "position")
+    assert {(r.session_id, r.position): r.parent for r in conversations.links(cut).collect()} == want
+    assert any(p - parent > 64 for (_, p), parent in want.items() if parent is not None)
 
 
 def test_reply_links_decide_which_conversations_are_dropped(spark):
     turns = [turn(1, "user", "q"), turn(2, "assistant", "a"), turn(3, "user", "r"), turn(4, "assistant", "b"), turn(5, "user", "x", session="t"), turn(6, "user", "y", session="t"), turn(7, "assistant", "z", session="t")]
     once = conversations.entries_once(spark.createDataFrame(turns, ENTRY))
     linked = conversations.links(conversations.positions(once))
-    drop = lambda of: {r.session_id for r in conversations.reasons(once, of).where("no_reply").collect()}
+    drop = lambda of: {r.session_id for r in conversations.reasons(conversations.session_facts(once), of).where("no_reply").collect()}
     assert drop(linked) == {"t"}
     assert drop(linked.withColumn("parent", F.lit(None).cast("bigint"))) == {"s", "t"}
     assert drop(linked.withColumn("parent", F.lit(0).cast("bigint"))) == {"s", "t"}  # the second question has lost its reply
 
 
-def test_chunks_dont_change_conversations(spark, monkeypatch):
+def test_the_cut_into_tasks_doesnt_change_conversations(spark, monkeypatch):
     random.seed(8)
     turns, n = [], 0
     for s in range(30):
@@ -225,12 +230,13 @@ def test_chunks_dont_change_conversations(spark, monkeypatch):
             kind = random.choice(["user", "assistant"])
             turns.append(turn(n, kind, random.choice(["text of " + random.choice("abc"), [{"type": "tool_use", "id": f"t{n}"}], [{"type": "tool_result", "tool_use_id": f"t{n - 1}"}], "  "]), session=f"s{s}"))
     df = spark.createDataFrame(turns, ENTRY)
-    once = conversations.entries_once(df)
-    whole = sorted((r.session_id, r.position, r.parent) for r in conversations.links(conversations.positions(once)).collect())
-    drop = dropped(spark, turns)
+    placed = conversations.positions(conversations.entries_once(df))
+    told = lambda of: sorted((r.session_id, r.position, r.parent if r.parent is not None else -1) for r in conversations.links(of).collect())
+    whole = told(placed)
     monkeypatch.setattr(conversations, "CHUNK", 8)
-    assert sorted((r.session_id, r.position, r.parent) for r in conversations.links(conversations.positions(once)).collect()) == whole
-    assert dropped(spark, turns) == drop
+    monkeypatch.setattr(conversations, "WINDOW", 2)
+    for n in (7, 150):
+        assert told(placed.repartitionByRange(n, "session_id", "position").sortWithinPartitions("session_id", "position")) == whole
 
 
 # --- tokens

@@ -5,14 +5,15 @@ time between them, by mentions (a tool result names the call it answers), by tur
 drawn to it), by shared words and by the change of speaker. The likeliest is its parent; a question that nothing ties to
 an earlier message starts a tree. A question is answered if a reply before the next question has it as its parent.
 
-All earlier messages are candidates, but few need a look: time only lowers the score of older ones, so once the best
-score so far is above what any older message could reach, the search of a message ends. The nearest are scored for all
-messages at once, further ones only for messages that are still open, in windows that grow. A session may hold any share
-of all rows: it is cut by position into chunks of bounded size, and what came before a chunk is carried into it.
+All earlier messages are candidates, but few need a look: time only lowers the score of older ones, so a message looks
+back until no older one could be better than the best so far. Messages lie sorted by session and time over all tasks, and
+each task looks back as far as its own rows go. A session may hold any share of all rows: where one begins in an earlier
+task, the messages whose search isn't over at the first row of a task go on by joins, in windows that grow.
 """
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from functools import lru_cache
 
@@ -27,9 +28,9 @@ from tidemark.functions.schemas import flat
 from tidemark.operators.nested import parsed, utf8
 from tidemark.session import stored
 
-#: Messages that are scored for every message; the windows after that grow by GROWTH.
-NEAR, GROWTH = 8, 8
-#: Positions of a session in one chunk; at least NEAR.
+#: Messages of the first window in which a search goes on before a task's rows, and how windows grow.
+WINDOW, GROWTH = 64, 8
+#: Positions of a session in one chunk, where calls are looked up by their ids.
 CHUNK = 8192
 #: Weights of the score: per factor e of time, for a mention, for the open question that a reply follows, for the share of
 #: common words, for the other speaker.
@@ -42,7 +43,7 @@ TIED = -2.0
 HIDDEN = "\u034f\u115f\u1160\u17b4\u17b5\u2800\u3164\uffa0" + "".join(map(chr, range(0xFE00, 0xFE10)))
 FACTS = flat(
     "parses boolean, role string, has_text boolean, tool_use boolean, tool_result boolean, calls array<string>,"
-    " answers array<string>, words array<bigint>"
+    " answers array<string>, words array<int>"
 )
 
 
@@ -57,7 +58,7 @@ def visible(text) -> bool:
 
 
 def _words(text: str) -> list[int]:
-    return sorted({xxhash.xxh3_64_intdigest(w.encode(errors="replace")) >> 1 for w in set(text.lower().split())})
+    return sorted({xxhash.xxh32_intdigest(w.encode(errors="replace")) - (1 << 31) for w in set(text.lower().split())})
 
 
 def _blocks(content) -> list[dict]:
@@ -105,7 +106,7 @@ def entries_once(entries: DataFrame) -> DataFrame:
             kinds = batch.column("entry_type").to_pylist()
             rows = [_facts(m) if k in message_types else (None,) * len(FACTS) for k, m in zip(kinds, batch.column("message_json").to_pylist())]
             columns = list(zip(*rows)) or [()] * len(FACTS)
-            types = [pa.bool_(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int64())]
+            types = [pa.bool_(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(f.name) for f in others] + [pa.array(c, t) for c, t in zip(columns, types)], names=[f.name for f in others] + FACTS.names
             )
@@ -128,8 +129,8 @@ def texts(entries: DataFrame) -> DataFrame:
     return entries.where(F.col("entry_type").isin("user", "assistant")).select("entry_id", "message_json").mapInArrow(read, schema)
 
 
-def positions(once: DataFrame) -> DataFrame:
-    """Messages with their position in the session, by instant, then line_no, then entry.
+def positions(once: DataFrame, instead: DataFrame | None = None) -> DataFrame:
+    """Messages with their position in the session, by instant, then line_no, then entry; ``instead``: see ``stored``.
 
     All rows are sorted together by ranges, so a session with a third of them lies in many partitions; positions come
     from the counts of a session in each partition, which are few. A time that can't be read comes first.
@@ -138,7 +139,7 @@ def positions(once: DataFrame) -> DataFrame:
     messages = once.where(F.col("entry_type").isin("user", "assistant"))
     placed = messages.repartitionByRange(*order).sortWithinPartitions(*order)
     row = F.monotonically_increasing_id()
-    placed = stored(placed.withColumns({"_part": F.shiftright(row, 33), "_row": row.bitwiseAND(F.lit((1 << 33) - 1))}), "messages")
+    placed = stored(placed.withColumns({"_part": F.shiftright(row, 33), "_row": row.bitwiseAND(F.lit((1 << 33) - 1))}), "messages", instead)
     starts = placed.groupBy("session_id", "_part").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("session_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first"))
@@ -171,17 +172,10 @@ def _speaker(c: Column) -> Column:
     return WEIGHTS["speaker"] * (F.col("entry_type") != c["entry_type"]).cast("int")
 
 
-def _score(c: Column, mention: Column, turn: Column) -> Column:
-    """Struct of score and parent of a candidate. Where a mention tells the parent, words don't count."""
-    common = F.size(F.array_intersect("words", c["words"])) / F.greatest(F.least(F.size("words"), F.size(c["words"])), F.lit(1))
-    told = F.when(turn, WEIGHTS["turn"]).when(mention, WEIGHTS["mention"]).otherwise(WEIGHTS["words"] * common)
-    return F.struct((told + _time(_seconds(c), F.col("position") - c["position"]) + _speaker(c)).alias("score"), c["position"].alias("parent"))
-
-
 def _far_calls(placed: DataFrame) -> DataFrame:
-    """session, position and the best (score and parent) of the calls beyond the nearest messages that a message answers.
+    """session, position and the best (score and parent) of the calls that a message answers.
 
-    An id is that of the latest earlier call. The calls of an id are cut by position, like everything of a session.
+    An id is that of the latest earlier call. The calls of an id are cut by position, so that no task holds all of them.
     """
     chunk = F.floor(F.col("position") / F.lit(CHUNK))
     one = lambda ids: placed.select("session_id", "position", "at", "entry_type", F.explode(F.array_distinct(ids)).alias("id")).withColumn("_chunk", chunk)
@@ -201,76 +195,154 @@ def _far_calls(placed: DataFrame) -> DataFrame:
     later = lone.join(carried, F.expr("session_id <=> _session_id and id = _id and _c < _chunk and (_next is null or _next >= _chunk)")).withColumn("call", F.col("_last"))
     found = inside.where("_in is not null").withColumn("call", F.col("_in")).select("session_id", "position", "at", "entry_type", "call").unionByName(later.select("session_id", "position", "at", "entry_type", "call"))
     c = F.col("call")
-    found = found.where(c["position"] < F.col("position") - NEAR)
     score = F.struct((WEIGHTS["mention"] + _time(_seconds(c), F.col("position") - c["position"]) + _speaker(c)).alias("score"), c["position"].alias("parent"))
     return found.groupBy("session_id", "position").agg(F.max(score).alias("_far"))
 
 
-#: Columns of a message that links keep.
-KEPT = ("session_id", "position", "entry_id", "entry_type", "role", "at", "tool_use", "tool_result", "kind", "question")
-
-
-def _near(placed: DataFrame) -> DataFrame:
-    """KEPT, the best of the nearest messages and of the open question at any distance, and what a further search needs.
+#: Columns of a message that links keep, and those that a search hands on.
+KEPT = flat("session_id string, position bigint, entry_id bigint, entry_type string, role string, at timestamp, tool_use boolean, tool_result boolean")
+SEARCH = flat("kind int, question bigint, replied bigint, begin bigint, score double, parent bigint, seconds double, open boolean, words array<int>, answers array<string>")
+
+
+class _Piece:
+    """Messages of one session in a row, as one task holds them, and how each looks back at those before it."""
+
+    def __init__(self, begin: int):
+        self.begin = begin
+        self.at, self.type, self.raw, self.sets = [], [], [], []
+        self.calls: dict[str, int] = {}
+        self.asked = self.replied = None
+
+    def words(self, i: int) -> frozenset:
+        if self.sets[i] is None:
+            self.sets[i] = frozenset(self.raw[i])
+        return self.sets[i]
+
+    def add(self, at: int | None, type_: str, kind: int | None, calls: list, answers: list, words: list) -> tuple:
+        """The columns of SEARCH for the next message."""
+        here, w = len(self.at), WEIGHTS
+        self.at.append(at)
+        self.type.append(type_)
+        self.raw.append(words)
+        self.sets.append(None)
+
+        def plain(i: int) -> tuple[float, float]:
+            """Score of a candidate without words, and seconds since."""
+            passed = 0.0 if at is None else UNKNOWN if self.at[i] is None else max(0.0, (at - self.at[i]) / 1e6)
+            return w["time"] * math.log1p(passed + STEP * (here - i)) + w["speaker"] * (self.type[i] != type_), passed
+
+        best = (-math.inf, -1)
+        if kind == 2 and self.asked is not None and (self.replied is None or self.replied < self.asked):
+            best = (w["turn"] + plain(self.asked)[0], self.asked)
+        missing = []
+        for id_ in answers:
+            if (i := self.calls.get(id_)) is None:
+                missing.append(id_)
+            else:
+                best = max(best, (w["mention"] + plain(i)[0], i))
+        mentioned = {self.calls[id_] for id_ in answers if id_ in self.calls}
+        most, seconds, i = w["words"] + w["speaker"], 0.0, here - 1
+        while i >= 0:
+            base, seconds = plain(i)
+            if base + w["words"] > best[0] and i not in mentioned:
+                mine, other = self.words(here), self.words(i)
+                common = len(mine & other) / max(1, min(len(mine), len(other)))
+                best = max(best, (base + w["words"] * common, i))
+            if w["time"] * math.log1p(seconds + STEP * (here - i + 1)) + most <= best[0]:
+                break
+            i -= 1
+        history = self.begin > 0  # messages before the first row are with another task
+        # a search is open where it has come to the first row, where the call isn't among the rows, and where the question isn't
+        open_ = history and (i < 0 or bool(missing) or (kind == 2 and self.asked is None and self.replied is None))
+        out = (
+            kind, None if self.asked is None else self.begin + self.asked, None if self.replied is None else self.begin + self.replied, self.begin, best[0], self.begin + best[1] if best[1] >= 0 else None,
+            seconds, open_, words if open_ else None, missing if open_ else None,
+        )
+        if kind == 1:
+            self.asked = here
+        elif kind == 2:
+            self.replied = here
+        for id_ in calls:
+            self.calls[id_] = here
+        return out
+
+
+def _searched(placed: DataFrame) -> DataFrame:
+    """KEPT and SEARCH: the best parent among the rows of the same task. placed: sorted by session and position within each file."""
+    kept = [f for f in placed.schema if f.name in KEPT.names]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.string())]
+
+    def look(batches):
+        piece, session, last = None, None, None
+        for batch in batches:
+            out = []
+            at = batch.column("at").cast(pa.int64()).to_pylist()
+            columns = (batch.column(c).to_pylist() for c in ("session_id", "position", "entry_type", "_kind", "calls", "answers", "words"))
+            for t, s, p, type_, kind, calls, answers, words in zip(at, *columns):
+                if piece is None or s != session or p != last + 1:
+                    piece = _Piece(p)
+                session, last = s, p
+                out.append(piece.add(t, type_, kind, calls or (), answers or (), words or ()))
+            columns = list(zip(*out)) or [()] * len(SEARCH)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(f.name) for f in kept] + [pa.array(c, t) for c, t in zip(columns, types)], names=[f.name for f in kept] + SEARCH.names
+            )
 
-    ``question`` is the position of the last question before a message. ``_seconds`` are those to the furthest of the
-    nearest messages, and ``words`` are null where no older message can be better.
-    """
-    size = F.lit(CHUNK)
-    chunk = F.floor(F.col("position") / size)
-    told = F.struct("position", "at", "entry_type", "calls", "words")
-    df = placed.withColumns({"kind": _kind(), "_own": chunk})
-    # what the chunks before hold: their last question and their last reply
-    ends = df.groupBy("session_id", "_own").agg(F.max_by(F.when(F.col("kind") == 1, told), F.when(F.col("kind") == 1, F.col("position"))).alias("_q"), F.max(F.when(F.col("kind") == 2, F.col("position"))).alias("_r"))
-    earlier = Window.partitionBy("session_id").orderBy("_own").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(F.col("session_id").alias("_s"), F.col("_own").alias("_c"), F.last("_q", True).over(earlier).alias("_q0"), F.last("_r", True).over(earlier).alias("_r0")).where("_c > 0")
-    # the last rows of a chunk also stand before the next one
-    copies = F.when(F.pmod("position", size) >= CHUNK - NEAR, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
-    df = df.withColumn("_chunk", F.explode(copies))
-    inside = Window.partitionBy("session_id", "_chunk").orderBy("position")
-    back, all_ = inside.rowsBetween(-NEAR, -1), inside.rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumns({
-        "_before": F.collect_list(told).over(back), "_q": F.last(F.when(F.col("kind") == 1, told), True).over(all_), "_r": F.last(F.when(F.col("kind") == 2, F.col("position")), True).over(all_),
-    }).where("_own = _chunk")
-    df = df.join(carried, F.expr("session_id <=> _s and _chunk = _c"), "left")
-    df = df.withColumns({"_q": F.coalesce("_q", "_q0"), "_r": F.coalesce("_r", "_r0")}).withColumn("question", F.col("_q.position"))
-    # a reply is drawn to the last question unless an earlier reply has taken it
-    turn = F.coalesce((F.col("kind") == 2) & (F.coalesce(F.col("_r"), F.lit(-1)) < F.col("question")), F.lit(False))
-    mention = lambda c: F.coalesce(F.arrays_overlap("answers", c["calls"]), F.lit(False))
-    near = F.array_max(F.transform("_before", lambda c: _score(c, mention(c), turn & (c["position"] == F.col("question")))))
-    asked = F.when(turn, _score(F.col("_q"), F.lit(False), F.lit(True)))
-    df = df.withColumns({"_best": F.greatest(near, asked), "_seconds": _seconds(F.get("_before", F.lit(0)))})
-    return df.select(*KEPT, "_best", "_seconds", F.when(_open(NEAR), F.col("words")).alias("words"))
+    return placed.withColumn("_kind", _kind()).mapInArrow(look, T.StructType(kept + list(SEARCH)))
 
 
 def _open(reach: int) -> Column:
-    """Whether a message further back than ``reach`` could have a better score than the best so far."""
-    most = _time(F.col("_seconds"), F.lit(reach + 1)) + WEIGHTS["words"] + WEIGHTS["speaker"]
-    return (F.col("position") > reach) & (most > F.coalesce(F.col("_best.score"), F.lit(float("-inf"))))
+    """Whether a message further back than ``reach`` before the task's first row could have a better score than the best so far."""
+    most = _time(F.col("seconds"), F.col("position") - F.col("begin") + reach + 1) + WEIGHTS["words"] + WEIGHTS["speaker"]
+    return (F.col("begin") > reach) & (most > F.col("best.score"))
 
 
 def links(placed: DataFrame) -> DataFrame:
-    """KEPT, ``parent`` (position of the message replied to, null for the start of a tree) and ``score``: the best of all earlier messages."""
-    far = _far_calls(placed).withColumnsRenamed({"session_id": "_s", "position": "_p"})
-    near = _near(placed).join(far, F.expr("session_id <=> _s and position = _p"), "left").withColumn("_best", F.greatest("_best", "_far"))
-    near = near.withColumn("words", F.when(_open(NEAR), F.col("words")))
-    now = stored(near.drop("_s", "_p", "_far"), "near")
-    done, open_ = now.where("words is null").select(*KEPT, "_best"), now.where("words is not null")
-    reach = NEAR
-    while not open_.isEmpty():
-        furthest = reach * GROWTH
-        block = lambda p: F.floor(p / F.lit(furthest))
-        ask = open_.select("session_id", "position", "at", "entry_type", "words", F.explode(F.sequence(block(F.greatest(F.col("position") - furthest, F.lit(0))), block(F.col("position") - reach - 1))).alias("_block"))
-        c = placed.select(F.col("session_id").alias("_s"), block(F.col("position")).alias("_b"), F.struct("position", "at", "entry_type", "words").alias("c"))
-        pairs = ask.join(c, F.expr(f"session_id <=> _s and _block = _b and c.position >= position - {furthest} and c.position < position - {reach}"))
-        scored = pairs.select(F.col("session_id").alias("_s"), F.col("position").alias("_p"), _score(F.col("c"), F.lit(False), F.lit(False)).alias("_more"), _seconds(F.col("c")).alias("_gap"))
-        best = scored.groupBy("_s", "_p").agg(F.max("_more").alias("_more"), F.max("_gap").alias("_gap"))
-        reach = furthest
-        joined = open_.join(best, F.expr("session_id <=> _s and position = _p"), "left").withColumns({"_best": F.greatest("_best", "_more"), "_seconds": F.coalesce("_gap", "_seconds")})
-        now = stored(joined.withColumn("words", F.when(_open(reach), F.col("words"))).select(*now.columns), "further")
-        done, open_ = done.unionByName(now.where("words is null").select(*KEPT, "_best")), now.where("words is not null")
-    tied = F.coalesce(F.col("kind") != 1, F.lit(True)) | (F.col("_best.score") > TIED)
-    return done.select(*KEPT, F.when(tied, F.col("_best.parent")).alias("parent"), F.when(tied, F.col("_best.score")).alias("score"))
+    """KEPT, ``kind``, ``question`` (position of the last question before a reply), ``parent`` (position of the message replied to,
+    null for the start of a tree) and ``score``: the best of all earlier messages.
+
+    placed: those of ``positions``.
+    """
+    best = F.struct("score", "parent")
+    now = stored(_searched(placed), "searched").withColumn("best", best)
+    kept = [*KEPT.names, "kind", "question", "best"]
+    done, open_ = now.where("not open").select(*kept), now.where("open")
+    if not open_.isEmpty():
+        # a task's rows go on with one session of another at most: these are as many as there are tasks
+        hot = F.broadcast(open_.select(F.col("session_id").alias("_h")).distinct())
+        mine = lambda df: df.join(hot, F.expr("session_id <=> _h"), "left_semi")
+        rest = mine(placed)
+        # what earlier tasks hold of these sessions: their last question and last reply
+        asked = F.struct("position", "at", "entry_type")
+        ends = mine(now).groupBy("session_id", "begin").agg(F.max(F.when(F.col("kind") == 1, asked)).alias("_q"), F.max(F.when(F.col("kind") == 2, F.col("position"))).alias("_r"))
+        earlier = Window.partitionBy("session_id").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(F.col("session_id").alias("_s"), F.col("begin").alias("_b"), F.last("_q", True).over(earlier).alias("_q"), F.last("_r", True).over(earlier).alias("_r"))
+        far = _far_calls(rest).withColumnsRenamed({"session_id": "_fs", "position": "_fp"})
+        open_ = open_.join(carried, F.expr("session_id <=> _s and begin = _b"), "left").join(far, F.expr("session_id <=> _fs and position = _fp"), "left")
+        q = F.col("_q")
+        turn = (F.col("kind") == 2) & F.col("question").isNull() & F.col("replied").isNull() & q.isNotNull() & (F.coalesce(F.col("_r"), F.lit(-1)) < q["position"])
+        drawn = F.when(turn, F.struct((WEIGHTS["turn"] + _time(_seconds(q), F.col("position") - q["position"]) + _speaker(q)).alias("score"), q["position"].alias("parent")))
+        # a call among the task's own rows has been counted
+        called = F.when(F.size("answers") > 0, F.col("_far"))
+        open_ = open_.withColumns({"best": F.greatest("best", drawn, called), "question": F.coalesce("question", q["position"])}).select(*kept, "begin", "seconds", "words")
+        reach, furthest = 0, WINDOW
+        open_ = stored(open_.withColumn("open", _open(0)), "open")
+        done, open_ = done.unionByName(open_.where("not open").select(*kept)), open_.where("open")
+        while not open_.isEmpty():
+            block = lambda p, size=furthest: F.floor(p / F.lit(size))
+            ask = open_.select("session_id", "position", "at", "entry_type", "words", "begin", F.explode(F.sequence(block(F.greatest(F.col("begin") - furthest, F.lit(0))), block(F.col("begin") - reach - 1))).alias("_block"))
+            c = rest.select(F.col("session_id").alias("_s"), block(F.col("position")).alias("_b"), F.struct("position", "at", "entry_type", "words").alias("c"))
+            pairs = ask.join(c, F.expr(f"session_id <=> _s and _block = _b and c.position >= begin - {furthest} and c.position < begin - {reach}"))
+            common = F.size(F.array_intersect("words", "c.words")) / F.greatest(F.least(F.size("words"), F.size("c.words")), F.lit(1))
+            c = F.col("c")
+            score = F.struct((WEIGHTS["words"] * common + _time(_seconds(c), F.col("position") - c["position"]) + _speaker(c)).alias("score"), c["position"].alias("parent"))
+            more = pairs.select(F.col("session_id").alias("_s"), F.col("position").alias("_p"), score.alias("_more"), _seconds(c).alias("_gap")).groupBy("_s", "_p").agg(F.max("_more").alias("_more"), F.max("_gap").alias("_gap"))
+            joined = open_.join(more, F.expr("session_id <=> _s and position = _p"), "left").withColumns({"best": F.greatest("best", "_more"), "seconds": F.coalesce("_gap", "seconds")})
+            reach, furthest = furthest, furthest * GROWTH
+            now = stored(joined.select(*kept, "begin", "seconds", "words").withColumn("open", _open(reach)), "open")
+            done, open_ = done.unionByName(now.where("not open").select(*kept)), now.where("open")
+    tied = F.coalesce(F.col("kind") != 1, F.lit(True)) | (F.col("best.score") > TIED)
+    return done.select(*KEPT.names, "kind", "question", F.when(tied, F.col("best.parent")).alias("parent"), F.when(tied & F.col("best.parent").isNotNull(), F.col("best.score")).alias("score"))
 
 
 def trees(linked: DataFrame) -> DataFrame:
@@ -296,40 +368,49 @@ def _unanswered(linked: DataFrame) -> DataFrame:
     return asked.join(answered, F.expr("session_id <=> _s and position = _p"), "left_anti").select("session_id").distinct()
 
 
-def reasons(once: DataFrame, linked: DataFrame) -> DataFrame:
-    """One row per session with ``empty``, ``broken`` and ``no_reply``; a kept conversation has none of them.
-
-    empty: no message has visible text, a tool_use or a tool_result block. broken: a message that is missing, doesn't
-    parse or isn't an object, a role that isn't the entry type (or isn't there), a time that can't be read, or a first message that isn't
-    a user's. no_reply: see ``_unanswered``. Sessions without messages are empty.
-    """
+def session_facts(once: DataFrame) -> DataFrame:
+    """One row per session with ``empty`` and ``bad``: whether one of its messages breaks it; see ``reasons``."""
     message = F.col("entry_type").isin("user", "assistant")
     good = F.col("parses") & F.coalesce(F.col("role") == F.col("entry_type"), F.lit(False)) & F.col("at").isNotNull()
-    sessions = once.groupBy("session_id").agg(
+    return once.groupBy("session_id").agg(
         (~F.coalesce(F.bool_or(message & (F.col("has_text") | F.col("tool_use") | F.col("tool_result"))), F.lit(False))).alias("empty"),
-        F.coalesce(F.bool_or(message & ~good), F.lit(False)).alias("_bad"),
+        F.coalesce(F.bool_or(message & ~good), F.lit(False)).alias("bad"),
     )
+
+
+def reasons(sessions: DataFrame, linked: DataFrame) -> DataFrame:
+    """One row per session with ``empty``, ``broken`` and ``no_reply``; a kept conversation has none of them.
+
+    sessions: those of ``session_facts``. empty: no message has visible text, a tool_use or a tool_result block. broken:
+    a message that is missing, doesn't parse or isn't an object, a role that isn't the entry type (or isn't there), a time
+    that can't be read, or a first message that isn't a user's. no_reply: see ``_unanswered``. Sessions without messages
+    are empty.
+    """
     starts = linked.where("position = 0 and entry_type <> 'user'").select(F.col("session_id").alias("_s1"))
     waits = _unanswered(linked).select(F.col("session_id").alias("_s2"))
     return (
         sessions.join(starts, F.expr("session_id <=> _s1"), "left")
         .join(waits, F.expr("session_id <=> _s2"), "left")
-        .select("session_id", "empty", (F.col("_bad") | F.col("_s1").isNotNull()).alias("broken"), F.col("_s2").isNotNull().alias("no_reply"))
+        .select("session_id", "empty", (F.col("bad") | F.col("_s1").isNotNull()).alias("broken"), F.col("_s2").isNotNull().alias("no_reply"))
     )
 
 
+def _linked(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Session facts and links of the entries, both stored."""
+    once = stored(entries_once(entries), "entries")
+    sessions = stored(session_facts(once), "sessions")
+    return sessions, stored(links(positions(once, instead=once)), "linked")
+
+
 def found(entries: DataFrame) -> DataFrame:
     """session_id of every conversation to drop."""
-    once = stored(entries_once(entries), "entries")
-    linked = stored(links(positions(once)), "linked")
-    return reasons(once, linked).where("empty or broken or no_reply").select("session_id")
+    return reasons(*_linked(entries)).where("empty or broken or no_reply").select("session_id")
 
 
 def conversations(entries: DataFrame) -> DataFrame:
     """The kept conversations: one row per message with position, speaker, text, the message it replies to and its tree."""
-    once = stored(entries_once(entries), "entries")
-    linked = stored(links(positions(once)), "linked")
-    kept = reasons(once, linked).where("not (empty or broken or no_reply)").select(F.col("session_id").alias("_k"))
+    sessions, linked = _linked(entries)
+    kept = reasons(sessions, linked).where("not (empty or broken or no_reply)").select(F.col("session_id").alias("_k"))
     roots = trees(linked).select(F.col("session_id").alias("_s"), F.col("position").alias("_p"), "root", "depth")
     # texts travel once, for the messages that are kept; a row that is repeated has equal texts
     text = texts(entries).withColumnRenamed("entry_id", "_id")
