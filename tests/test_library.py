@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.operators import architecture, commands, conventions, graphs, lines, listing, readmes, routes, rules, stacks, syntax
+from tidemark.operators import architecture, commands, conventions, facts, graphs, imports, lines, listing, readmes, routes, rules, selections, stacks, syntax
 from tidemark.plans import reports
 from tidemark.session import numbered, stored
 from tidemark.sources import trees
@@ -279,3 +279,101 @@ def test_bursts_go_on_over_the_seams_of_slices(spark):
     for slice_ in (10, 25, 86_400):
         got = changes.bursts(df, "k", 10, members="path", slice_=slice_).select("k", "events", F.unix_seconds("first"), F.unix_seconds("last"), "path").collect()
         assert sorted([*map(list, got)], key=repr) == sorted([[*w[:4], sorted(w[4])] for w in want], key=repr)
+
+
+def test_imports_and_the_longest_name_that_a_table_holds(spark):
+    src = [
+        (1, 1, "/p/a.py", ".py", "a.py", "import os\nfrom flask.views import View\n  import flask_login", 2), (2, 1, "/p/lib/b.ts", ".ts", "lib/b.ts", "import React from 'react'\nimport './c'\nconst e = require('express/lib')", 1),
+        (3, 1, "/p/lib/main.java", ".java", "lib/main.java", "import java.util.List;\nimport java.io.File;\nimport static java.util.Map.of;", 3), (4, 1, "/p/lib/x_test.go", ".go", "lib/x_test.go", "import (\n\t\"fmt\"\n\tg \"github.com/gin-gonic/gin/v2\"\n)", 4), (5, 1, "/p/n.rs", ".rs", "n.rs", None, 5),
+    ]
+    df = spark.createDataFrame(src, "file_id int, project_id int, path string, extension string, relative string, content string, walk_ord int")
+    found = imports.every_import(df)
+    assert {(r.file_id, r.name) for r in found.collect()} == {
+        (1, "os"), (1, "flask.views"), (1, "flask_login"), (2, "react"), (2, "./c"), (2, "express/lib"), (3, "java.util.List"), (3, "java.io.File"), (3, "java.util.Map.of"), (4, "fmt"), (4, "github.com/gin-gonic/gin/v2"),
+    }
+    told = {r.framework: (r.category, r.files, r.examples) for r in imports.told(found).collect()}
+    assert told["Flask"] == ("web", 1, ["/p/a.py"]) and told["collections"][1] == told["standard library"][1] == 1 and told["Gin"][1] == told["Express"][1] == told["React"][1] == 1 and len(told) == 8
+    got = {r.package: (r.files, r.tests, r.main, r.names) for r in imports.packages(df, found).collect()}
+    assert got["lib"][:3] == (3, 1, True) and got[""] == (2, 0, False, ["flask.views", "flask_login", "os"]) and len(got["lib"][3]) == 8
+    edges = spark.createDataFrame([(1, "api/a", "db/b"), (1, "api", "api/x"), (1, "api/c", "core"), (1, "db", "core")], "project_id int, src string, dst string")
+    assert {r.layer: r.needs for r in imports.layer_needs(edges).collect()} == {"api": ["core", "db"], "db": ["core"]}
+
+
+def test_short_forms_tell_what_they_leave_out(spark):
+    df = spark.createDataFrame([("a", i) for i in range(5)] + [("b", 1), (None, 7)], "k string, n int")
+    got = {(r.k, r.n, r.place, r.left_out) for r in selections.capped(df, ["k"], [F.col("n")], 2).collect()}
+    assert got == {("a", 0, 1, 3), ("a", 1, 2, 3), ("b", 1, 1, 0), (None, 7, 1, 0)}
+    assert {(r.k, r.shown, r.left_out) for r in selections.across(df.where("k is not null"), "k", [F.desc("k")], 4).collect()} == {("b", 1, 0), ("a", 3, 2)}
+    assert {(r.k, r.shown, r.left_out) for r in selections.across(df.where("k is not null"), "k", [F.col("k")], 3).collect()} == {("a", 3, 2), ("b", 0, 1)}
+    assert [(r.n, r.place) for r in selections.filled(df.where("k = 'a'"), ["k"], F.col("n") == 4, [F.col("n")], 3).orderBy("place").collect()] == [(4, 1), (0, 2), (1, 3)]
+
+
+def test_facts_that_files_tell(spark):
+    files = [(1, p, False) for p in ("yarn.lock", "package-lock.json", ".env.local", "web/Dockerfile", ".github/workflows/ci.yml", "tsconfig.json", "a/b.yaml", ".husky/pre-commit", ".husky/_", ".pre-commit-config.yaml", "turbo.json", "m/x.onnx", "m/y.pt", "n.ipynb", "data/train.csv", "train_model.py", "x.png")] + [(2, "uv.lock", False), (2, "z.toml", True), (3, None, None)]
+    df = spark.createDataFrame(files, "project_id int, relative string, is_dir boolean")
+    assert {(r.relative, r.kind) for r in facts.settings(df).where("kind <> 'settings'").collect()} == {
+        (".env.local", "environment"), ("web/Dockerfile", "containers"), (".github/workflows/ci.yml", "automation"), ("tsconfig.json", "language"),
+    }
+    assert {r.project_id: r.manager for r in facts.package_managers(df).collect()} == {1: "yarn", 2: "uv"}
+    assert {(r.tool, tuple(r.hooks)) for r in facts.hooks(df).collect()} == {("husky", ("pre-commit",)), ("pre-commit", ())}
+    assert [tuple(r) for r in facts.shared_tools(df).collect()] == [(1, "Turborepo")]
+    assert {(r.kind, r.files, r.first) for r in facts.learning(df).collect()} == {("model", 2, "m/x.onnx"), ("notebook", 1, "n.ipynb"), ("data", 1, "data/train.csv"), ("script", 1, "train_model.py")}
+    src = [(1, 1, "go.mod", ".mod", "module x\ngo 1.22.1\n"), (2, 1, ".tool-versions", "", "golang 1.20\nnodejs 20.1\n"), (3, 1, "pyproject.toml", ".toml", 'requires-python = ">=3.11"'), (4, 1, "c/m.go", ".go", 'flag.String("out", "", "")\nflag.BoolVar(&v, "v", false, "")\nos.Args'),
+           (5, 2, "m.py", ".py", "p = ArgumentParser()\np.add_argument('-x', '--xs')\np.add_argument('--ys')"), (6, 2, "n.py", ".py", None), (7, 1, "sub/go.mod", ".mod", "go 1.19")]
+    src = spark.createDataFrame(src, "file_id int, project_id int, relative string, extension string, content string")
+    assert {(r.language, r.version, r.file) for r in facts.versions(src).collect()} == {("go", "1.22.1", "go.mod"), ("node", "20.1", ".tool-versions"), ("python", "3.11", "pyproject.toml")}
+    assert {(r.project_id, r.kind, r.name) for r in facts.command_line(src).collect()} == {(1, "flag", "out"), (1, "flag", "v"), (1, "program", "os.Args"), (2, "flag", "--xs"), (2, "flag", "--ys"), (2, "program", "ArgumentParser")}
+
+
+def test_workspace_globs(spark):
+    globs = spark.createDataFrame([(1, "packages/*"), (1, "./apps/**/"), (1, "!packages/old"), (1, "packages/*"), (2, "tool.s"), (3, None)], "project_id int, glob string")
+    folders = ["packages", "packages/a", "packages/a/b", "packages/old", "apps/x", "apps/x/y", "tools", "tool.s", None]
+    df = spark.createDataFrame([(p, f) for p in (1, 2, 3) for f in folders], "project_id int, path string")
+    assert sorted(tuple(r) for r in facts.workspaces(globs, df).collect()) == [(1, "apps/x"), (1, "apps/x/y"), (1, "packages/a"), (2, "tool.s")]
+
+
+def test_commands_of_manifests_makefiles_and_programs(spark):
+    src = [
+        (1, 1, "Makefile", "# Build it\nbuild: dep\n\tgo\nVAR := 1\ntest: ## Run tests\n.PHONY: x\n%.o: y\n"), (2, 1, "go.mod", "module x"), (3, 1, "cmd/a.go", 'Use:   "scan [path]",\nShort: "Scan it",\n}\nx{Use: "bare"}\ny{ Use: "sync", Aliases: z, Short: "Sync" }'),
+        (4, 2, "pyproject.toml", "[tool.pytest.ini_options]\n"), (5, 2, "sub/go.mod", ""), (6, 2, "Makefile", None),
+    ]
+    df = spark.createDataFrame([(i, p, r, r, c) for i, p, r, c in src], "file_id int, project_id int, path string, relative string, content string")
+    assert {tuple(r) for r in commands.of_makefiles(df).collect()} == {(1, "make build", "Build it"), (1, "make test", "Run tests")}
+    assert {tuple(r) for r in commands.of_programs(df).collect()} == {(1, "scan", "Scan it"), (1, "sync", "Sync")}
+    assert {(r.project_id, r.command) for r in commands.given(df).collect()} == {(1, "go build ./..."), (1, "go test ./..."), (1, "go vet ./..."), (2, "pytest")}
+    manifests = spark.createDataFrame([(1, '{"scripts": {"dev": "vite"}}'), (2, '{"scripts": {"dev": "x"}}'), (3, "{}")], "project_id int, c string").select("project_id", trees.json_manifest("c").alias("m"))
+    managers = spark.createDataFrame([(1, "yarn")], "project_id int, manager string")
+    assert {tuple(r) for r in commands.of_scripts(manifests, managers).collect()} == {(1, "yarn dev", "vite"), (2, "npm run dev", "x")}
+
+
+def test_ignore_files_commits_and_repositories(spark, tmp_path):
+    files = spark.createDataFrame([(1, ".gitignore", "# c\n\n*.log \r\n!keep\n*.log"), (1, "sub/.gitignore", "x"), (2, ".ignore", None)], "project_id int, relative string, content string")
+    assert {tuple(r) for r in trees.ignore_patterns(files).collect()} == {(1, "*.log"), (1, "!keep")}
+    (tmp_path / "log.txt").write_text("h1\tAnn\t2026-01-01T00:00:00Z\tfeat: a\tb\nh2\tBo\tnever\tx\nshort\n")
+    assert [(r.hash, r.author, r.subject) for r in trees.commits(spark, str(tmp_path)).collect()] == [("h1", "Ann", "feat: a\tb")]
+    remotes = ["https://host.example/team/tool.git", "git@host.example:team/sub/tool.git", "ssh://git@host.example:22/team/tool", "no", None]
+    got = [r[0] and tuple(r[0]) for r in spark.createDataFrame([(x,) for x in remotes], "r string").select(trees.repository(F.col("r"))).collect()]
+    assert got == [("host.example", "team", "tool"), ("host.example", "team/sub", "tool"), ("host.example", "team", "tool"), None, None]
+    assert spark.createDataFrame([("/srv/my app/x.y",)], "p string").select(trees.project_folder(F.col("p"))).first()[0] == "-srv-my-app-x-y"
+
+
+def test_marked_stretches_return_to_their_sections(spark):
+    B, E = reports.BEGIN, reports.END
+    old = f"# T\n\n## Use\ntext\n{B}\n## Use\nmine\n{E}\n{B}loose{E}\n"
+    new = "# T2\nintro\n## Setup\ns\n## Use\nu"
+    one, two = spark.createDataFrame([(1, old), (2, "plain"), (3, None)], "id int, text string"), spark.createDataFrame([(1, new), (2, "new")], "id int, text string")
+    assert [r[0] for r in one.orderBy("id").select(reports.has_custom(F.col("text"))).collect()] == [True, False, False]
+    assert one.where("id = 1").select(reports.without_marks(F.col("text"))).first()[0] == old.replace(B, "").replace(E, "")
+    assert [(r.ord, r.kind, r.title) for r in reports.parts(one, "id").where("id = 1").orderBy("ord").collect()][:4] == [(1, "generated", "Use"), (2, "custom", "Use"), (3, "generated", None), (4, "custom", None)]
+    got = {r.id: r.text for r in reports.merged_by_title(one, two, "id").collect()}
+    assert got == {1: f"# T2\nintro\n\n## Setup\ns\n\n## Use\nu\n\n{B}\n## Use\nmine\n{E}\n\n{B}loose{E}", 2: "new"}
+
+
+def test_bursts_tell_what_to_compute_anew(spark):
+    rows = [(1, "src/a.go", 0), (1, ".git/index", 1), (1, "x.swp", 2), (1, "go.mod", 3), (1, "src/b.go", 100), (2, "notes.odd", 0), (2, None, 1)]
+    df = changes.relevant(spark.createDataFrame(rows, "k int, path string, s long").withColumn("at", F.timestamp_seconds("s")))
+    results = {"routes": ("endpoints",), "stack": ("tech_stack",), "docs": ("readme",)}
+    found = changes.bursts(df, "k", 10, members="path")
+    got = {(r.k, r.first.second + 60 * r.first.minute): (r.full, r.rerun, r.said) for r in changes.dispatched(found, results).withColumn("said", changes.described(F.col("path"), 1)).collect()}
+    assert got == {(1, 0): (False, ["routes", "stack"], "go.mod and 1 more"), (1, 100): (False, ["routes"], "src/b.go"), (2, 0): (True, ["docs", "routes", "stack"], "notes.odd")}
+    assert {r.full for r in changes.dispatched(found.where("k = 1"), results, known=("stack",)).collect()} == {True}

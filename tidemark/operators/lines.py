@@ -86,8 +86,8 @@ def descriptions(rows: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(clean_markdown(joined).alias("description"))
 
 
-def commented(rows: DataFrame, key: str, target: str, comment: str) -> DataFrame:
-    """Lines that match ``target`` with the last comment since the target before, or null: key, line, name, comment.
+def commented(rows: DataFrame, key: str, target: str, comment: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Lines that match ``target`` with the last comment since the target before, or null: key, line, name, comment and ``keep``.
 
     ``target`` and ``comment`` are regular expressions whose first group is the name and the text.
     """
@@ -95,7 +95,7 @@ def commented(rows: DataFrame, key: str, target: str, comment: str) -> DataFrame
     before = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("_part", F.coalesce(F.count("_name").over(before), F.lit(0)))
     within = Window.partitionBy(key, "_part").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("comment", F.last("_said", ignorenulls=True).over(within)).where("_name is not null").select(key, "line", F.col("_name").alias("name"), "comment")
+    return df.withColumn("comment", F.last("_said", ignorenulls=True).over(within)).where("_name is not null").select(key, "line", F.col("_name").alias("name"), "comment", *keep)
 
 
 def required(rows: DataFrame, key: str, indirect: str = "// indirect") -> DataFrame:

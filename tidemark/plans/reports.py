@@ -43,3 +43,34 @@ def tree_lines(files: DataFrame, depth: int = 3) -> DataFrame:
     df = files.where("relative is not null").select("project_id", F.explode(above).alias("path")).distinct()
     level = F.size(F.split("path", "/")) - 1
     return df.select("project_id", "path", F.concat(F.repeat(F.lit("  "), level), F.lit("- "), F.substring_index("path", "/", -1)).alias("line"))
+
+
+def has_custom(existing: Column) -> Column:
+    """Whether a document holds a marked block with something visible in it."""
+    return F.coalesce(F.exists(custom_blocks(existing), lambda b: F.trim(F.regexp_replace(F.replace(F.replace(b, F.lit(BEGIN), F.lit("")), F.lit(END), F.lit("")), r"\s+", " ")) != ""), F.lit(False))
+
+
+def without_marks(existing: Column) -> Column:
+    """A document without its marks; what stood between them stays."""
+    return F.replace(F.replace(existing, F.lit(BEGIN), F.lit("")), F.lit(END), F.lit(""))
+
+
+def parts(documents: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, ord, kind (custom or generated), title (the first heading of second order, or null) and body of the stretches of a document between marks."""
+    marked = F.regexp_extract_all(text, F.lit(f"(?s){BEGIN}.*?{END}|(?:(?!{BEGIN}).)+"), F.lit(0))
+    df = documents.select(key, F.posexplode(marked).alias("_at", "body"))
+    df = df.withColumn("kind", F.when(F.startswith("body", F.lit(BEGIN)) & F.endswith("body", F.lit(END)), "custom").otherwise("generated"))
+    title = F.nullif(F.regexp_extract("body", r"(?m)^##[ \t]+(.+?)[ \t]*$", 1), F.lit(""))
+    return df.select(key, (F.col("_at") + 1).cast("bigint").alias("ord"), "kind", title.alias("title"), without_marks(F.col("body")).alias("body"))
+
+
+def merged_by_title(existing: DataFrame, generated: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key and text: the generated document with every marked block of the existing one behind the section of its title, else at the end."""
+    old = parts(existing, key, text).where("kind = 'custom'").select(key, "ord", "title", F.concat(F.lit(BEGIN), "body", F.lit(END)).alias("block"))
+    sections = F.regexp_extract_all(text, F.lit(r"(?s)(?:^|(?<=\n))(?:## |(?!## ).)(?:(?!\n## ).)*"), F.lit(0))
+    new = generated.select(key, F.posexplode(sections).alias("_at", "body")).withColumn("title", F.nullif(F.regexp_extract("body", r"^\s*##[ \t]+(.+?)[ \t]*(?:\n|$)", 1), F.lit("")))
+    place = new.where("title is not null").groupBy(F.col(key).alias("_k"), F.col("title").alias("_t")).agg(F.min("_at").alias("_p"))
+    kept = old.join(place, F.expr(f"{key} <=> _k and title = _t"), "left").select(key, F.coalesce("_p", F.lit(1 << 30)).alias("_at"), "ord", F.col("block").alias("body"))
+    every = new.select(key, "_at", F.lit(0).cast("bigint").alias("ord"), "body").unionByName(kept)
+    items = F.array_sort(F.collect_list(F.struct("_at", "ord", F.trim("body", F.lit("\n")).alias("body"))))  # as many as a document has sections
+    return every.groupBy(key).agg(F.array_join(F.transform(items, lambda x: x["body"]), "\n\n").alias(text))

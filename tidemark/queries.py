@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dimensions
 from tidemark.functions import text
-from tidemark.operators import architecture, commands, conventions, drift, features, graphs, lines, listing, nested, readmes, rejects, rules, scoring, syntax, usage
+from tidemark.operators import architecture, commands, conventions, drift, facts, features, graphs, imports, lines, listing, nested, readmes, rejects, rules, scoring, selections, syntax, usage
 from tidemark.plans import reports
 from tidemark.streaming import changes
 from tidemark.session import stored, table
@@ -895,3 +895,99 @@ SELECT project_id, path, repeat('  ', len(string_split(path, '/')) - 1) || '- '
 """)
 def report_trees(spark, d):
     return reports.tree_lines(_listing(spark, d))
+
+
+# --- imports, facts, short forms, dispatch ---------------------------------------------------------------------------
+
+_PATTERN = {ext: p.replace("'", "''") for exts, p in imports.PATTERNS.items() for ext in exts}
+IMPORTS_SQL = LISTING_SQL + f"""
+, named AS (SELECT project_id, file_id, path, relative, walk_ord, unnest(list_distinct(CASE {" ".join(f"WHEN extension = '{e}' THEN regexp_extract_all(content, '{p}', 1)" for e, p in _PATTERN.items())} END)) AS name FROM src)
+"""
+
+
+def _imports(spark, d):
+    return imports.every_import(_sources(spark, d))
+
+
+@query(IMPORTS_SQL + f"""
+, met AS (SELECT name, arg_max({{'f': framework, 'c': category}}, length(p)) AS t FROM (SELECT DISTINCT name FROM named) JOIN {_values([(k, *v) for k, v in imports.AREAS.items()], "v(p, framework, category)")}
+  ON starts_with(name, p) AND substr(name, length(p) + 1, 1) IN ('', '.', '/', ':') GROUP BY name),
+hits AS (SELECT DISTINCT file_id, path, walk_ord, t.f AS framework, t.c AS category FROM named JOIN met USING (name))
+SELECT framework, category, count(*) AS files, list(path ORDER BY walk_ord, file_id)[1:3] AS examples FROM hits GROUP BY ALL
+""")
+def imports_told(spark, d):
+    return imports.told(_imports(spark, d))
+
+
+@query(IMPORTS_SQL + """
+, own AS (SELECT project_id, regexp_replace(relative, '/?[^/]*$', '') AS package, count(*) AS files, count(*) FILTER (regexp_matches(regexp_extract(relative, '[^/]*$'), '(?:_test|\\.test|\\.spec)\\.[a-z]+$|^test_')) AS tests,
+  bool_or(regexp_matches(regexp_extract(relative, '[^/]*$'), '^(?:main|index|__main__)\\.[a-z]+$')) AS main FROM src WHERE relative IS NOT NULL GROUP BY 1, 2),
+used AS (SELECT project_id, regexp_replace(relative, '/?[^/]*$', '') AS package, list_sort(list(DISTINCT name)) AS names FROM named WHERE relative IS NOT NULL GROUP BY 1, 2)
+SELECT project_id, package, files, tests, main, coalesce(names, []) AS names FROM own LEFT JOIN used USING (project_id, package)
+""")
+def imports_packages(spark, d):
+    return imports.packages(_sources(spark, d), _imports(spark, d))
+
+
+@query(EDGES_SQL + """
+, tops AS (SELECT DISTINCT project_id, split_part(src, '/', 1) AS layer, split_part(dst, '/', 1) AS need FROM edges)
+SELECT project_id, layer, list_sort(list(need)) AS needs FROM tops WHERE layer <> need GROUP BY ALL
+""")
+def imports_layer_needs(spark, d):
+    return imports.layer_needs(_edges(spark, d))
+
+
+@query(LISTING_SQL + f"""
+SELECT project_id, relative, CASE {" ".join(f"WHEN regexp_matches(relative, '{p}') THEN '{k}'" for p, k, _ in facts.SETTINGS)} END AS kind, CASE {" ".join(f"WHEN regexp_matches(relative, '{p}') THEN '{w}'" for p, _, w in facts.SETTINGS)} END AS purpose
+FROM below WHERE NOT coalesce(is_dir, false) AND kind IS NOT NULL
+""")
+def facts_settings(spark, d):
+    return facts.settings(_listing(spark, d))
+
+
+@query(STYLE_SQL + """
+SELECT extension, style, files, row_number() OVER (PARTITION BY extension ORDER BY files DESC, style) AS place, greatest(count(*) OVER (PARTITION BY extension) - 2, 0) AS left_out FROM counts QUALIFY place <= 2
+""")
+def report_styles_capped(spark, d):
+    return selections.capped(conventions.naming(_listing(spark, d)), ["extension"], [F.desc("files"), F.col("style")], 2)
+
+
+@query(LISTING_SQL + """
+, g AS (SELECT split_part(relative, '/', 1) AS top, count(*) AS n FROM below WHERE contains(relative, '/') GROUP BY 1),
+c AS (SELECT *, coalesce(sum(n) OVER (ORDER BY top ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g)
+SELECT top, greatest(least(n, 100 - before), 0)::BIGINT AS shown, (n - greatest(least(n, 100 - before), 0))::BIGINT AS left_out FROM c
+""")
+def report_folders_across(spark, d):
+    """A hundred files over all top folders in order, and how many each leaves out."""
+    rows = _listing(spark, d).where(F.contains("relative", F.lit("/"))).select(F.substring_index("relative", "/", 1).alias("top"))
+    return selections.across(rows, "top", [F.col("top")], 100)
+
+
+@query(LISTING_SQL + r"""
+SELECT project_id, relative, row_number() OVER (PARTITION BY project_id ORDER BY regexp_matches(relative, '^[^/]+$') DESC, relative) AS place FROM below WHERE relative IS NOT NULL AND NOT coalesce(is_dir, false) QUALIFY place <= 5
+""")
+def report_files_filled(spark, d):
+    """Five files of each project, those at its root first."""
+    files = _listing(spark, d).where(F.col("relative").isNotNull() & ~F.coalesce("is_dir", F.lit(False))).select("project_id", "relative")
+    return selections.filled(files, ["project_id"], F.col("relative").rlike("^[^/]+$"), [F.col("relative")], 5)
+
+
+#: Results that follow changes, and what they follow.
+RESULTS = {"stack": ("tech_stack",), "commands": ("commands", "development"), "routes": ("endpoints",), "settings": ("config",), "readme": ("readme",)}
+
+
+@query(LISTING_SQL + f"""
+, gaps AS (SELECT project_id, relative, scanned_at, CASE WHEN scanned_at - lag(scanned_at) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM below
+  WHERE relative IS NOT NULL AND scanned_at IS NOT NULL AND NOT regexp_matches(relative, '{changes.QUIET}') WINDOW w AS (PARTITION BY project_id ORDER BY scanned_at)),
+islands AS (SELECT *, sum(fresh) OVER (PARTITION BY project_id ORDER BY scanned_at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS no FROM gaps),
+b AS (SELECT project_id, no, count(*) AS events, epoch_us(min(scanned_at)) AS first_us, list_sort(list(DISTINCT relative)) AS paths,
+  list(DISTINCT CASE {" ".join(f"WHEN regexp_matches(relative, '{p}') THEN {list(i)}" for p, i in dimensions.IMPACTS)} ELSE []::VARCHAR[] END) AS i FROM islands GROUP BY ALL),
+t AS (SELECT *, flatten(i) AS touched, len(list_filter(i, lambda x: len(x) = 0)) > 0 AS "full" FROM b)
+SELECT project_id, events, first_us, "full", CASE WHEN "full" THEN {sorted(RESULTS)} ELSE list_filter([{", ".join(f"CASE WHEN list_has_any(touched, {list(n)}) THEN '{k}' END" for k, n in sorted(RESULTS.items()))}], lambda x: x IS NOT NULL) END AS rerun,
+  CASE WHEN len(paths) > 3 THEN array_to_string(paths[1:3], ', ') || ' and ' || (len(paths) - 3)::VARCHAR || ' more' ELSE array_to_string(paths, ', ') END AS said FROM t
+""")
+def changes_dispatched(spark, d):
+    """Bursts of scanned files per project, and what each makes to compute anew."""
+    seen = changes.relevant(_listing(spark, d).select("project_id", F.col("relative").alias("path"), F.col("scanned_at").alias("at")))
+    found = changes.dispatched(changes.bursts(seen, "project_id", 3600, members="path"), RESULTS)
+    return found.select("project_id", "events", F.unix_micros("first").alias("first_us"), "full", "rerun", changes.described(F.col("path")).alias("said"))

@@ -6,11 +6,12 @@ import json
 import tomllib
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from tidemark.functions.instants import instant
 from tidemark.functions.text import base_name, extension
 
 _PAIRS = T.MapType(T.StringType(), T.StringType())
@@ -86,3 +87,33 @@ def json_manifest(contents: pd.Series) -> pd.DataFrame:
 def _frame(rows) -> pd.DataFrame:
     names = MANIFEST.names
     return pd.DataFrame([r or dict.fromkeys(names) for r in rows], columns=names)
+
+
+def ignore_patterns(files: DataFrame, names: tuple[str, ...] = (".gitignore", ".ignore")) -> DataFrame:
+    """project_id and pattern: the lines of the ignore files at a project's root that name something. files: project_id, relative, content."""
+    rows = F.explode(F.split(F.regexp_replace("content", r"\r\n?", "\n"), "\n"))
+    line = files.where(F.col("relative").isin(*names)).select("project_id", rows.alias("pattern"))
+    return line.withColumn("pattern", F.trim("pattern", F.lit(" \t"))).where("pattern <> '' and not startswith(pattern, '#')").distinct()
+
+
+def commits(spark: SparkSession, folder: str) -> DataFrame:
+    """hash, author, at, subject of commits from text files with a commit a line, its parts separated by tabs.
+
+    Such files are written by a version control system's own log command. Lines without four parts or with a time that
+    can't be read are left out; the subject may hold tabs.
+    """
+    parts = F.split("value", "\t", 4)
+    df = spark.read.text(folder, recursiveFileLookup=True).where(F.size(parts) == 4)
+    return df.select(parts[0].alias("hash"), parts[1].alias("author"), instant(parts[2]).alias("at"), parts[3].alias("subject")).where("at is not null")
+
+
+def repository(remote: Column) -> Column:
+    """host, owner and name of a repository from the address of its remote, by web or by shell; null for other texts."""
+    pattern = r"^(?:(?:https?|ssh|git)://(?:[^@/]+@)?|[^@/:]+@)([\w.-]+)(?::\d+)?[/:](.+)/([^/]+?)(?:\.git)?/?$"
+    part = lambda g: F.regexp_extract(remote, pattern, g)
+    return F.when(remote.rlike(pattern), F.struct(part(1).alias("host"), part(2).alias("owner"), part(3).alias("name")))
+
+
+def project_folder(path: Column) -> Column:
+    """The name of the folder in which sessions of a project at ``path`` are logged: its path with every sign but letters and digits as a hyphen."""
+    return F.regexp_replace(path, "[^A-Za-z0-9]", "-")

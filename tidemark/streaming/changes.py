@@ -75,3 +75,34 @@ def follow(stream: DataFrame, keys: list[str], count: str, target: str, checkpoi
 def followed(spark: SparkSession, keys: list[str], count: str, target: str) -> DataFrame:
     """The sums of all batches so far."""
     return spark.read.parquet(target).groupBy(*keys).agg(F.sum(count).alias(count))
+
+
+#: Own rules: changes that no result follows: what tools write for themselves, and what they leave behind while saving.
+QUIET = r"(?:^|/)(?:\.git|node_modules|__pycache__|\.venv|target|dist)(?:/|$)|(?:~|\.sw[a-z]|\.tmp|\.lock|\.pyc)$|(?:^|/)(?:\.#|#)[^/]*$"
+
+
+def relevant(changes: DataFrame, quiet: str = QUIET) -> DataFrame:
+    """Changes that results follow: with a path, and not one of a tool's own files."""
+    return changes.where(F.col("path").isNotNull() & ~F.col("path").rlike(quiet))
+
+
+def dispatched(bursts_: DataFrame, results: dict[str, tuple[str, ...]], known: tuple[str, ...] | None = None, paths: str = "path") -> DataFrame:
+    """Adds to each burst ``rerun``, the names of the results to compute anew, and ``full``, whether everything is.
+
+    bursts_: those of ``bursts`` with the paths as members. results: which impacts each result follows. A burst is full
+    where one of its paths touches nothing that is known, or where ``known`` (results that can be kept up) misses one
+    that has to follow.
+    """
+    touched_ = F.array_distinct(F.flatten(F.transform(paths, lambda p: impacts(p))))
+    names = F.array_compact(F.array(*[F.when(F.arrays_overlap(touched_, F.array(*map(F.lit, needs))), F.lit(name)) for name, needs in sorted(results.items())]))
+    missing = F.size(F.array_except(names, F.array(*map(F.lit, known)).cast("array<string>"))) > 0 if known is not None else F.lit(False)
+    full = F.exists(paths, lambda p: F.size(impacts(p)) == 0) | missing
+    everything = F.array(*[F.lit(n) for n in sorted(results)])
+    return bursts_.withColumn("full", full).withColumn("rerun", F.when(F.col("full"), everything).otherwise(names))
+
+
+def described(paths: Column, shown: int = 3) -> Column:
+    """A burst in words: its first paths and how many more there are."""
+    first = F.array_join(F.slice(paths, F.lit(1), F.lit(shown)), ", ")
+    more = F.size(paths) - shown
+    return F.when(F.size(paths) == 0, "nothing").when(more > 0, F.concat(first, F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise(first)
