@@ -12,6 +12,7 @@ texts need no backtracking.
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 import pyarrow as pa
@@ -42,19 +43,22 @@ class Separated:
     """The patterns of one header."""
 
     def __init__(self, sep: str, header: str | None):
-        sign = regex.escape(sep)
+        sign = re.escape(sep)
         cell = rf'(?:"[^"]*+(?:""[^"]*+)*+"|[^"{sign}\r\n]*+)'
-        self.cell = regex.compile(f"({cell})(?:{sign}|\\Z)")
-        self.leading = regex.compile(f"(?:{cell}{sign})*+")
-        self.shape = regex.compile(f"{cell}(?:{sign}{cell})*+")
+        self.cell = re.compile(f"({cell})(?:{sign}|\\Z)")
+        self.leading = re.compile(f"(?:{cell}{sign})*+")
+        self.shape = re.compile(f"{cell}(?:{sign}{cell})*+")
         self.sep, self.names = sep, None
         if header is not None:
             header = header.rstrip("\r")
             cells = self.split(header) if self.shape.fullmatch(header) else header.split(sep)
             self.names = [_unquoted(c).strip(' "') for c in cells]
-        typed = [f'(?:"{VALUES[n]}"|{VALUES[n]})' if n in VALUES else cell for n in self.names or []]
-        self.row = regex.compile(sign.join(typed)) if typed else None
-        self.prefixes = [regex.compile(sign.join(typed[: i + 1]) + f"(?:{sign}|\\Z)") for i in range(len(typed))]
+        typed = lambda n, i: f'(?P<q{i}>"?){VALUES[n]}(?P=q{i})' if n in VALUES else cell
+        names = self.names or []
+        self.row = re.compile(sign.join(f"(?P<c{i}>{typed(n, i)})" for i, n in enumerate(names))) if names else None
+        self.groups = [f"c{i}" for i in range(len(names))]
+        # a prefix is the one before it and a pattern of one more field, which all schemas share
+        self.steps = [_step(typed(n, 0), sign) for n in names]
         self.places = {c: self.names.index(c) for c in COLUMNS if c in (self.names or [])}
 
     def split(self, raw: str) -> list[str]:
@@ -68,8 +72,9 @@ class Separated:
                 return cells
 
     def verdict(self, raw: str | None) -> tuple[str | None, str | None, dict]:
-        if raw is not None and self.row and self.row.fullmatch(raw):
-            cells = self.split(raw)
+        m = self.row.fullmatch(raw) if raw is not None and self.row else None
+        if m:
+            cells = [m.group(g) for g in self.groups]
             return None, None, {c: _unquoted(cells[i]) for c, i in self.places.items()}
         return *self.broken(raw), _NOTHING
 
@@ -84,7 +89,13 @@ class Separated:
         width = len(self.split(raw))
         if width != len(names):
             return "columns", names[width] if width < len(names) else None
-        return "value", next(name for name, prefix in zip(names, self.prefixes) if not prefix.match(raw))
+        at = 0
+        for name, step in zip(names, self.steps):
+            m = step.match(raw, at)
+            if not m:
+                return "value", name
+            at = m.end()
+        raise AssertionError("a row of which every prefix matches is one that matches")
 
     def split_leading(self, raw: str) -> list[str]:
         """Cells before the one at which a row can't be split."""
@@ -92,13 +103,47 @@ class Separated:
         return self.split(head[: -len(self.sep)]) if head else []
 
 
+@lru_cache(maxsize=64)
+def _step(field: str, sign: str) -> re.Pattern:
+    return re.compile(f"{field}(?:{sign}|\\Z)")
+
+
 def _unquoted(cell: str) -> str:
     return cell[1:-1].replace('""', '"') if cell[:1] == '"' else cell
 
 
-#: The grammar of strict JSON: s text, n number, v any value, o object, a array, w blanks.
+_BLANK = r"[ \t\n\r]*+"
+_STRING = r'"[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4})[^"\\\x00-\x1f]*+)*+"'
+_NUMBER = r"-?+(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?+[0-9]++)?+"
+
+
+def _value(depth: int) -> str:
+    """Any value down to a depth."""
+    scalar = f"{_STRING}|{_NUMBER}|true|false|null"
+    if not depth:
+        return f"(?:{scalar})"
+    return rf"(?:{scalar}|{_members([], depth)}|\[{_BLANK}(?:{_value(depth - 1)}{_BLANK}(?:,{_BLANK}(?!\])|(?=\])))*+\])"
+
+
+def _members(known: list[tuple[str, str, str]], depth: int) -> str:
+    """An object whose known members (name, group, pattern of the value) stand in any order among others."""
+    named = "".join(f'"{name}"{_BLANK}:{_BLANK}(?P<{group}>{value})|' for name, group, value in known)
+    others = f'(?!"(?:{"|".join(name for name, *_ in known)})"{_BLANK}:)' if known else ""
+    return rf"\{{{_BLANK}(?:(?:{named}{others}{_STRING}{_BLANK}:{_BLANK}{_value(depth - 1)}){_BLANK}(?:,{_BLANK}(?!\}})|(?=\}})))*+\}}"
+
+
+_TEXT = _members([("text", "text", _value(1))], 2)
+_MESSAGE = _members([("role", "role", _value(1)), ("content", "content", rf"\[{_BLANK}{_TEXT}(?:{_BLANK},{_BLANK}{_value(1)})*+{_BLANK}\]")], 2)
+#: A whole JSON line as nearly all are written, in one pass: its members, with values that are right, not too deep below.
+_LINE = _BLANK + _members([
+    ("session_id", "session_id", _value(1)), ("logged_at", "logged_at", f'"{TIME}"'), ("entry_type", "entry_type", f'"{TYPES}"'),
+    ("output_tokens", "output_tokens", r'(?:null|"[0-9]*+"|[0-9]++(?![.eE]))'), ("message", "message", _MESSAGE),
+], 2) + _BLANK
+#: Names of members that count; a line in which one stands twice goes through the prefixes, of which the first counts.
+_NAMED = re.compile(rf'"(session_id|logged_at|entry_type|output_tokens|message|role|content|text)"{_BLANK}:')
+#: The grammar of strict JSON at any depth: s text, n number, v any value, o object, a array, w blanks.
 _GRAMMAR = (
-    r'(?(DEFINE)(?<w>[ \t\n\r]*+)(?<s>"[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4})[^"\\\x00-\x1f]*+)*+")(?<n>-?+(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?+[0-9]++)?+)'
+    rf"(?(DEFINE)(?<w>{_BLANK})(?<s>{_STRING})(?<n>{_NUMBER})"
     r"(?<v>(?&s)|(?&n)|true|false|null|(?&o)|(?&a))(?<o>\{(?&w)(?:(?&s)(?&w):(?&w)(?&v)(?&w)(?:,(?&w)(?!\})|(?=\})))*+\})(?<a>\[(?&w)(?:(?&v)(?&w)(?:,(?&w)(?!\])|(?=\])))*+\]))"
 )
 
@@ -122,15 +167,15 @@ _TYPED = {"logged_at": f'"{TIME}"', "entry_type": f'"{TYPES}"', "output_tokens":
 
 
 class Json:
-    """The patterns of JSON lines. Members may stand in any order, so each is told by what stands before it."""
+    """The patterns of JSON lines. Members may stand in any order, so a prefix asks for one more of them, wherever it stands."""
 
     def __init__(self):
         start = _GRAMMAR + r"(?&w)"
         there = {c: f"(?={_PLACES[c]('(?&v)')})" for c in REQUIRED}
         tokens = f"(?!{_PLACES['output_tokens']('')})"
         good = {c: f"(?={_PLACES[c](v)})" if c != "output_tokens" else f"(?:{tokens}|(?={_PLACES[c](v)}))" for c, v in _TYPED.items()}
+        self.line = re.compile(_LINE)
         self.object = regex.compile(start + r"(?&o)(?&w)")
-        self.row = regex.compile(start + "".join(there.values()) + "".join(good.values()) + r"(?&o)(?&w)")
         self.there = {c: regex.compile(start + p) for c, p in there.items()}
         self.good = {c: regex.compile(start + p) for c, p in good.items()}
         self.values = {c: regex.compile(start + p("(?<found>(?&v))")) for c, p in _PLACES.items()}
@@ -138,24 +183,30 @@ class Json:
     def verdict(self, raw: str | None) -> tuple[str | None, str | None, dict]:
         if raw is None:
             return "syntax", None, _NOTHING
-        if not self.row.fullmatch(raw):
-            reason, field = self.broken(raw)
-            if reason == "syntax" or "\\" not in raw:
-                return reason, field, _NOTHING
+        m = self.line.fullmatch(raw)
+        if m and all(m.group(c) is not None for c in REQUIRED) and len(told := _NAMED.findall(raw)) == len(set(told)):
+            return None, None, {c: _json_text(found) if (found := m.group(c)) else None for c in COLUMNS}
+        reason, field = self.broken(raw)
+        if reason and reason != "syntax" and "\\" in raw:
             # names and values may be written with escapes: such a row is written without them and tested again
             raw = _ESCAPED.sub(lambda m: json.dumps(json.loads(m.group()), ensure_ascii=False), raw)
-            if not self.row.fullmatch(raw):
-                return *self.broken(raw), _NOTHING
+            reason, field = self.broken(raw)
+        if reason:
+            return reason, field, _NOTHING
+        # right, but deeper or with repeated members
         return None, None, {c: _json_text(m.group("found")) if (m := p.match(raw)) else None for c, p in self.values.items()}
 
-    def broken(self, raw: str) -> tuple[str, str | None]:
-        """Reason and first broken field of a row that doesn't match."""
+    def broken(self, raw: str) -> tuple[str | None, str | None]:
+        """Reason and first broken field; none where every prefix matches."""
         if not self.object.fullmatch(raw):
             return "syntax", None
         for c, p in self.there.items():
             if not p.match(raw):
                 return "columns", REQUIRED[c]
-        return "value", next((c for c, p in self.good.items() if not p.match(raw)), None)
+        for c, p in self.good.items():
+            if not p.match(raw):
+                return "value", c
+        return None, None
 
 
 def _json_text(value: str) -> str | None:
