@@ -82,10 +82,10 @@ def hot_files(operations: DataFrame, most: int = TOP_FILES) -> DataFrame:
     return operations.orderBy(F.desc("operations"), "path").limit(most)
 
 
-def pain_points(operations: DataFrame, most: int = TOP_PAINS) -> DataFrame:
-    """Files read again and again, and files written and then edited more than once; the most frequent first."""
-    again = operations.where(F.col("reads") >= REREADS).select(F.lit("repeated_reads").alias("kind"), "path", F.col("reads").alias("count"))
-    rewritten = operations.where((F.col("writes") > 0) & (F.col("edits") >= REWRITES))
+def pain_points(operations: DataFrame, most: int = TOP_PAINS, rereads: int = REREADS, rewrites: int = REWRITES) -> DataFrame:
+    """Files read at least ``rereads`` times, and files written and then edited at least ``rewrites`` times; the most frequent first."""
+    again = operations.where(F.col("reads") >= rereads).select(F.lit("repeated_reads").alias("kind"), "path", F.col("reads").alias("count"))
+    rewritten = operations.where((F.col("writes") > 0) & (F.col("edits") >= rewrites))
     rewritten = rewritten.select(F.lit("write_then_edit").alias("kind"), "path", F.col("edits").alias("count"))
     return again.unionByName(rewritten).orderBy(F.desc("count"), "path", "kind").limit(most)
 

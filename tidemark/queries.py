@@ -345,6 +345,15 @@ def usage_pain_points(spark, d):
     return usage.pain_points(_operations(spark, d))
 
 
+@query(USAGE_SQL + """
+SELECT * FROM (SELECT 'repeated_reads' AS kind, path, reads AS count FROM ops WHERE reads >= 2
+  UNION ALL SELECT 'write_then_edit', path, edits FROM ops WHERE writes > 0 AND edits >= 1) ORDER BY count DESC, path, kind LIMIT 100
+""")
+def usage_pain_points_low(spark, d):
+    """The same report with lower thresholds, for logs in which few files come up often."""
+    return usage.pain_points(_operations(spark, d), 100, rereads=2, rewrites=1)
+
+
 @query(USAGE_SQL + """
 SELECT model, count(*) AS turns, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens,
   sum(cache_creation_input_tokens)::BIGINT AS cache_creation_input_tokens, sum(cache_read_input_tokens)::BIGINT AS cache_read_input_tokens
