@@ -3,7 +3,8 @@
 Text is cut into pieces by an automaton over classes of code points, all texts of a batch at once. A code point's class
 tells its transition function, from the kind of piece that is open before it to the kind that is open after it. Such
 functions compose associatively, so the states before all code points come from a scan: the functions of each block are
-composed side by side, the blocks' functions in a tree, and then each block runs from the state that it is entered in. A
+composed side by side, the blocks' functions in a tree, and then each block runs from the state that it is entered in. The
+functions that can come up are few, so each has a number and composing two is a look into a table. A
 piece begins where a transition says so. The pieces are merged by rank, each distinct piece once per worker while the
 cache holds it, and their offsets can be kept: ``decode`` puts every piece back where it stood.
 """
@@ -75,6 +76,23 @@ def _automaton() -> tuple[np.ndarray, np.ndarray]:
     return after.ravel(), begins.ravel()
 
 
+@lru_cache(maxsize=1)
+def _functions() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The transition functions that symbols generate: number of each symbol's, number of two composed (first, then second), state after each from each."""
+    after, _ = _automaton()
+    symbols = [tuple(after[s * _STATES : (s + 1) * _STATES].tolist()) for s in range(9)]
+    found = {f: i for i, f in enumerate(dict.fromkeys(symbols))}
+    every = list(found)
+    for f in every:  # grows while it runs
+        for g in symbols:
+            both = tuple(g[x] for x in f)
+            if both not in found:
+                found[both] = len(every)
+                every.append(both)
+    composed = np.array([[found[tuple(g[x] for x in f)] for g in every] for f in every], np.uint8)
+    return np.array([found[f] for f in symbols], np.uint8), composed, np.array(every, np.uint8)
+
+
 def _symbols(code: np.ndarray) -> np.ndarray:
     """Symbols of code points with an edge behind every text."""
     kind = _classes()[code]
@@ -94,25 +112,27 @@ def _symbols(code: np.ndarray) -> np.ndarray:
 def _scan(symbols: np.ndarray) -> np.ndarray:
     """Whether a piece begins at each symbol."""
     after, begins = _automaton()
+    of_symbol, composed, states = _functions()
+    step_table, size = np.ascontiguousarray(composed[:, of_symbol]).ravel(), len(composed)
     n = len(symbols)
     rows = -(-n // BLOCK)
     grid = np.full(rows * BLOCK, _END, np.uint8)
     grid[:n] = symbols
     # blocks stand side by side, so that one step takes a symbol of each
-    grid = np.ascontiguousarray(grid.reshape(rows, BLOCK).T).astype(np.intp) * _STATES
-    composed = np.tile(np.arange(_STATES, dtype=np.uint8), (rows, 1))
-    for step in grid:
-        composed = after[step[:, None] + composed]
-    reach = 1
+    grid = np.ascontiguousarray(grid.reshape(rows, BLOCK).T)
+    f = of_symbol[grid[0]]
+    for step in grid[1:]:
+        f = step_table.take(f.astype(np.uint16) * np.uint16(9) + step)
+    table, reach = composed.ravel(), 1
     while reach < rows:  # a tree: each block's function takes in those of twice as many blocks before it
-        joined = composed.copy()
-        joined[reach:] = np.take_along_axis(composed[reach:], composed[:-reach].astype(np.intp), 1)
-        composed, reach = joined, reach * 2
-    state = np.concatenate(([_CLOSED], composed[:-1, _CLOSED])).astype(np.uint8)
+        joined = f.copy()
+        joined[reach:] = table.take(f[:-reach].astype(np.uint32) * np.uint32(size) + f[reach:])
+        f, reach = joined, reach * 2
+    state = np.concatenate(([_CLOSED], states[f[:-1], _CLOSED])).astype(np.uint8)
     out = np.empty((BLOCK, rows), bool)
     for i, step in enumerate(grid):
-        at = step + state
-        out[i], state = begins[at], after[at]
+        at = step * np.uint8(_STATES) + state
+        out[i], state = begins.take(at), after.take(at)
     return out.T.ravel()[:n]
 
 
