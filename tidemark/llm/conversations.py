@@ -29,7 +29,7 @@ from tidemark.operators.nested import parsed, utf8
 from tidemark.session import stored
 
 #: Messages of the first window in which a search goes on before a task's rows, and how windows grow.
-WINDOW, GROWTH = 64, 8
+WINDOW, GROWTH = 256, 16
 #: Positions of a session in one chunk, where calls are looked up by their ids.
 CHUNK = 8192
 #: Weights of the score: per factor e of time, for a mention, for the open question that a reply follows, for the share of
@@ -311,7 +311,7 @@ def links(placed: DataFrame) -> DataFrame:
         # a task's rows go on with one session of another at most: these are as many as there are tasks
         hot = F.broadcast(open_.select(F.col("session_id").alias("_h")).distinct())
         mine = lambda df: df.join(hot, F.expr("session_id <=> _h"), "left_semi")
-        rest = mine(placed)
+        rest = stored(mine(placed), "rest")
         # what earlier tasks hold of these sessions: their last question and last reply
         asked = F.struct("position", "at", "entry_type")
         ends = mine(now).groupBy("session_id", "begin").agg(F.max(F.when(F.col("kind") == 1, asked)).alias("_q"), F.max(F.when(F.col("kind") == 2, F.col("position"))).alias("_r"))
