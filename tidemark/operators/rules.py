@@ -78,3 +78,17 @@ def first_of_each(rows: DataFrame, keys: list[str], order: list[str], n: int) ->
     """The first n rows of each group in a total order, for rules that look at samples."""
     rank = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= n).drop("_n")
+
+
+def leading(hits: DataFrame, keys: tuple[str, ...] = ("project_id", "section"), least: int = 3) -> DataFrame:
+    """keys, name and files: the rule that most files of a group meet, the first by name of equals, where at least ``least`` do."""
+    counts = hits.groupBy(*keys, "name").agg(F.countDistinct("file_id").alias("files")).where(F.col("files") >= least)
+    best = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("files"), "name"))
+    return counts.withColumn("_n", best).where("_n = 1").drop("_n")
+
+
+def consolidated(hits: DataFrame, kinds: dict[str, tuple[str, ...]]) -> DataFrame:
+    """kind and number of files that meet any rule of it; rules without a kind are kinds of their own."""
+    table = F.create_map(*[F.lit(x) for kind, names in kinds.items() for n in names for x in (n, kind)])
+    kind = F.coalesce(F.try_element_at(table, F.col("name")), F.col("name"))
+    return hits.groupBy(kind.alias("kind")).agg(F.countDistinct("file_id").alias("files"))

@@ -508,6 +508,26 @@ def rules_merged(spark, d):
     return rules.merged(count(hits.where("section = 'errors'")), count(hits.withColumn("section", F.lit("second"))))
 
 
+@query(LISTING_SQL + REGEX_SQL + """
+, c AS (SELECT project_id, section, name, count(DISTINCT file_id) AS files FROM hits JOIN (SELECT file_id, project_id FROM src) USING (file_id) GROUP BY ALL HAVING files >= 3)
+SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY project_id, section ORDER BY files DESC, name) = 1
+""")
+def rules_leading(spark, d):
+    """The way in which most files of a project do each thing: its comments, errors, logs."""
+    return rules.leading(rules.regex_hits(_sources(spark, d), dimensions.REGEXES))
+
+
+#: Rules that tell of one thing.
+KINDS = {"failures": ("err check", "try block", "option type"), "described": ("docstring", "javadoc", "rustdoc", "go doc"), "output": ("console", "python logger", "stdout")}
+
+
+@query(LISTING_SQL + REGEX_SQL + f"""
+SELECT coalesce(kind, name) AS kind, count(DISTINCT file_id) AS files FROM hits LEFT JOIN {_values([(n, k) for k, ns in KINDS.items() for n in ns], "v(name, kind)")} USING (name) GROUP BY 1
+""")
+def rules_consolidated(spark, d):
+    return rules.consolidated(rules.regex_hits(_sources(spark, d), dimensions.REGEXES), KINDS)
+
+
 GATE = "extension = '.rs' AND contains(content, 'impl ')"
 
 
