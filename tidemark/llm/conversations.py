@@ -172,14 +172,16 @@ def _speaker(c: Column) -> Column:
     return WEIGHTS["speaker"] * (F.col("entry_type") != c["entry_type"]).cast("int")
 
 
-def _far_calls(placed: DataFrame) -> DataFrame:
-    """session, position and the best (score and parent) of the calls that a message answers.
+def _far_calls(placed: DataFrame, asking: DataFrame) -> DataFrame:
+    """session, position and the best (score and parent) of the calls of ``placed`` that the messages of ``asking`` answer.
 
     An id is that of the latest earlier call. The calls of an id are cut by position, so that no task holds all of them.
     """
     chunk = F.floor(F.col("position") / F.lit(CHUNK))
-    one = lambda ids: placed.select("session_id", "position", "at", "entry_type", F.explode(F.array_distinct(ids)).alias("id")).withColumn("_chunk", chunk)
-    calls, answers = one("calls"), one("answers")
+    one = lambda df, ids: df.select("session_id", "position", "at", "entry_type", F.explode(F.array_distinct(ids)).alias("id")).withColumn("_chunk", chunk)
+    answers = one(asking, "answers")
+    # only ids that are asked for: the others are dropped before they move, where Spark finds these few
+    calls = one(placed, "calls").join(answers.select(F.col("session_id").alias("_as"), F.col("id").alias("_ai")).distinct(), F.expr("session_id <=> _as and id = _ai"), "left_semi")
     call = F.struct("position", "at", "entry_type")
     ids = ["session_id", "id"]
     both = calls.withColumn("call", call).unionByName(answers, allowMissingColumns=True)
@@ -317,8 +319,13 @@ def links(placed: DataFrame) -> DataFrame:
         ends = mine(now).groupBy("session_id", "begin").agg(F.max(F.when(F.col("kind") == 1, asked)).alias("_q"), F.max(F.when(F.col("kind") == 2, F.col("position"))).alias("_r"))
         earlier = Window.partitionBy("session_id").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
         carried = ends.select(F.col("session_id").alias("_s"), F.col("begin").alias("_b"), F.last("_q", True).over(earlier).alias("_q"), F.last("_r", True).over(earlier).alias("_r"))
-        far = _far_calls(rest).withColumnsRenamed({"session_id": "_fs", "position": "_fp"})
-        open_ = open_.join(carried, F.expr("session_id <=> _s and begin = _b"), "left").join(far, F.expr("session_id <=> _fs and position = _fp"), "left")
+        open_ = open_.join(carried, F.expr("session_id <=> _s and begin = _b"), "left")
+        asking = now.where("open and size(answers) > 0")
+        if asking.isEmpty():
+            open_ = open_.withColumn("_far", F.lit(None).cast("struct<score:double,parent:bigint>"))
+        else:
+            far = _far_calls(rest, asking).withColumnsRenamed({"session_id": "_fs", "position": "_fp"})
+            open_ = open_.join(far, F.expr("session_id <=> _fs and position = _fp"), "left")
         q = F.col("_q")
         turn = (F.col("kind") == 2) & F.col("question").isNull() & F.col("replied").isNull() & q.isNotNull() & (F.coalesce(F.col("_r"), F.lit(-1)) < q["position"])
         drawn = F.when(turn, F.struct((WEIGHTS["turn"] + _time(_seconds(q), F.col("position") - q["position"]) + _speaker(q)).alias("score"), q["position"].alias("parent")))
